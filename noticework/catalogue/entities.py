@@ -9,6 +9,7 @@ from noticework.functions.dates import mixed_day, month_start
 from noticework.functions.values import plausible_value
 from noticework.operators import entities
 from noticework.operators.winners import explode_winners
+from noticework.session import dealt_out
 from noticework.sources.pages import flatten_pages
 
 
@@ -137,7 +138,7 @@ SELECT o_orderkey || mark AS pub_number, 'P' || o_orderkey AS procedure_id, CAST
        o_totalprice AS total_value, o_orderpriority AS procedure_type, 'FR' || left(lpad(CAST(o_orderkey AS VARCHAR), 6, '0'), 2) AS nuts2
 FROM n""")
 def flatten_json(spark, sf_dir):
-    lines = table(spark, sf_dir, "orders").select(
+    lines = dealt_out(table(spark, sf_dir, "orders")).select(
         _page(F.col("o_orderpriority"), F.col("o_orderstatus")).alias("page"), F.date_format("o_orderdate", "yyyy-MM").alias("month"))
     return flatten_pages(lines).select("pub_number", "procedure_id", "pub_date", "month", "form_type", "type", "country", "country_iso3",
                                        "lang", "title", "framework", "est_value_lots", "total_value", "procedure_type", "nuts2")
@@ -170,7 +171,7 @@ def explode_aligned_lists(spark, sf_dir):
     countries = F.when(flag == "N", F.array(F.lit("FRA"), F.lit("FRA"))).otherwise(F.array(F.lit("FRA"), F.lit("DEU")))
     ids = F.when(flag == "A", F.array(F.lit("I1"), F.lit("I2"), F.lit("I3"))).when(flag == "R", F.array(F.lit("I1"), F.lit("I2"))).otherwise(F.array(F.lit("I1")))
     keep = ["l_orderkey", "l_partkey", "l_linenumber", "l_suppkey"]
-    packed = table(spark, sf_dir, "lineitem").select(
+    packed = dealt_out(table(spark, sf_dir, "lineitem")).select(
         *keep, F.to_json(F.struct(names.alias("eng"))).alias("winner_names"), F.to_json(countries).alias("winner_countries"),
         F.to_json(ids).alias("winner_ids"), F.lit('["large"]').alias("winner_sizes"))
     return explode_winners(packed, keep)

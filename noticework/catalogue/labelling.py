@@ -10,6 +10,7 @@ from noticework.operators import labels
 from noticework.operators.lookups import with_parent_labels
 from noticework.operators.ordering import number_shuffled, number_sorted, pack_batches as pack, stratified_sample as sample
 from noticework.operators.shares import with_grand_shares
+from noticework.session import dealt_out
 
 # A line's number names the run that labelled its part; the return flag is the label.
 RUN_NAMES = {1: "fa_small_v1_en", 2: "fa_small_v1_rep", 3: "fa_small_v1_shuf", 4: "fa_small_v1_fr", 5: "fa_small_v2_en", 6: "fa_large_v1_en", 7: "fb_flash_v1_en"}
@@ -144,7 +145,7 @@ def normalise_answers(spark, sf_dir):
     keyed = F.concat(F.lit('{"'), first, F.lit('": {'), a, F.lit('}, "'), second, F.lit('": {'), b, F.lit("}}"))
     bare = F.concat(F.lit("[ "), row_a, F.lit(", "), row_b, F.lit(', {"cpv": "99999999"}, "text" ]'))
     wrapped = F.concat(F.lit('```json\n{"items": ['), row_a, F.lit(", "), row_b, F.lit("]}\n```"))
-    answers = table(spark, sf_dir, "orders").select(
+    answers = dealt_out(table(spark, sf_dir, "orders")).select(
         "o_orderkey", F.array(first, second).alias("asked"),
         F.when(status == "F", wrapped).when(status == "O", bare).otherwise(keyed).alias("answer"))
     rows = labels.normalise_answers(answers, "answer", ["cpv", "primary_label", "secondary"], asked="asked")

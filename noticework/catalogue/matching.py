@@ -15,6 +15,7 @@ from noticework.functions.values import share
 from noticework.operators import matching
 from noticework.operators.labels import binned
 from noticework.operators.shares import with_grand_shares, with_shares
+from noticework.session import dealt_out, settled
 
 CAP = 60000.0
 
@@ -78,8 +79,9 @@ def register(spark, sf_dir):
         F.concat(F.lit("x/"), F.lit(1000000) + F.col("p_partkey")).alias("oc")))
 
 
-def all_matches(spark, sf_dir):
-    return matching.match_all(winners(spark, sf_dir), register(spark, sf_dir))
+def settled_sides(spark, sf_dir):
+    """Both sides, computed once: every method reads them again."""
+    return settled(winners(spark, sf_dir), "winners"), settled(register(spark, sf_dir), "register")
 
 
 def _shown(matches):
@@ -95,7 +97,7 @@ def normalise_name(spark, sf_dir):
     texts = None
     for kind, (key, text) in sources.items():
         name = "documents" if kind == "document" else kind
-        part = table(spark, sf_dir, name).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), company_name(F.col(text)).alias("n"))
+        part = dealt_out(table(spark, sf_dir, name)).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), company_name(F.col(text)).alias("n"))
         texts = part if texts is None else texts.unionByName(part)
     return texts.select("kind", "id", F.md5("n").alias("name_key"), F.length("n").cast("bigint").alias("name_length"),
                         F.substring_index("n", " ", 1).alias("first_word"))
@@ -120,12 +122,12 @@ def match_id(spark, sf_dir):
 
 @query("match_fuzzy", _SIDES_SQL + _FUZZY_SQL + _OUT_SQL + "m_fuzzy")
 def match_fuzzy(spark, sf_dir):
-    return _shown(matching.match_fuzzy(winners(spark, sf_dir), register(spark, sf_dir)))
+    return _shown(matching.match_fuzzy(*settled_sides(spark, sf_dir)))
 
 
 @query("match_priority", _ALL_SQL + _OUT_SQL + "m")
 def match_priority(spark, sf_dir):
-    return _shown(all_matches(spark, sf_dir))
+    return _shown(matching.match_all(*settled_sides(spark, sf_dir)))
 
 
 @query("match_report", _ALL_SQL + """
@@ -133,7 +135,8 @@ SELECT how, count(*) AS winners, CAST(sum(awards) AS BIGINT) AS awards, round(su
        sum(awards) / (SELECT sum(awards) FROM winners) AS share_of_awards, round(sum(value_capped) / (SELECT sum(value_capped) FROM winners), 6) AS share_of_value
 FROM m GROUP BY 1""")
 def match_report(spark, sf_dir):
-    report = matching.match_report(all_matches(spark, sf_dir), winners(spark, sf_dir))
+    known, entries = settled_sides(spark, sf_dir)
+    report = matching.match_report(matching.match_all(known, entries), known)
     return report.withColumns({"value_capped": F.round("value_capped", 2), "min_sim": F.round("min_sim", 6), "share_of_value": F.round("share_of_value", 6)})
 
 
@@ -142,7 +145,8 @@ SELECT m.how, count(*) AS checkable, avg((w.no = r.no)::INT) AS ids_agree
 FROM m JOIN wid w USING (winner, iso3) JOIN rid r ON r.iso3 = m.iso3 AND r.sub_name = m.sub_name
 WHERE m.how IN ('exact', 'fuzzy') AND length(w.no) >= 6 AND length(r.no) >= 6 GROUP BY 1""")
 def match_precision(spark, sf_dir):
-    return matching.match_precision(all_matches(spark, sf_dir), winners(spark, sf_dir), register(spark, sf_dir))
+    known, entries = settled_sides(spark, sf_dir)
+    return matching.match_precision(matching.match_all(known, entries), known, entries)
 
 
 @query("matched_share", _ALL_SQL + """
@@ -150,7 +154,8 @@ SELECT w.iso3, CAST(sum(w.awards) AS BIGINT) AS awards, sum(CASE WHEN m.winner I
        round(sum(CASE WHEN m.winner IS NOT NULL THEN w.value_capped ELSE 0 END) / sum(w.value_capped), 6) AS value_matched
 FROM winners w LEFT JOIN m USING (winner, iso3) GROUP BY 1 ORDER BY awards DESC, w.iso3 LIMIT 15""")
 def matched_share(spark, sf_dir):
-    by_country = matching.matched_share(winners(spark, sf_dir), all_matches(spark, sf_dir))
+    known, entries = settled_sides(spark, sf_dir)
+    by_country = matching.matched_share(known, matching.match_all(known, entries))
     return by_country.withColumn("value_matched", F.round("value_matched", 6)).orderBy(F.col("awards").desc(), "iso3").limit(15)
 
 

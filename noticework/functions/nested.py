@@ -9,38 +9,39 @@ LIST_OF_TEXT = "array<string>"
 LANGUAGE_OBJECT = "map<string,string>"
 
 
+def _opens_with(json_text: Column, mark: str) -> Column:
+    return F.startswith(F.ltrim(json_text), F.lit(mark))
+
+
 def items(json_text: Column) -> Column:
     """JSON list to an array of text; a scalar or broken JSON gives NULL."""
-    return F.from_json(json_text, LIST_OF_TEXT)
+    return F.when(_opens_with(json_text, "["), F.from_json(json_text, LIST_OF_TEXT))
 
 
-def _looks_like_list(json_text: Column) -> Column:
-    return F.startswith(F.ltrim(json_text), F.lit("["))
+def first_item(listed: Column, json_text: Column) -> Column:
+    """First element of a list already parsed by ``items``, or the scalar itself.
 
+    An empty list has no value; text that only looks like a list is a scalar.
+    """
+    return F.coalesce(F.try_element_at(listed, F.lit(1)), F.when(listed.isNull(), json_text))
 
-def first_or_scalar(json_text: Column) -> Column:
-    """First element of a list, or the scalar itself; an empty list has no value."""
-    listed = items(json_text)
-    return F.when(_looks_like_list(json_text) & listed.isNotNull(), F.try_element_at(listed, F.lit(1))).otherwise(json_text)
 
-
-def languages(json_text: Column) -> Column:
-    """Language codes of a language-keyed object, in document order."""
-    return F.json_object_keys(json_text)
+def first_or_scalar(json_text: Column) -> Column:
+    return first_item(items(json_text), json_text)
 
 
-def first_language(json_text: Column) -> Column:
-    return F.try_element_at(languages(json_text), F.lit(1))
+def language_texts(json_text: Column) -> Column:
+    """Language-keyed object as a map in document order; values stay raw JSON."""
+    return F.when(_opens_with(json_text, "{"), F.from_json(json_text, LANGUAGE_OBJECT))
 
 
-def in_first_language(json_text: Column) -> Column:
-    """Raw JSON held under the first language of the object."""
-    return F.try_element_at(F.from_json(json_text, LANGUAGE_OBJECT), first_language(json_text))
+def first_language(texts: Column) -> Column:
+    return F.try_element_at(F.map_keys(texts), F.lit(1))
 
 
-def first_text(json_text: Column) -> Column:
-    """First text in the first language."""
-    return first_or_scalar(in_first_language(json_text))
+def in_first_language(texts: Column) -> Column:
+    """Raw JSON held under the first language of the map."""
+    return F.try_element_at(F.map_values(texts), F.lit(1))
 
 
 def any_of(values: Column, test) -> Column:

@@ -156,14 +156,14 @@ def normalise_answers(raw: DataFrame, answer: str, fields: Sequence[str], code:
     array column) codes that were not asked for are dropped.
     """
     body = F.regexp_replace(F.trim(F.col(answer)), "^```json|^```|```$", "")
-    parsed = raw.withColumn("__v", F.try_parse_json(body)).filter(F.col("__v").isNotNull())
+    parsed = raw.withColumn("__v", F.try_parse_json(body))
     keyed = F.coalesce(F.try_variant_get("__v", "$.items", "map<string,variant>"), F.try_variant_get("__v", "$", "map<string,variant>"))
     all_codes = F.forall(F.map_keys(keyed), lambda k: k.rlike(code_pattern))
     listed = F.coalesce(F.try_variant_get("__v", "$.items", "array<variant>"), F.try_variant_get("__v", "$", "array<variant>"))
     no_key = F.lit(None).cast("string")
     from_list = F.transform(listed, lambda item: F.struct(no_key.alias("key"), item.alias("item")))
     from_object = F.when(all_codes, F.transform(F.map_entries(keyed), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("item"))))
-    rows = parsed.withColumn("__row", F.explode(F.coalesce(from_list, from_object)))
+    rows = parsed.withColumn("__row", F.explode_outer(F.coalesce(from_list, from_object)))
     value = F.col("__row")["item"]
     rows = rows.withColumn("__fields", F.try_variant_get(value, "$", "map<string,variant>")).filter(F.col("__fields").isNotNull())
     picked = {name: _flat(F.try_element_at(F.col("__fields"), F.lit(name))) for name in fields}

@@ -13,6 +13,7 @@ from noticework.functions.values import AWARD_CAP, share
 from noticework.operators.ordering import best_rows
 from noticework.operators.shares import with_grand_shares
 from noticework.operators.skew import salted_join
+from noticework.session import settled, spread_by
 
 # Similarity a near name has to reach, and when a winner is worth the fuzzy pass.
 NEAR_NAME = 0.95
@@ -67,60 +68,107 @@ def match_id(winners: DataFrame, register: DataFrame) -> DataFrame:
     return numbered.join(entries, ["iso3", "reg_no"]).withColumns({"sim": F.lit(1.0), "how": F.lit("id")}).select(*MATCH_COLUMNS)
 
 
-# Letters, digits and blank from rare to frequent in company names.  Only speed depends on
-# the order: any order finds the same pairs.
-_RARITY = "QXJZW7K4Y68935V20F1HBGUPDMCLSTORNIAE "
-_RANKS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijk"
-_ANY = "*"
+# Characters of a normalised name, and how many occurrences of each are told apart.  A name is
+# a bit set per occurrence level (bit i of level k: character i occurs at least k times), so
+# shared characters are counted with a few machine instructions.
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 "
+_LEVELS = 4
+_WORD_BITS = 64
+# Rank of the probe that stands for "nothing left to share"; ranks fit into three bit sets.
+_WILD = 3 * _WORD_BITS - 1
 
 
-def _tail_tokens(name: Column) -> Column:
-    """Characters after the first word as (occurrence, character) tokens, rarest first."""
-    tail = F.substring(name, F.length(first_word(name)) + 1, F.length(name))
+def _bit(position: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), position.cast("int"))
+
+
+def _with_profile(names: DataFrame, block: str) -> DataFrame:
+    """Distinct names with length, first word, and the characters after it as occurrence levels (``l1``..), tokens and overflow."""
+    shaped = names.distinct().select(block, "name_norm", F.length("name_norm").alias("len"), first_word(F.col("name_norm")).alias("word"))
+    tail = F.substring(F.col("name_norm"), F.length("word") + 1, F.col("len"))
     chars = F.filter(F.split(tail, ""), lambda c: c != "")
-    seen = F.transform(chars, lambda c, i: F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c)))
-    numbered = F.zip_with(chars, seen, lambda c, n: F.concat(F.lpad((F.lit(999) - n).cast("string"), 3, "0"), F.translate(c, _RARITY, _RANKS)))
-    return F.array_sort(numbered)
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(*[zero.alias(f"l{k}") for k in range(1, _LEVELS + 1)], zero.alias("over"))
+
+    def add(state: Column, char: Column) -> Column:
+        bit = _bit(F.position(char, F.lit(_ALPHABET)) - 1)
+        levels = [state["l1"].bitwiseOR(bit).alias("l1")]
+        levels += [state[f"l{k}"].bitwiseOR(state[f"l{k - 1}"].bitwiseAND(bit)).alias(f"l{k}") for k in range(2, _LEVELS + 1)]
+        spilt = F.when(state[f"l{_LEVELS}"].bitwiseAND(bit) != 0, 1).otherwise(0)
+        return F.struct(*levels, (state["over"] + spilt).alias("over"))
+
+    shaped = shaped.withColumn("p", F.aggregate(chars, start, add)).select(block, "name_norm", "len", "word", "p.*")
+
+    def present(level: int) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.lit(len(_ALPHABET) - 1)), lambda i: F.col(f"l{level}").bitwiseAND(_bit(i)) != 0)
+        return F.transform(places, lambda i: i + F.lit((level - 1) * len(_ALPHABET)))
 
+    return shaped.withColumn("tokens", F.concat(*[present(k) for k in range(1, _LEVELS + 1)]))
 
-def _with_probes(names: DataFrame, factor: float) -> DataFrame:
-    """Add length, first word, tail tokens and the probe tokens of each name.
 
-    A partner above the threshold is at least ``(factor-1)`` times as long and shares at least
-    ``(factor-1)*length`` characters with the name, so by pigeonhole the two share one of the
-    first ``length - least + 1`` tokens of a common order.  The first word is equal on both
-    sides and counts as shared already; where it alone reaches the bound, the name also
-    probes with a token that every other such name carries.
+def _token_order(profiles: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Tokens of each block from rare to frequent; at most one entry per character and level."""
+    counted = profiles.select(*keys, F.explode("tokens").alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("n"))
+    ranked = F.array_sort(F.collect_list(F.struct("n", "token")))
+    return counted.groupBy(*keys).agg(F.transform(ranked, lambda t: t["token"]).alias("order"))
+
+
+def _probes(profiles: DataFrame, order: DataFrame, keys: Sequence[str], factor: float) -> DataFrame:
+    """One row per probe of a name, with the bit sets of the probes before it.
+
+    A partner that reaches the threshold is at least ``(factor-1)`` times as long and shares
+    at least ``(factor-1)*length`` characters, so by pigeonhole the two share one of the first
+    ``length - least + 1`` tokens of a common order.  The first word is equal on both sides
+    and counts as shared; where it alone may reach the bound, the name also probes with a
+    token that every other such name carries.
     """
-    shaped = names.withColumns({"len": F.length("name_norm"), "word": first_word(F.col("name_norm")), "tokens": _tail_tokens(F.col("name_norm"))})
+    ranked = profiles.join(order, list(keys), "left")
     least = F.ceil(F.col("len") * F.lit(factor - 1.0) - F.lit(1e-9)).cast("int")
-    shaped = shaped.withColumn("probes", F.slice("tokens", F.lit(1), F.greatest(F.col("len") - least + 1, F.lit(1))))
-    wild = F.when(least <= F.length("word"), F.array(F.lit(_ANY))).otherwise(F.array().cast("array<string>"))
-    return shaped.withColumn("probes", F.concat(wild, F.col("probes")))
+    # (The outer explode below keeps Spark from testing the array once more before the explode.)
+    own = F.filter(F.sequence(F.lit(0), F.size("order") - 1), lambda i: F.array_contains("tokens", F.col("order")[i]))
+    own = F.coalesce(F.when(F.size("order") > 0, F.slice(own, F.lit(1), F.greatest(F.col("len") - least + 1, F.lit(1)))), F.array().cast("array<int>"))
+    wild = F.when(least <= F.length("word") + F.col("over"), F.array(F.lit(_WILD))).otherwise(F.array().cast("array<int>"))
+    exploded = ranked.withColumn("ranks", F.concat(wild, own)).select("*", F.posexplode_outer("ranks").alias("pos", "probe"))
+    earlier = F.slice("ranks", F.lit(1), F.col("pos"))
+
+    def seen(part: int) -> Column:
+        inside = F.filter(earlier, lambda r: F.floor(r / _WORD_BITS) == part)
+        return F.aggregate(inside, F.lit(0).cast("bigint"), lambda acc, r: acc.bitwiseOR(_bit(F.pmod(r, F.lit(_WORD_BITS)))))
+
+    levels = [f"l{k}" for k in range(1, _LEVELS + 1)]
+    return exploded.select(*keys, "probe", "name_norm", "len", *levels, "over", *[seen(part).alias(f"seen{part}") for part in range(3)])
 
 
 def similar_names(left: DataFrame, right: DataFrame, threshold: float = NEAR_NAME, block: str = "iso3") -> DataFrame:
     """All pairs of different names with an equal block and first word that reach the threshold.
 
-    Both inputs hold distinct (block, name_norm).  Instead of comparing every pair of a block,
-    names meet only on probe tokens (see ``_with_probes``), hot tokens are salted, and length
-    and shared-character bounds drop the rest before the similarity is computed.  No bound
-    can drop a pair that reaches the threshold.
+    Instead of comparing every pair of a block,
+    names meet only on probe tokens (see ``_probes``), hot tokens are salted, and length and
+    shared-character bounds drop the rest before the similarity is computed.  No bound can
+    drop a pair that reaches the threshold.
     """
     factor = overlap_factor(threshold)
-    columns = [block, "word", "name_norm", "len", "tokens", "probes"]
-    a = _with_probes(left.select(block, "name_norm"), factor).select(*columns).withColumn("probe", F.explode("probes"))
-    b = _with_probes(right.select(block, "name_norm"), factor).select(*columns).withColumn("probe", F.explode("probes"))
-    b = b.select(block, "word", "probe", *[F.col(c).alias(f"other_{c}") for c in ("name_norm", "len", "tokens", "probes")])
-    pairs = salted_join(a, b, [block, "word", "probe"])
+    keys = [block, "word"]
+    a, b = (_with_profile(spread_by(names.select(block, "name_norm"), block, "name_norm"), block) for names in (left, right))
+    # Names whose block exists on one side only can meet nobody.
+    # Profiles are read three times and costly to repeat, so they are written down once.
+    a, b = (settled(a.join(b.select(*keys).distinct(), keys, "left_semi"), "profiles"),
+            settled(b.join(a.select(*keys).distinct(), keys, "left_semi"), "profiles"))
+    order = _token_order(a.select(*keys, "tokens").unionByName(b.select(*keys, "tokens")), keys)
+    a, b = _probes(a, order, keys, factor), _probes(b, order, keys, factor)
+    other = [c for c in b.columns if c not in (*keys, "probe")]
+    pairs = salted_join(a, b.select(*keys, "probe", *[F.col(c).alias(f"other_{c}") for c in other]), [*keys, "probe"])
     shorter, longer = F.least("len", "other_len"), F.greatest("len", "other_len")
     pairs = pairs.filter((F.col("name_norm") != F.col("other_name_norm")) & (shorter >= longer * F.lit(factor - 1.0) - 1e-9))
-    # A pair may meet on several tokens: it counts only on the first one both carry.
-    pairs = pairs.filter(F.array_min(F.array_intersect("probes", "other_probes")) == F.col("probe"))
+    # A pair may meet on several probes: only the first one both carry counts.
+    for part in range(3):
+        pairs = pairs.filter(F.col(f"seen{part}").bitwiseAND(F.col(f"other_seen{part}")) == 0)
+    common = F.length("word") + F.least("over", "other_over")
+    for k in range(1, _LEVELS + 1):
+        common = common + F.bit_count(F.col(f"l{k}").bitwiseAND(F.col(f"other_l{k}")))
     needed = F.lit(factor) * F.col("len") * F.col("other_len") / (F.col("len") + F.col("other_len")) - 1e-9
-    pairs = pairs.filter(F.size(F.array_intersect("tokens", "other_tokens")) + F.length("word") >= needed)
-    scored = pairs.select(block, "name_norm", "other_name_norm").withColumn("sim", jaro_winkler("name_norm", "other_name_norm"))
-    return scored.filter(F.col("sim") >= threshold)
+    scored = pairs.filter(common >= needed).select(block, "name_norm", "other_name_norm")
+    return scored.withColumn("sim", jaro_winkler("name_norm", "other_name_norm")).filter(F.col("sim") >= threshold)
 
 
 def match_fuzzy(winners: DataFrame, register: DataFrame, threshold: float = NEAR_NAME,
@@ -128,7 +176,7 @@ def match_fuzzy(winners: DataFrame, register: DataFrame, threshold: float = NEAR
     """Best near name per winner among those with enough awards or value."""
     worth = winners.filter((F.col("awards") >= min_awards) | (F.col("value_capped") >= min_value))
     entries = _register_by(register, ["iso3", "name_norm"]).withColumnRenamed("name_norm", "other_name_norm")
-    pairs = similar_names(worth.select("iso3", "name_norm").distinct(), register.select("iso3", "name_norm").distinct(), threshold)
+    pairs = similar_names(worth, register, threshold)
     named = pairs.join(entries, ["iso3", "other_name_norm"])
     best = best_rows(named, ["iso3", "name_norm"], [F.col("sim").desc(), F.col("sub_name"), F.col("parent")])
     return (worth.join(best.select("iso3", "name_norm", "parent", "sub_name", "sim"), ["iso3", "name_norm"])
@@ -148,6 +196,7 @@ def merge_matches(*matches: DataFrame) -> DataFrame:
 
 
 def match_all(winners: DataFrame, register: DataFrame, threshold: float = NEAR_NAME) -> DataFrame:
+    """All three methods; give it settled inputs, as each method reads them again."""
     return merge_matches(match_exact(winners, register), match_id(winners, register), match_fuzzy(winners, register, threshold))
 
 

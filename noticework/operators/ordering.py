@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticework.operators.entities import as_columns
-from noticework.session import cut_lineage
+from noticework.session import settled
 
 _RANK = "__position"
 
@@ -72,13 +72,12 @@ def number_shuffled(df: DataFrame, identity: str, seed: int | str, name: str = "
 def number_sorted(df: DataFrame, order: Sequence[str], name: str = "row_no") -> DataFrame:
     """Number rows 1..n in sort order.
 
-    Rows are range-partitioned once and checkpointed, because range boundaries are sampled
+    Rows are range-partitioned once and written down, because range boundaries are sampled
     and must not move between counting and numbering.  Equal order values may straddle no
     boundary, so give a unique order.
     """
     ranged = df.repartitionByRange(*as_columns(order)).withColumn("__bucket", F.spark_partition_id())
-    fixed = cut_lineage(df.sparkSession, ranged)
-    return _with_offsets(fixed, "__bucket", as_columns(order), name)
+    return _with_offsets(settled(ranged, "ranges"), "__bucket", as_columns(order), name)
 
 
 def pack_batches(numbered: DataFrame, size: int, line: Column, row_no: str = "row_no") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticework.functions.nested import aligned, distinct_known, in_first_language, items, single_or_aligned
+from noticework.functions.nested import aligned, distinct_known, in_first_language, items, language_texts, single_or_aligned
 
 
 def explode_winners(notices: DataFrame, keep: Sequence[str], names: str = "winner_names", countries: str = "winner_countries",
@@ -18,11 +18,11 @@ def explode_winners(notices: DataFrame, keep: Sequence[str], names: str = "winne
     position only when it is as long as the list of names and no name was repeated; a single
     distinct country holds for every winner.
     """
-    tenders = items(in_first_language(F.col(names)))
-    lists = notices.select(*keep, tenders.alias("__tenders"), items(F.col(countries)).alias("__countries"),
-                           items(F.col(ids)).alias("__ids"), items(F.col(sizes)).alias("__sizes"))
-    lists = lists.withColumn("__names", distinct_known(F.col("__tenders"))).filter(F.size("__names") > 0)
-    rows = lists.select("*", F.size("__names").alias("n_winners"), F.posexplode("__names").alias("__pos", "winner"))
+    first_texts = notices.withColumn("__texts", in_first_language(language_texts(F.col(names))))
+    lists = first_texts.select(*keep, items(F.col("__texts")).alias("__tenders"), items(F.col(countries)).alias("__countries"),
+                               items(F.col(ids)).alias("__ids"), items(F.col(sizes)).alias("__sizes"))
+    lists = lists.withColumn("__names", distinct_known(F.col("__tenders")))
+    rows = lists.select("*", F.size("__names").alias("n_winners"), F.posexplode_outer("__names").alias("__pos", "winner")).filter(F.col("winner").isNotNull())
     position = F.col("__pos") + 1
     expected = F.when(F.size("__tenders") == F.col("n_winners"), F.col("n_winners"))
     return rows.select(

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job wants, whatever the cluster size.  Partition counts are left to
 # AQE: start high, let it coalesce small shuffles and split skewed ones.
@@ -29,6 +29,7 @@ def local_session(app: str = "noticework", cpus: int | None = None, memory: str
         .appName(app)
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cores))
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -61,9 +62,31 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(spark: SparkSession, df):
-    """Reliable checkpoint of ``df`` (sets a folder first where the cluster names none)."""
-    folder = shared_folder(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """``df`` computed once and written to the shared folder.
+
+    For tables that several later steps read: they see a plain parquet table, whose size the
+    planner knows, and an executor loss costs a re-read instead of the whole computation.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread_by(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash partitioning with the session's full partition count, which AQE does not shrink.
+
+    For short rows that cost a lot of work each, where byte sizes say little.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
+def dealt_out(df: DataFrame) -> DataFrame:
+    """A scan's rows dealt over all cores when the input has fewer splits than that.
+
+    Meant for heavy row-wise work on compressed or single-block files; with enough splits it
+    changes nothing.  Give it plain scans: asking a joined or grouped table for its
+    partitions would run it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

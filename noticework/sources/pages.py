@@ -8,8 +8,8 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from noticework.functions.codes import CONTRACT_NATURES, FORM_TYPES, ISO3_TO_ISO2, by_table
 from noticework.functions.dates import iso_day
-from noticework.functions.nested import (any_equal, any_other_than, first_language, first_or_scalar, first_text, items,
-                                         total)
+from noticework.functions.nested import (any_equal, any_other_than, first_item, first_language, in_first_language, items,
+                                         language_texts, total)
 from noticework.functions.text import clipped
 from noticework.functions.values import number
 
@@ -23,16 +23,34 @@ eu-fund-lot duration-period-value-lot duration-period-unit-lot total-value total
 organisation-identifier-tenderer winner-country winner-size winner-decision-date
 """.split()
 
+# Fields by shape: a list or a scalar of which the first value counts, a list read as a whole,
+# an object keyed by language.
+FIRST_FIELDS = """
+procedure-identifier buyer-country organisation-identifier-buyer main-activity entity-main-activity buyer-legal-type
+classification-cpv place-of-performance contract-nature estimated-value-proc estimated-value-cur-proc
+estimated-value-cur-lot total-value total-value-cur duration-period-unit-lot winner-country winner-decision-date
+""".split()
+LANGUAGE_FIELDS = "buyer-name title-proc description-proc".split()
+
 # A field declared as text keeps nested JSON as raw text: one parse per page, whatever the shape.
 PAGE_SCHEMA = StructType([StructField("notices", ArrayType(StructType([StructField(f, StringType()) for f in PAGE_FIELDS])))])
 
 
-def _field(name: str) -> Column:
-    return F.col(f"n.`{name}`")
+def parsed_notices(lines: DataFrame) -> DataFrame:
+    """One row per notice with raw fields, first values (``first:``) and language maps (``texts:``).
 
-
-def _first(name: str) -> Column:
-    return first_or_scalar(_field(name))
+    Each JSON text is parsed once in a step of its own, because the later expressions use
+    the parsed value several times.  The outer explode keeps Spark from adding a test of the
+    list below it, which would parse every page twice.
+    """
+    notices = (lines.select("month", F.from_json("page", PAGE_SCHEMA).alias("doc"))
+               .select("month", F.explode_outer("doc.notices").alias("n")).filter(F.col("n").isNotNull())
+               .select("month", *[F.col(f"n.`{name}`").alias(name) for name in PAGE_FIELDS]))
+    notices = notices.withColumns({f"texts:{name}": language_texts(F.col(name)) for name in LANGUAGE_FIELDS})
+    notices = notices.withColumns({f"raw:{name}": in_first_language(F.col(f"texts:{name}")) for name in LANGUAGE_FIELDS})
+    sources = {name: name for name in FIRST_FIELDS} | {name: f"raw:{name}" for name in LANGUAGE_FIELDS}
+    notices = notices.withColumns({f"list:{name}": items(F.col(source)) for name, source in sources.items()})
+    return notices.withColumns({f"first:{name}": first_item(F.col(f"list:{name}"), F.col(source)) for name, source in sources.items()})
 
 
 def flatten_pages(lines: DataFrame, text_limit: int | None = None, list_limit: int | None = None) -> DataFrame:
@@ -41,59 +59,58 @@ def flatten_pages(lines: DataFrame, text_limit: int | None = None, list_limit: i
     Texts are kept whole; ``text_limit`` and ``list_limit`` cut them on request.  List
     fields stay JSON text, as their consumers parse them once more by meaning.
     """
-    notices = (lines.select("month", F.from_json("page", PAGE_SCHEMA).alias("doc"))
-               .select("month", F.explode("doc.notices").alias("n")).filter(F.col("n").isNotNull()))
-    nuts = _first("place-of-performance")
-    form = _field("form-type")
-    country = _first("buyer-country")
+
+    def first(name: str) -> Column:
+        return F.col(f"first:{name}")
 
     def raw(name: str) -> Column:
-        return clipped(_field(name), list_limit)
+        return clipped(F.col(name), list_limit)
 
+    form, country, nuts = F.col("form-type"), first("buyer-country"), first("place-of-performance")
     columns = {
-        "pub_number": _field("publication-number"),
-        "procedure_id": _first("procedure-identifier"),
-        "pub_date": iso_day(_field("publication-date")),
-        "dispatch_date": iso_day(_field("dispatch-date")),
+        "pub_number": F.col("publication-number"),
+        "procedure_id": first("procedure-identifier"),
+        "pub_date": iso_day(F.col("publication-date")),
+        "dispatch_date": iso_day(F.col("dispatch-date")),
         "month": F.col("month"),
-        "notice_type": _field("notice-type"),
+        "notice_type": F.col("notice-type"),
         "form_type": form,
         "type": by_table(form, FORM_TYPES),
         "country_iso3": country,
         "country": by_table(country, ISO3_TO_ISO2),
-        "buyer_name": first_text(_field("buyer-name")),
-        "buyer_id": _first("organisation-identifier-buyer"),
-        "main_activity": _first("main-activity"),
-        "entity_main_activity": _first("entity-main-activity"),
-        "buyer_legal_type": _first("buyer-legal-type"),
-        "contract_type": by_table(_first("contract-nature"), CONTRACT_NATURES),
-        "procedure_type": _field("procedure-type"),
-        "cpv": _first("classification-cpv"),
-        "cpv_div": F.left(_first("classification-cpv"), F.lit(2)),
+        "buyer_name": first("buyer-name"),
+        "buyer_id": first("organisation-identifier-buyer"),
+        "main_activity": first("main-activity"),
+        "entity_main_activity": first("entity-main-activity"),
+        "buyer_legal_type": first("buyer-legal-type"),
+        "contract_type": by_table(first("contract-nature"), CONTRACT_NATURES),
+        "procedure_type": F.col("procedure-type"),
+        "cpv": first("classification-cpv"),
+        "cpv_div": F.left(first("classification-cpv"), F.lit(2)),
         "nuts": nuts,
         "nuts2": F.when(F.length(nuts) >= 4, F.left(nuts, F.lit(4))),
-        "framework": any_other_than(items(_field("framework-agreement-lot")), "none"),
-        "eu_funds": any_equal(items(_field("eu-fund-lot")), "eu-funds"),
-        "lang": first_language(_field("title-proc")),
-        "title": first_text(_field("title-proc")),
-        "description": clipped(first_text(_field("description-proc")), text_limit),
+        "framework": any_other_than(items(F.col("framework-agreement-lot")), "none"),
+        "eu_funds": any_equal(items(F.col("eu-fund-lot")), "eu-funds"),
+        "lang": first_language(F.col("texts:title-proc")),
+        "title": first("title-proc"),
+        "description": clipped(first("description-proc"), text_limit),
         "lot_titles": raw("title-lot"),
         "lot_descriptions": raw("description-lot"),
-        "est_value": number(_first("estimated-value-proc")),
-        "est_value_cur": _first("estimated-value-cur-proc"),
-        "est_value_lots": total(items(_field("estimated-value-lot"))),
-        "est_value_lot_cur": _first("estimated-value-cur-lot"),
-        "framework_max_value_lots": total(items(_field("framework-maximum-value-lot"))),
-        "total_value": number(_first("total-value")),
-        "total_value_cur": _first("total-value-cur"),
+        "est_value": number(first("estimated-value-proc")),
+        "est_value_cur": first("estimated-value-cur-proc"),
+        "est_value_lots": total(items(F.col("estimated-value-lot"))),
+        "est_value_lot_cur": first("estimated-value-cur-lot"),
+        "framework_max_value_lots": total(items(F.col("framework-maximum-value-lot"))),
+        "total_value": number(first("total-value")),
+        "total_value_cur": first("total-value-cur"),
         "tender_values": raw("tender-value"),
         "lot_durations": raw("duration-period-value-lot"),
-        "lot_duration_unit": _first("duration-period-unit-lot"),
+        "lot_duration_unit": first("duration-period-unit-lot"),
         "winner_names": raw("winner-name"),
         "winner_ids": raw("organisation-identifier-tenderer"),
-        "winner_country": _first("winner-country"),
+        "winner_country": first("winner-country"),
         "winner_countries": raw("winner-country"),
         "winner_sizes": raw("winner-size"),
-        "award_date": iso_day(_first("winner-decision-date")),
+        "award_date": iso_day(first("winner-decision-date")),
     }
-    return notices.select(*[expr.alias(name) for name, expr in columns.items()])
+    return parsed_notices(lines).select(*[expr.alias(name) for name, expr in columns.items()])

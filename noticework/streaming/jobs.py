@@ -10,7 +10,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
 from noticework.operators.ordering import keep_last
-from noticework.session import cut_lineage
+from noticework.session import settled
 from noticework.sources.pages import flatten_pages
 from noticework.sources.writers import existing
 
@@ -58,8 +58,8 @@ def upsert_latest(stream: DataFrame, target: str, checkpoint: str, cell: Sequenc
             same_type = held.withColumn(partition, F.col(partition).cast(batch.schema[partition].dataType))
             merged = same_type.join(touched, partition, "left_semi").select(*batch.columns).unionByName(batch)
         # The target is read and rewritten, so the merged rows are cut off from it first.
-        settled = cut_lineage(spark, keep_last(merged, cell, recency))
-        settled.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(partition).parquet(target)
+        latest = settled(keep_last(merged, cell, recency), "upsert")
+        latest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(partition).parquet(target)
 
     run_available(stream.writeStream.foreachBatch(merge).outputMode("append"), checkpoint)
 
