@@ -9,13 +9,14 @@ LIST_OF_TEXT = "array<string>"
 LANGUAGE_OBJECT = "map<string,string>"
 
 
-def _opens_with(json_text: Column, mark: str) -> Column:
-    return F.startswith(F.ltrim(json_text), F.lit(mark))
+def _enclosed(json_text: Column, opening: str, closing: str) -> Column:
+    """Both brackets are needed: the parser would take ``[2024] Works`` for a list."""
+    return F.startswith(F.ltrim(json_text), F.lit(opening)) & F.endswith(F.rtrim(json_text), F.lit(closing))
 
 
 def items(json_text: Column) -> Column:
     """JSON list to an array of text; a scalar or broken JSON gives NULL."""
-    return F.when(_opens_with(json_text, "["), F.from_json(json_text, LIST_OF_TEXT))
+    return F.when(_enclosed(json_text, "[", "]"), F.from_json(json_text, LIST_OF_TEXT))
 
 
 def first_item(listed: Column, json_text: Column) -> Column:
@@ -32,7 +33,7 @@ def first_or_scalar(json_text: Column) -> Column:
 
 def language_texts(json_text: Column) -> Column:
     """Language-keyed object as a map in document order; values stay raw JSON."""
-    return F.when(_opens_with(json_text, "{"), F.from_json(json_text, LANGUAGE_OBJECT))
+    return F.when(_enclosed(json_text, "{", "}"), F.from_json(json_text, LANGUAGE_OBJECT))
 
 
 def first_language(texts: Column) -> Column:
