@@ -78,32 +78,31 @@ _WORD_BITS = 64
 _WILD = 3 * _WORD_BITS - 1
 
 
-def _bit(position: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), position.cast("int"))
+# The same pieces as SQL text: one expression each instead of hundreds of column objects.
+_BIT_OF_CHAR = f"shiftleft(1L, instr('{_ALPHABET}', c) - 1)"
+_STEPS = [f"'l1', s.l1 | {_BIT_OF_CHAR}"]
+_STEPS += [f"'l{k}', s.l{k} | (s.l{k - 1} & {_BIT_OF_CHAR})" for k in range(2, _LEVELS + 1)]
+_STEPS += [f"'over', s.over + if(s.l{_LEVELS} & {_BIT_OF_CHAR} <> 0, 1L, 0L)"]
+_PROFILE = f"""
+aggregate(filter(split(substring(name_norm, length(word) + 1), ''), c -> c <> ''),
+          named_struct({", ".join(f"'l{k}', 0L" for k in range(1, _LEVELS + 1))}, 'over', 0L),
+          (s, c) -> named_struct({", ".join(_STEPS)}))"""
+_TOKENS = "concat(" + ", ".join(
+    f"transform(filter(sequence(0, {len(_ALPHABET) - 1}), i -> l{k} & shiftleft(1L, i) <> 0), i -> i + {(k - 1) * len(_ALPHABET)})"
+    for k in range(1, _LEVELS + 1)) + ")"
+
+
+def _seen_before(part: int) -> str:
+    """Bit set of the earlier probes whose rank lies in one of the three words."""
+    return (f"aggregate(filter(slice(ranks, 1, pos), r -> floor(r / {_WORD_BITS}) = {part}), 0L, "
+            f"(acc, r) -> acc | shiftleft(1L, cast(r % {_WORD_BITS} as int)))")
 
 
 def _with_profile(names: DataFrame, block: str) -> DataFrame:
     """Distinct names with length, first word, and the characters after it as occurrence levels (``l1``..), tokens and overflow."""
     shaped = names.distinct().select(block, "name_norm", F.length("name_norm").alias("len"), first_word(F.col("name_norm")).alias("word"))
-    tail = F.substring(F.col("name_norm"), F.length("word") + 1, F.col("len"))
-    chars = F.filter(F.split(tail, ""), lambda c: c != "")
-    zero = F.lit(0).cast("bigint")
-    start = F.struct(*[zero.alias(f"l{k}") for k in range(1, _LEVELS + 1)], zero.alias("over"))
-
-    def add(state: Column, char: Column) -> Column:
-        bit = _bit(F.position(char, F.lit(_ALPHABET)) - 1)
-        levels = [state["l1"].bitwiseOR(bit).alias("l1")]
-        levels += [state[f"l{k}"].bitwiseOR(state[f"l{k - 1}"].bitwiseAND(bit)).alias(f"l{k}") for k in range(2, _LEVELS + 1)]
-        spilt = F.when(state[f"l{_LEVELS}"].bitwiseAND(bit) != 0, 1).otherwise(0)
-        return F.struct(*levels, (state["over"] + spilt).alias("over"))
-
-    shaped = shaped.withColumn("p", F.aggregate(chars, start, add)).select(block, "name_norm", "len", "word", "p.*")
-
-    def present(level: int) -> Column:
-        places = F.filter(F.sequence(F.lit(0), F.lit(len(_ALPHABET) - 1)), lambda i: F.col(f"l{level}").bitwiseAND(_bit(i)) != 0)
-        return F.transform(places, lambda i: i + F.lit((level - 1) * len(_ALPHABET)))
-
-    return shaped.withColumn("tokens", F.concat(*[present(k) for k in range(1, _LEVELS + 1)]))
+    shaped = shaped.withColumn("p", F.expr(_PROFILE)).select(block, "name_norm", "len", "word", "p.*")
+    return shaped.withColumn("tokens", F.expr(_TOKENS))
 
 
 def _token_order(profiles: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -125,18 +124,12 @@ def _probes(profiles: DataFrame, order: DataFrame, keys: Sequence[str], factor:
     ranked = profiles.join(order, list(keys), "left")
     least = F.ceil(F.col("len") * F.lit(factor - 1.0) - F.lit(1e-9)).cast("int")
     # (The outer explode below keeps Spark from testing the array once more before the explode.)
-    own = F.filter(F.sequence(F.lit(0), F.size("order") - 1), lambda i: F.array_contains("tokens", F.col("order")[i]))
+    own = F.expr("filter(sequence(0, size(order) - 1), i -> array_contains(tokens, order[i]))")
     own = F.coalesce(F.when(F.size("order") > 0, F.slice(own, F.lit(1), F.greatest(F.col("len") - least + 1, F.lit(1)))), F.array().cast("array<int>"))
     wild = F.when(least <= F.length("word") + F.col("over"), F.array(F.lit(_WILD))).otherwise(F.array().cast("array<int>"))
     exploded = ranked.withColumn("ranks", F.concat(wild, own)).select("*", F.posexplode_outer("ranks").alias("pos", "probe"))
-    earlier = F.slice("ranks", F.lit(1), F.col("pos"))
-
-    def seen(part: int) -> Column:
-        inside = F.filter(earlier, lambda r: F.floor(r / _WORD_BITS) == part)
-        return F.aggregate(inside, F.lit(0).cast("bigint"), lambda acc, r: acc.bitwiseOR(_bit(F.pmod(r, F.lit(_WORD_BITS)))))
-
     levels = [f"l{k}" for k in range(1, _LEVELS + 1)]
-    return exploded.select(*keys, "probe", "name_norm", "len", *levels, "over", *[seen(part).alias(f"seen{part}") for part in range(3)])
+    return exploded.select(*keys, "probe", "name_norm", "len", *levels, "over", *[F.expr(_seen_before(part)).alias(f"seen{part}") for part in range(3)])
 
 
 def similar_names(left: DataFrame, right: DataFrame, threshold: float = NEAR_NAME, block: str = "iso3") -> DataFrame:
