@@ -11,7 +11,6 @@ from noticework.functions.similarity import jaro_winkler, overlap_factor
 from noticework.functions.text import NAME_FLOOR, company_name, digits, first_word, usable_register_number
 from noticework.functions.values import AWARD_CAP, share
 from noticework.operators.ordering import best_rows
-from noticework.operators.shares import with_grand_shares
 from noticework.operators.skew import salted_join
 from noticework.session import settled, spread_by
 
@@ -231,9 +230,3 @@ def parents(matches: DataFrame, headquarters: DataFrame) -> DataFrame:
 def split_value(notices: DataFrame, value: Column, awards: str = "awards") -> Column:
     """A notice total split equally over its awards."""
     return value / F.greatest(F.col(awards), F.lit(1))
-
-
-def match_counts(matches: DataFrame) -> DataFrame:
-    """Matched names and awards per method with shares of all matches."""
-    counted = matches.groupBy("how").agg(F.count(F.lit(1)).alias("winners"), F.sum("awards").alias("awards"))
-    return with_grand_shares(counted, {"winners": "share_of_matches"})

@@ -88,8 +88,3 @@ def pack_batches(numbered: DataFrame, size: int, line: Column, row_no: str = "ro
     return rows.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("codes"),
         F.array_join(F.transform(ordered, lambda r: r["__line"]), "\n").alias("payload"))
-
-
-def top_rows(df: DataFrame, k: int, *order: Column) -> DataFrame:
-    """A top-k report: each task keeps k rows, the last step merges those."""
-    return df.orderBy(*order).limit(k)

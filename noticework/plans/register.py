@@ -23,6 +23,11 @@ def match_winners(award: DataFrame, register: DataFrame) -> tuple[DataFrame, Dat
     return winners, entries, settled(matching.match_all(winners, entries), "matches")
 
 
+def leading_parents(matches: DataFrame, headquarters: DataFrame, k: int = 25) -> DataFrame:
+    """The k parents whose subsidiaries win the most awards."""
+    return matching.parents(matches, headquarters).orderBy(F.col("awards").desc(), "parent").limit(k)
+
+
 def match_companies(winner_ids: DataFrame, companies: DataFrame) -> DataFrame:
     """Winner register numbers joined to a company file by country prefix and national number."""
     prefix = register_prefix(F.col("country"))

@@ -164,6 +164,8 @@ def test_multinationals(spark, tables):
     headquarters = spark.createDataFrame([("Alpha", "USA")], "parent string, hq_iso3 string")
     winners, known, matches = register.match_winners(tables["award"], entries)
     assert matches.count() == 1 and winners.count() == 2 and known.count() == 1
+    top = register.leading_parents(matches, headquarters).first()
+    assert top["hq_iso3"] == "USA" and top["awards"] == 1
     shares = reports.multinational_shares(reports.won_by_name(tables["award"], tables["notice_can"]), matches, headquarters).first()
     assert shares["region"] == "US parent" and shares["share"] == 0.5 and shares["share_awards"] == 0.5
     ids = spark.createDataFrame([("FR", "12345678900012", 3), ("UK", "77", 1)], "country string, winner_id_norm string, awards int")
