@@ -72,12 +72,12 @@ def match_id(winners: DataFrame, register: DataFrame) -> DataFrame:
 # shared characters are counted with a few machine instructions.
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 "
 _LEVELS = 4
-_WORD_BITS = 64
-# Rank of the probe that stands for "nothing left to share"; ranks fit into three bit sets.
-_WILD = 3 * _WORD_BITS - 1
 
-
-# The same pieces as SQL text: one expression each instead of hundreds of column objects.
+# Bit sets of the n-th part when the alphabet is dealt into a number of parts (first index: parts - 1).
+_PARTS = "array(" + ", ".join(
+    "array(" + ", ".join(f"{sum(1 << i for i in range(part, len(_ALPHABET), parts))}L" for part in range(parts)) + ")"
+    for parts in range(1, len(_ALPHABET) + 1)) + ")"
+# As SQL text: one expression instead of hundreds of column objects.
 _BIT_OF_CHAR = f"shiftleft(1L, instr('{_ALPHABET}', c) - 1)"
 _STEPS = [f"'l1', s.l1 | {_BIT_OF_CHAR}"]
 _STEPS += [f"'l{k}', s.l{k} | (s.l{k - 1} & {_BIT_OF_CHAR})" for k in range(2, _LEVELS + 1)]
@@ -86,81 +86,60 @@ _PROFILE = f"""
 aggregate(filter(split(substring(name_norm, length(word) + 1), ''), c -> c <> ''),
           named_struct({", ".join(f"'l{k}', 0L" for k in range(1, _LEVELS + 1))}, 'over', 0L),
           (s, c) -> named_struct({", ".join(_STEPS)}))"""
-_TOKENS = "concat(" + ", ".join(
-    f"transform(filter(sequence(0, {len(_ALPHABET) - 1}), i -> l{k} & shiftleft(1L, i) <> 0), i -> i + {(k - 1) * len(_ALPHABET)})"
-    for k in range(1, _LEVELS + 1)) + ")"
-
-
-def _seen_before(part: int) -> str:
-    """Bit set of the earlier probes whose rank lies in one of the three words."""
-    return (f"aggregate(filter(slice(ranks, 1, pos), r -> floor(r / {_WORD_BITS}) = {part}), 0L, "
-            f"(acc, r) -> acc | shiftleft(1L, cast(r % {_WORD_BITS} as int)))")
 
 
 def _with_profile(names: DataFrame, block: str) -> DataFrame:
-    """Distinct names with length, first word, and the characters after it as occurrence levels (``l1``..), tokens and overflow."""
+    """Distinct names with length, first word, and the characters after it as occurrence levels (``l1``..) and overflow."""
     shaped = names.distinct().select(block, "name_norm", F.length("name_norm").alias("len"), first_word(F.col("name_norm")).alias("word"))
-    shaped = shaped.withColumn("p", F.expr(_PROFILE)).select(block, "name_norm", "len", "word", "p.*")
-    return shaped.withColumn("tokens", F.expr(_TOKENS))
-
+    return shaped.withColumn("p", F.expr(_PROFILE)).select(block, "name_norm", "len", "word", "p.*")
 
-def _token_order(profiles: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Tokens of each block from rare to frequent; at most one entry per character and level."""
-    counted = profiles.select(*keys, F.explode("tokens").alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("n"))
-    ranked = F.array_sort(F.collect_list(F.struct("n", "token")))
-    return counted.groupBy(*keys).agg(F.transform(ranked, lambda t: t["token"]).alias("order"))
 
+def _with_probes(profiles: DataFrame, factor: float) -> DataFrame:
+    """One row per partner length and alphabet part, with a hash of the name's characters in that part.
 
-def _probes(profiles: DataFrame, order: DataFrame, keys: Sequence[str], factor: float) -> DataFrame:
-    """One row per probe of a name, with the bit sets of the probes before it.
-
-    A partner that reaches the threshold is at least ``(factor-1)`` times as long and shares
-    at least ``(factor-1)*length`` characters, so by pigeonhole the two share one of the first
-    ``length - least + 1`` tokens of a common order.  The first word is equal on both sides
-    and counts as shared; where it alone may reach the bound, the name also probes with a
-    token that every other such name carries.
+    For a pair of lengths the bound leaves room for ``d`` unshared characters at most, counted
+    on both sides together.  Dealing the alphabet into ``d + 1`` parts, one part at least holds
+    exactly the same characters in both names, so the two meet on its hash.  Where ``d + 1``
+    exceeds the alphabet (very long names) they meet on their lengths alone.
     """
-    ranked = profiles.join(order, list(keys), "left")
-    least = F.ceil(F.col("len") * F.lit(factor - 1.0) - F.lit(1e-9)).cast("int")
-    # (The outer explode below keeps Spark from testing the array once more before the explode.)
-    own = F.expr("filter(sequence(0, size(order) - 1), i -> array_contains(tokens, order[i]))")
-    own = F.coalesce(F.when(F.size("order") > 0, F.slice(own, F.lit(1), F.greatest(F.col("len") - least + 1, F.lit(1)))), F.array().cast("array<int>"))
-    wild = F.when(least <= F.length("word") + F.col("over"), F.array(F.lit(_WILD))).otherwise(F.array().cast("array<int>"))
-    exploded = ranked.withColumn("ranks", F.concat(wild, own)).select("*", F.posexplode_outer("ranks").alias("pos", "probe"))
-    levels = [f"l{k}" for k in range(1, _LEVELS + 1)]
-    return exploded.select(*keys, "probe", "name_norm", "len", *levels, "over", *[F.expr(_seen_before(part)).alias(f"seen{part}") for part in range(3)])
+    shortest, longest = F.ceil(F.col("len") * (factor - 1.0) - 1e-9), F.floor(F.col("len") / (factor - 1.0) + 1e-9)
+    spread = profiles.withColumn("partner_len", F.explode_outer(F.sequence(shortest.cast("int"), longest.cast("int"))))
+    shared = F.ceil(F.lit(factor) * F.col("len") * F.col("partner_len") / (F.col("len") + F.col("partner_len")) - 1e-9).cast("int")
+    spread = spread.withColumn("parts", F.greatest(F.col("len") + F.col("partner_len") - shared * 2, F.lit(0)) + 1)
+    guided = F.col("parts") <= len(_ALPHABET)
+    spread = spread.withColumn("part", F.explode_outer(F.sequence(F.lit(0), F.when(guided, F.col("parts") - 1).otherwise(0))))
+    mask = F.expr(f"{_PARTS}[parts - 1][part]")
+    content = F.xxhash64(*[F.col(f"l{k}").bitwiseAND(mask) for k in range(1, _LEVELS + 1)])
+    return spread.withColumn("content", F.when(guided, content).otherwise(F.lit(0).cast("bigint"))).drop("parts")
 
 
 def similar_names(left: DataFrame, right: DataFrame, threshold: float = NEAR_NAME, block: str = "iso3") -> DataFrame:
     """All pairs of different names with an equal block and first word that reach the threshold.
 
-    Instead of comparing every pair of a block,
-    names meet only on probe tokens (see ``_probes``), hot tokens are salted, and length and
-    shared-character bounds drop the rest before the similarity is computed.  No bound can
-    drop a pair that reaches the threshold.
+    Instead of comparing every pair of a block, names meet only where their lengths fit and
+    one part of the alphabet holds the same characters (see ``_with_probes``); hot meeting
+    points are salted, and the shared-character bound drops the rest before the similarity
+    is computed.  No bound can drop a pair that reaches the threshold.
     """
     factor = overlap_factor(threshold)
     keys = [block, "word"]
     a, b = (_with_profile(spread_by(names.select(block, "name_norm"), block, "name_norm"), block) for names in (left, right))
     # Names whose block exists on one side only can meet nobody.
-    # Profiles are read three times and costly to repeat, so they are written down once.
     a, b = (settled(a.join(b.select(*keys).distinct(), keys, "left_semi"), "profiles"),
             settled(b.join(a.select(*keys).distinct(), keys, "left_semi"), "profiles"))
-    order = _token_order(a.select(*keys, "tokens").unionByName(b.select(*keys, "tokens")), keys)
-    a, b = _probes(a, order, keys, factor), _probes(b, order, keys, factor)
-    other = [c for c in b.columns if c not in (*keys, "probe")]
-    pairs = salted_join(a, b.select(*keys, "probe", *[F.col(c).alias(f"other_{c}") for c in other]), [*keys, "probe"])
-    shorter, longer = F.least("len", "other_len"), F.greatest("len", "other_len")
-    pairs = pairs.filter((F.col("name_norm") != F.col("other_name_norm")) & (shorter >= longer * F.lit(factor - 1.0) - 1e-9))
-    # A pair may meet on several probes: only the first one both carry counts.
-    for part in range(3):
-        pairs = pairs.filter(F.col(f"seen{part}").bitwiseAND(F.col(f"other_seen{part}")) == 0)
+    meeting = [*keys, "len", "other_len", "part", "content"]
+    levels = [f"l{k}" for k in range(1, _LEVELS + 1)]
+    a = _with_probes(a, factor).withColumnRenamed("partner_len", "other_len").select(*meeting, "name_norm", *levels, "over")
+    b = _with_probes(b, factor).select(*keys, F.col("partner_len").alias("len"), F.col("len").alias("other_len"), "part", "content",
+                                       *[F.col(c).alias(f"other_{c}") for c in ("name_norm", *levels, "over")])
+    pairs = salted_join(a, b, meeting).filter(F.col("name_norm") != F.col("other_name_norm"))
     common = F.length("word") + F.least("over", "other_over")
-    for k in range(1, _LEVELS + 1):
-        common = common + F.bit_count(F.col(f"l{k}").bitwiseAND(F.col(f"other_l{k}")))
+    for level in levels:
+        common = common + F.bit_count(F.col(level).bitwiseAND(F.col(f"other_{level}")))
     needed = F.lit(factor) * F.col("len") * F.col("other_len") / (F.col("len") + F.col("other_len")) - 1e-9
-    scored = pairs.filter(common >= needed).select(block, "name_norm", "other_name_norm")
-    return scored.withColumn("sim", jaro_winkler("name_norm", "other_name_norm")).filter(F.col("sim") >= threshold)
+    # A pair may meet on several parts.
+    close = pairs.filter(common >= needed).select(block, "name_norm", "other_name_norm").distinct()
+    return close.withColumn("sim", jaro_winkler("name_norm", "other_name_norm")).filter(F.col("sim") >= threshold)
 
 
 def match_fuzzy(winners: DataFrame, register: DataFrame, threshold: float = NEAR_NAME,
