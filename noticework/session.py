@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -44,8 +46,9 @@ def local_session(app: str = "noticework", cpus: int | None = None, memory: str
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names for checkpoints.
 
-    Only where none is named (tests, a laptop) is a local one made and registered, so
-    that an executor loss on a cluster never loses the data written here.
+    A local master (tests, a laptop) may go without: it gets a temporary folder that is removed
+    when the driver ends.  On a cluster executors would write to their own disks, so there
+    a missing setting is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -53,7 +56,11 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="noticework-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext.getCheckpointDir() or folder
 
