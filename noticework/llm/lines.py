@@ -366,7 +366,7 @@ def _without_lines(texts: pa.Array, keys: pa.Array) -> list[pa.Array]:
     return [pa.array(out, pa.binary()).cast(pa.string()), pa.array(before, pa.int64()), pa.array(dropped, pa.int64())]
 
 
-def dedup_lines(docs: DataFrame, identity: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, identity: str = "doc_id", text: str = "text", n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
     """``docs`` cleaned of lines that a document with a smaller number holds; see ``LineStore.clean``."""
     shards = max(16, docs.count() // DOCS_PER_SHARD)
-    return LineStore(docs.sparkSession, shards=shards, identity=identity, text=text).insert(docs).clean(docs)
+    return LineStore(docs.sparkSession, shards=shards, identity=identity, text=text).insert(docs).clean(docs, n_lines, n_dropped)

@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from noticework.llm.common import table
 from noticework.llm.lines import dedup_lines
+from noticework.llm.mixing import mix
 from noticework.llm.packing import pack
 from noticework.llm.quality import judge_documents
+from noticework.llm.revisits import resolve_revisits
 from noticework.llm.shards import shard_rows
 from noticework.llm.simhash import near_duplicates
 from noticework.llm.topk import floored, top_k
 from noticework.llm.urlfilter import judge_urls
+from noticework.llm.wrappers import extract_main_text
 
 QueryFunction = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFunction] = {}
@@ -100,8 +103,8 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_top_k", """
 WITH usable AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scores AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
            FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
 ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM scores)
@@ -110,3 +113,61 @@ SELECT * FROM ranked WHERE rank <= 5
 def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", floored(F.col("embedding")).alias("vector"))
     return top_k(vectors.filter(F.col("vec_id") % 50 == 0), vectors, k=5)
+
+
+@query("op3_html_extraction")
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
+def captures(pages: DataFrame) -> DataFrame:
+    """Archive records made from pages: each one is a full response of its site section, and is asked for again later.
+
+    The second request comes up to six pages later, so the section may have changed meanwhile.
+    """
+    page, tag = F.col("page_id"), F.concat(F.lit('"'), F.md5(F.coalesce(F.col("html"), F.lit("")).cast("binary")), F.lit('"'))
+    section = F.regexp_extract("url", "^([a-zA-Z]+://[^/?#]*/[^/?#]*)", 1)
+    base = pages.select(page, section.alias("url"), F.when(page % 5 != 0, tag).alias("etag"), F.when(page % 3 != 0, F.concat(F.lit("day "), page % 400)).alias("last_modified"))
+    turn = F.explode(F.array(F.lit("response"), F.lit("revisit"))).alias("kind")
+    rows = base.select("*", turn)
+    later = F.col("kind") == "revisit"
+    at = (1000 * page + F.when(later, 500 + 1000 * (page % 7)).otherwise(0)).cast("bigint")
+    common = [F.lit("date"), at.cast("string"), F.lit("etag"), F.coalesce("etag", F.lit("none")), F.lit("content-type"), F.when(later, "none").otherwise("text/html")]
+    headers = F.when(later, F.create_map(*common)).otherwise(F.create_map(*common, F.lit("cache-control"), F.concat(F.lit("max-age="), page % 100)))
+    return rows.select((2 * page + later.cast("int")).cast("bigint").alias("record_id"), "url", at.alias("captured_at"), "kind", "etag", "last_modified", headers.alias("headers"))
+
+
+@query("op4_revisits", """
+WITH base AS (
+  SELECT page_id, regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)/[^/?#]*', 1) AS host, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*(/[^/?#]*)', 1) AS section,
+         CASE WHEN page_id % 5 <> 0 THEN '"' || md5(coalesce(html, '')) || '"' END AS etag,
+         CASE WHEN page_id % 3 <> 0 THEN 'day ' || (page_id % 400) END AS last_modified FROM pages),
+named AS (SELECT *, CASE WHEN host = '' THEN '' ELSE regexp_replace(lower(host), ':(80|443)$', '') || regexp_replace(section, '/+$', '') END AS canonical_url FROM base),
+responses AS (SELECT 2 * page_id AS record_id, canonical_url, 1000 * page_id AS captured_at, etag, last_modified, page_id,
+                     'cache-control=max-age=' || (page_id % 100) AS cache FROM named),
+revisits AS (SELECT 2 * page_id + 1 AS record_id, canonical_url, 1000 * page_id + 500 + 1000 * (page_id % 7) AS captured_at, etag, last_modified FROM named),
+met AS (
+  SELECT v.*, r.record_id AS referred_id, r.etag AS r_etag, r.last_modified AS r_modified, r.cache,
+         CASE WHEN r.record_id IS NULL THEN 'orphan'
+              WHEN v.etag IS NOT NULL AND r.etag IS NOT NULL THEN CASE WHEN v.etag = r.etag THEN 'validated' ELSE 'mismatch' END
+              WHEN v.last_modified IS NOT NULL AND r.last_modified IS NOT NULL THEN CASE WHEN v.last_modified = r.last_modified THEN 'validated' ELSE 'mismatch' END
+              ELSE 'unchecked' END AS outcome
+  FROM revisits v ASOF LEFT JOIN responses r ON v.canonical_url = r.canonical_url AND v.captured_at > r.captured_at)
+SELECT record_id, canonical_url, captured_at, 'revisit' AS kind, referred_id, outcome,
+       CASE WHEN outcome IN ('validated', 'unchecked') THEN cache || ';content-type=text/html' ELSE 'content-type=none' END
+       || ';date=' || captured_at || ';etag=' || coalesce(etag, 'none') AS merged_headers
+FROM met
+UNION ALL
+SELECT record_id, canonical_url, captured_at, 'response', NULL, 'full',
+       cache || ';content-type=text/html;date=' || captured_at || ';etag=' || coalesce(etag, 'none') FROM responses
+""")
+def revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = resolve_revisits(captures(table(spark, sf_dir, "pages")))
+    listed = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return resolved.withColumn("merged_headers", F.array_join(listed, ";")).drop("headers")
+
+
+@query("op8_mixing")
+def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"), max_repetition=4.0, seed=8, prefix="")
+    return mixed.select("doc_id", "source", "tokens", "weight", "pass", "place")
