@@ -38,9 +38,9 @@ MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
 
-_BLOCK = 1 << 22
-_PIECE = 1 << 20
-_MERGE_AT = 1 << 21
+_BLOCK = 1 << 20
+_PIECE = 1 << 18
+_MERGE_AT = 1 << 20
 _SALTS = 64
 _BIN = 1000  # bands are read off a histogram of this many bins per unit of log10 perplexity
 
@@ -322,29 +322,36 @@ def score_documents(docs: DataFrame, model: DataFrame, order: int = ORDER, text:
     """
     spark = docs.sparkSession
     shards = max(1, -(-model.count() // BROADCAST_ENTRIES))
-    fields = [StructField(prefix + c, LongType()) for c in STATISTICS]
-    total = fresh(docs, "log_sum")
+    total, size = fresh(docs, "log_sum"), prefix + "n_bytes"
     kept = list(docs.columns if keep is None else keep)
-    scored = with_arrow(docs, [text], StructType([*fields, StructField(prefix + "n_bytes", LongType())]), _statistics_columns, list(dict.fromkeys([*kept, text, lang])))
+    made = [*(prefix + c for c in STATISTICS), size]
+    texts = list(dict.fromkeys([*kept, text, lang]))
+    scored = docs
     for shard in range(shards):
         hashes = spark.sparkContext.broadcast(_shard(model, shard, shards))
-        inputs = [text, lang] if shard == 0 else [text, lang, total]
-        carried = [c for c in scored.columns if c != total and (shard < shards - 1 or c in kept or c.startswith(prefix + "n_") or c == prefix + "word_chars")]
-        scored = with_arrow(scored, inputs, StructType([StructField(total, DoubleType())]), _round(hashes, order, UNSEEN if shards == 1 else 0.0), carried)
-    perplexity = F.when(F.col(prefix + "n_bytes") > 0, -F.col(total) / F.col(prefix + "n_bytes"))
+        first, last = shard == 0, shard == shards - 1
+        carried = [*(kept if last else texts), *([] if first else made)]
+        outputs = StructType([*([StructField(c, LongType()) for c in made] if first else []), StructField(total, DoubleType())])
+        scored = with_arrow(scored, [text, lang, *([] if first else [total])], outputs, _round(hashes, order, UNSEEN if shards == 1 else 0.0), carried)
+    perplexity = F.when(F.col(size) > 0, -F.col(total) / F.col(size))
     return scored.select(*kept, *(F.col(prefix + c) for c in STATISTICS), perplexity.alias(prefix + "log10_ppl"))
 
 
 def _statistics_columns(texts: pa.Array) -> list[pa.Array]:
-    raw = as_bytes(texts)
-    rows = np.array([(*text_statistics(t), len(t or b"")) for t in raw], np.int64).reshape(-1, len(STATISTICS) + 1)
+    rows = np.empty((len(texts), len(STATISTICS) + 1), np.int64)
+    for i, value in enumerate(texts.cast(pa.binary())):
+        text = value.as_py()
+        rows[i] = *text_statistics(text), len(text or b"")
     return [pa.array(rows[:, j]) for j in range(rows.shape[1])]
 
 
 def _round(hashes: Broadcast, order: int, absent: float):
+    """One round of scoring; the first one also takes the text statistics."""
     def compute(texts: pa.Array, languages: pa.Array, before: pa.Array | None = None) -> list[pa.Array]:
         sums = _log_sums(texts, languages, order, hashes.value, absent)
-        return [pa.array(sums if before is None else sums + before.to_numpy(zero_copy_only=False))]
+        if before is None:
+            return [*_statistics_columns(texts), pa.array(sums)]
+        return [pa.array(sums + before.to_numpy(zero_copy_only=False))]
     return compute
 
 
