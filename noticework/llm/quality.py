@@ -156,10 +156,10 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
         grams = levels[k]
         times = [F.count(F.when(F.col("n") == i, 1)).cast("double") for i in (1, 2, 3, 4)]
         seen = grams.groupBy("lang").agg(*(t.alias(f"t{i}") for i, t in enumerate(times, 1)))
-        share = F.col("t1") / (F.col("t1") + 2 * F.col("t2"))
+        share = F.try_divide("t1", F.col("t1") + 2 * F.col("t2"))
         usable = (F.col("t1") > 0) & (F.col("t2") > 0) & (F.col("t3") > 0) & (F.col("t4") > 0)
         discounts = seen.select("lang", *(
-            F.when(usable, F.greatest(F.lit(0.0), i - (i + 1) * share * F.col(f"t{i + 1}") / F.col(f"t{i}"))).otherwise(0.5).alias(f"d{i}")
+            F.when(usable, F.greatest(F.lit(0.0), i - (i + 1) * share * F.try_divide(f"t{i + 1}", f"t{i}"))).otherwise(0.5).alias(f"d{i}")
             for i in (1, 2, 3)))
         context = F.shiftright("gram", 8).alias("context")
         masses = grams.groupBy("lang", context).agg(
@@ -333,7 +333,7 @@ def score_documents(docs: DataFrame, model: DataFrame, order: int = ORDER, text:
         carried = [*(kept if last else texts), *([] if first else made)]
         outputs = StructType([*([StructField(c, LongType()) for c in made] if first else []), StructField(total, DoubleType())])
         scored = with_arrow(scored, [text, lang, *([] if first else [total])], outputs, _round(hashes, order, UNSEEN if shards == 1 else 0.0), carried)
-    perplexity = F.when(F.col(size) > 0, -F.col(total) / F.col(size))
+    perplexity = -F.try_divide(total, size)
     return scored.select(*kept, *(F.col(prefix + c) for c in STATISTICS), perplexity.alias(prefix + "log10_ppl"))
 
 
@@ -376,7 +376,7 @@ def perplexity_bands(scored: DataFrame, lang: str = "lang", prefix: str = "") ->
 
 def inside_band(perplexity: F.Column, words: F.Column, first: F.Column, third: F.Column) -> F.Column:
     """Whether a log10 perplexity lies between the lower and the upper bound of its language."""
-    spread = F.greatest(third - first, F.lit(1.0 / _BIN)) * F.sqrt(1 + SHORT_WORDS / words)
+    spread = F.greatest(third - first, F.lit(1.0 / _BIN)) * F.sqrt(1 + SHORT_WORDS / F.greatest(words, F.lit(1)))
     return F.coalesce(perplexity.between(first - LOWER_REACH * spread, third + UPPER_REACH * spread), F.lit(False))
 
 
