@@ -7,13 +7,13 @@ the rest is packed best fit by falling length.  Spark numbers the pieces of each
 
 from __future__ import annotations
 
+import base64
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
-import base64
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -24,8 +24,6 @@ from noticework.session import settled
 
 CAPACITY = 1024
 END_ID = 2
-# Pieces of one length that one numbering task sorts, about.
-BUCKET_ROWS = 50_000
 
 Pattern = tuple[int, ...]
 
@@ -248,8 +246,11 @@ def pack(docs: DataFrame, identity: str = "doc_id", text: str = "text", capacity
 
 
 def number_within(rows: DataFrame, group: str, order: list[str], total: int) -> DataFrame:
-    """``rows`` with ``rank``: 0, 1, ... inside each group.  Groups are numbered in hashed buckets, so a hot one is not sorted in one task."""
-    buckets = max(1, -(-total // BUCKET_ROWS))
+    """``rows`` with ``rank``: 0, 1, ... inside each group.  Groups are numbered in hashed buckets, so a hot one is not sorted in one task.
+
+    With the square root of all rows as the number of buckets, neither a bucket nor the list of a group's buckets grows large.
+    """
+    buckets = max(1, math.isqrt(total))
     split = rows.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     sizes = split.groupBy(group, "bucket").agg(F.count(F.lit(1)).alias("size"))
     before = F.coalesce(F.sum("size").over(Window.partitionBy(group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
