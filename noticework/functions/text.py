@@ -40,6 +40,9 @@ def _accent_table() -> tuple[str, str]:
             dropped.append(char)
     return "".join(m[0] for m in mapped) + "".join(dropped), "".join(m[1] for m in mapped)
 
+# Length for substrings that take the rest of a text.
+TO_END = 1 << 30
+
 
 def without_accents(text: Column) -> Column:
     source, target = _accent_table()
@@ -87,12 +90,12 @@ def national_id(prefix: Column, raw: Column) -> Column:
         .otherwise(raw)
     )
     carries_prefix = F.startswith(short, prefix) & F.substring(short, 3, 1).rlike("^[0-9]$")
-    return F.when(carries_prefix, F.substring(short, 3, 100)).otherwise(short)
+    return F.when(carries_prefix, F.substring(short, 3, TO_END)).otherwise(short)
 
 
 def embedded_national_id(company_id: Column) -> Column:
     """Letters and digits after the two-letter prefix of a company identifier."""
-    return F.upper(F.regexp_replace(F.substring(company_id, 3, 100), "[^A-Za-z0-9]", ""))
+    return F.upper(F.regexp_replace(F.substring(company_id, 3, TO_END), "[^A-Za-z0-9]", ""))
 
 
 def first_word(name: Column) -> Column:
@@ -100,9 +103,9 @@ def first_word(name: Column) -> Column:
 
 
 def notice_number(export_id: Column) -> Column:
-    """``2023263753`` (year, running number) to the printed form ``263753-2023``."""
-    running = F.substring(export_id, 5, 20).try_cast("bigint").cast("string")
-    return F.concat(running, F.lit("-"), F.substring(export_id, 1, 4))
+    """``2023263753`` (year, running number) to the printed form ``263753-2023``; other ids stay as they are."""
+    running = F.substring(export_id, 5, TO_END).try_cast("bigint").cast("string")
+    return F.coalesce(F.concat(running, F.lit("-"), F.substring(export_id, 1, 4)), export_id)
 
 
 def mentions(text: Column, words: list[str] | tuple[str, ...]) -> Column:

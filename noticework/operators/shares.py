@@ -78,11 +78,14 @@ def long_counts(df: DataFrame, panels: Mapping[str, Column], category: str = "ca
             .filter(F.col(category).isNotNull()).groupBy("panel", category).agg(F.count(F.lit(1)).alias("n")))
 
 
-def top_and_other(counts: DataFrame, by: Sequence[str], category: str, n: str, keep: int, other: str = "Other") -> DataFrame:
-    """Largest ``keep`` categories by name, the rest added up; shares of the group total."""
+def top_and_other(counts: DataFrame, by: Sequence[str], category: str, n: str, keep: int, other: str = "Other", where: Column | None = None) -> DataFrame:
+    """Largest ``keep`` categories by name, the rest added up; shares of the group total.
+
+    ``where`` limits the folding to some groups; the others keep all their categories.
+    """
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(n).desc(), F.col(category)))
     ranked = counts.withColumn("__rank", rank)
-    folded = ranked.withColumn(category, F.when(F.col("__rank") > keep, other).otherwise(F.col(category)))
+    folded = ranked.withColumn(category, F.when((F.col("__rank") > keep) & (F.lit(True) if where is None else where), other).otherwise(F.col(category)))
     return with_shares(folded.groupBy(*by, category).agg(F.sum(n).alias(n)), by, {n: "share"})
 
 

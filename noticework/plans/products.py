@@ -115,9 +115,13 @@ def _from_pages(api: DataFrame) -> DataFrame:
 
 
 def history(cn: DataFrame, can: DataFrame, api: DataFrame, rates: DataFrame) -> DataFrame:
-    """``notice_all``: one continuous history in euro; at the seam the page row wins."""
+    """``notice_all``: one continuous history in euro; at the seam the page row wins.
+
+    Rows without a number cannot be told apart, so all of them stay.
+    """
     every = _from_export(cn, "cn").unionByName(_from_export(can, "can")).unionByName(_from_pages(api))
-    once = best_rows(every, ["type", "pub_number"], [F.col("source"), F.col("dispatch_date"), F.col("value")])
+    numbered, unnumbered = every.filter(F.col("pub_number").isNotNull()), every.filter(F.col("pub_number").isNull())
+    once = best_rows(numbered, ["type", "pub_number"], [F.col("source"), F.col("dispatch_date"), F.col("value")]).unionByName(unnumbered)
     return to_base_currency(once, rates, "value", "value_cur", F.coalesce("dispatch_date", "pub_date"), name="value_eur")
 
 

@@ -16,6 +16,7 @@ from noticework.operators import labels, matching, quality, shares
 from noticework.operators.correlation import log_correlation, log_correlation_by_window
 from noticework.operators.entities import monthly_panel, procedures_per_month, to_procedures
 from noticework.operators.lookups import prefix_class, resolve_function
+from noticework.operators.ordering import keep_last
 
 HISTORY_START = dt.date(2016, 1, 1)
 
@@ -48,22 +49,33 @@ def counted_notices(notice_all: DataFrame, last: dt.date | None = None) -> DataF
 # --- coverage and quality -----------------------------------------------------------------------
 
 def export_coverage(raw: DataFrame, kind: str, identity: str, value: str) -> DataFrame:
-    """Distinct notices and shares per year and country of one export type."""
-    per_notice = raw.groupBy(F.col("YEAR").alias("year"), F.col("ISO_COUNTRY_CODE").alias("country"), F.col(identity).alias("id")).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.bool_or(number(F.col(value)) > 0).alias("has_value"),
+    """Distinct notices and shares per year and country of one export type.
+
+    A notice counts once, in its first year, even if several yearly files hold it.
+    """
+    per_notice = raw.groupBy(F.col(identity).alias("id")).agg(
+        F.min("YEAR").alias("year"), F.min("ISO_COUNTRY_CODE").alias("country"), F.count(F.lit(1)).alias("n_rows"), F.bool_or(number(F.col(value)) > 0).alias("has_value"),
         F.bool_or(F.col("B_FRA_AGREEMENT") == "Y").alias("framework"), F.bool_or(F.length("TAL_LOCATION_NUTS") >= 4).alias("nuts2"))
     return per_notice.groupBy(F.lit(kind).alias("type"), "year", "country").agg(
         F.count(F.lit(1)).alias("notices"), F.avg("n_rows").alias("rows_per_notice"), yes_share(F.col("has_value")).alias("value_share"),
         yes_share(F.col("framework")).alias("framework_share"), yes_share(F.col("nuts2")).alias("nuts2_share"))
 
 
+# Types of the count log that are calls (fixed values).
+CALL_TYPES = ["cn", "competition"]
+
+
 def month_profile(cn: DataFrame, counts: DataFrame, countries: Mapping[str, str]) -> DataFrame:
-    """Distinct export calls per month next to the counted series, overall and for some countries."""
+    """Distinct export calls per month next to the counted series, overall and for some countries.
+
+    The counts are a log: the last row of a cell replaces the earlier ones, and only calls are compared.
+    """
     ours = cn.groupBy(month_key(F.col("dispatch_date")).alias("month")).agg(
         F.count_distinct("id").alias("export_ALL"),
         *[F.count_distinct(F.when(F.col("country") == iso2, F.col("id"))).alias(f"export_{iso2}") for iso2 in countries])
     wanted = ["ALL", *countries.values()]
-    theirs = counts.filter(F.col("country").isin(*wanted)).groupBy(month_key(F.col("month")).alias("month")).pivot("country", wanted).agg(F.sum("n"))
+    calls = keep_last(counts.filter(F.col("type").isin(CALL_TYPES)), ["month", "country", "type"], ["asof"])
+    theirs = calls.filter(F.col("country").isin(*wanted)).groupBy(month_key(F.col("month")).alias("month")).pivot("country", wanted).agg(F.sum("n"))
     return quality.reconcile(ours, theirs, ["month"], "export_ALL", "ALL")
 
 
@@ -156,15 +168,18 @@ def buyer_types(notice_all: DataFrame, year: int) -> DataFrame:
     return shares.composition(df, ["country"], F.col("buyer_type"), F.count_distinct(_procedure()), named)
 
 
-def summary(notice_all: DataFrame, last: dt.date = dt.date(2025, 12, 31), keep: int = 9) -> DataFrame:
-    """Calls by several dimensions and awards by value, long form, largest categories by name."""
+def summary(notice_all: DataFrame, last: dt.date | None = None, keep: int = 9) -> DataFrame:
+    """Calls by several dimensions and awards by value, long form.
+
+    Only activities and product divisions are folded to their largest ``keep``; years, classes and values stay whole.
+    """
     first = ["contract_type", "buyer_type", "activity", "cpv_div", "procedure"]
     p = to_procedures(counted_notices(notice_all, last), ["type", "proc"], "dispatch_date", "pub_number", first=first, distinct_sum={"v": F.col("v")})
     call, award = F.col("type") == "cn", F.col("type") == "can"
     panels = {"year": F.when(call, F.year("first_date"))}
     panels |= {name: F.when(call, F.coalesce(name, F.lit("unknown"))) for name in first}
     panels["value"] = F.when(award, magnitude(F.col("v")))
-    return shares.top_and_other(shares.long_counts(p, panels), ["panel"], "category", "n", keep)
+    return shares.top_and_other(shares.long_counts(p, panels), ["panel"], "category", "n", keep, where=F.col("panel").isin("activity", "cpv_div"))
 
 
 # --- functions of government ----------------------------------------------------------------------

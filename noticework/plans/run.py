@@ -22,16 +22,19 @@ class Inputs:
     rates: str
 
 
-def build_products(spark: SparkSession, inputs: Inputs, out: str, spread: int | None = None) -> dict[str, DataFrame]:
-    """Build and write every product table; later tables read the written earlier ones."""
+def build_products(spark: SparkSession, inputs: Inputs, out: str, spread: int | None = None, line_breaks: bool = True) -> dict[str, DataFrame]:
+    """Build and write every product table; later tables read the written earlier ones.
+
+    ``line_breaks=False`` says that no quoted text of the exports holds a line break, so large files are split over tasks.
+    """
     made: dict[str, DataFrame] = {}
 
     def keep(name: str, df: DataFrame) -> None:
         write_product(df, f"{out}/{name}")
         made[name] = read_parquet(spark, f"{out}/{name}")
 
-    keep("raw_calls", read_text_csv_by_header(spark, inputs.calls))
-    keep("raw_awards", read_text_csv_by_header(spark, inputs.awards))
+    keep("raw_calls", read_text_csv_by_header(spark, inputs.calls, line_breaks))
+    keep("raw_awards", read_text_csv_by_header(spark, inputs.awards, line_breaks))
     keep("award_rows", products.award_rows(made["raw_awards"]))
     keep("notice_cn", products.call_notices(made["raw_calls"]))
     keep("notice_can", products.award_notices(made["raw_awards"], made["award_rows"]))

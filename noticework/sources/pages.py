@@ -36,14 +36,15 @@ LANGUAGE_FIELDS = "buyer-name title-proc description-proc".split()
 PAGE_SCHEMA = StructType([StructField("notices", ArrayType(StructType([StructField(f, StringType()) for f in PAGE_FIELDS])))])
 
 
-def parsed_notices(lines: DataFrame) -> DataFrame:
+def parsed_notices(lines: DataFrame, strict: bool = True) -> DataFrame:
     """One row per notice with raw fields, first values (``first:``) and language maps (``texts:``).
 
     Each JSON text is parsed once in a step of its own, because the later expressions use
     the parsed value several times.  The outer explode keeps Spark from adding a test of the
-    list below it, which would parse every page twice.
+    list below it, which would parse every page twice.  A malformed page stops the job, or
+    with ``strict=False`` gives no notice.
     """
-    notices = (lines.select("month", F.from_json("page", PAGE_SCHEMA).alias("doc"))
+    notices = (lines.select("month", F.from_json("page", PAGE_SCHEMA, {"mode": "FAILFAST" if strict else "PERMISSIVE"}).alias("doc"))
                .select("month", F.explode_outer("doc.notices").alias("n")).filter(F.col("n").isNotNull())
                .select("month", *[F.col(f"n.`{name}`").alias(name) for name in PAGE_FIELDS]))
     notices = notices.withColumns({f"texts:{name}": language_texts(F.col(name)) for name in LANGUAGE_FIELDS})

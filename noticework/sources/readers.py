@@ -27,10 +27,29 @@ def read_text_csv(spark: SparkSession, path: str | list[str], columns: Sequence[
     return df if file_column is None else df.withColumn(file_column, F.col("_metadata.file_name"))
 
 
-def read_text_csv_by_header(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """CSV whose header names the columns, all text, no sampling pass over the data."""
-    return (spark.read.option("header", True).option("inferSchema", False).option("quote", '"').option("escape", '"')
-            .option("multiLine", True).csv(path))
+def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
+    return tuple(spark.read.option("header", True).option("inferSchema", False).option("quote", '"').option("escape", '"').csv(path).columns)
+
+
+def _by_layout(spark: SparkSession, paths: Sequence[str], file_column: str | None, line_breaks: bool) -> DataFrame:
+    """Files of any headers as one table: files with the same header are read together, columns are united by name."""
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        layouts.setdefault(_header(spark, path), []).append(path)
+    parts = [read_text_csv(spark, files, header, file_column, line_breaks) for header, files in layouts.items()]
+    table = parts[0]
+    for part in parts[1:]:
+        table = table.unionByName(part, allowMissingColumns=True)
+    return table
+
+
+def read_text_csv_by_header(spark: SparkSession, path: str | list[str], line_breaks: bool = True) -> DataFrame:
+    """CSV whose headers name the columns, all text, no sampling pass over the data.
+
+    Each file keeps its own header, so files may order their columns differently or lack some.  ``line_breaks=False``
+    lets Spark split files whose texts hold no line breaks.
+    """
+    return _by_layout(spark, spark.read.text(path).inputFiles(), None, line_breaks)
 
 
 def read_tsv(spark: SparkSession, path: str, columns: Sequence[str], wanted: dict[str, str]) -> DataFrame:
@@ -52,14 +71,7 @@ def read_run_files(spark: SparkSession, paths: Sequence[str], run_pattern: str,
     Files with the same header are read together, so the plan grows with the number of
     layouts and not with the number of files.
     """
-    layouts: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
-        header = tuple(read_text_csv_by_header(spark, path).columns)
-        layouts.setdefault(header, []).append(path)
-    parts = [read_text_csv(spark, files, header, file_column="__file") for header, files in layouts.items()]
-    table = parts[0]
-    for part in parts[1:]:
-        table = table.unionByName(part, allowMissingColumns=True)
+    table = _by_layout(spark, paths, "__file", line_breaks=True)
     for name in columns:
         if name not in table.columns:
             table = table.withColumn(name, F.lit(None).cast("string"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +26,13 @@ def append_log(df: DataFrame, path: str) -> None:
 
 
 def existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None where nothing was written yet; any other failure is raised."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def write_new_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> DataFrame:
@@ -38,8 +43,10 @@ def write_new_partitions(df: DataFrame, path: str, partition_by: Sequence[str])
     done = existing(df.sparkSession, path)
     fresh = df
     if done is not None:
-        keys = [F.col(c).cast(df.schema[c].dataType).alias(c) for c in partition_by]
-        fresh = df.join(done.select(*keys).distinct(), list(partition_by), "left_anti")
+        # A missing partition value is a partition too, hence the null-safe comparison.
+        keys = done.select(*[F.col(c).cast(df.schema[c].dataType).alias(f"__done_{c}") for c in partition_by]).distinct()
+        same = [df[c].eqNullSafe(keys[f"__done_{c}"]) for c in partition_by]
+        fresh = df.join(keys, reduce(and_, same), "left_anti")
     fresh.write.mode("append").option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     return fresh
 

@@ -42,6 +42,20 @@ def ingest_pages(spark: SparkSession, source: str, target: str, checkpoint: str,
     run_available(writer.outputMode("append"), checkpoint)
 
 
+def touched_partitions(held: DataFrame, batch: DataFrame, partition: str) -> DataFrame:
+    """Rows of the partitions that a batch touches, the one without a value included.
+
+    The few values go into the filter as literals, so only their folders are listed and read.
+    """
+    kind = batch.schema[partition].dataType
+    values = [r[0] for r in batch.select(partition).distinct().collect()]
+    own = F.col(partition).cast(kind)
+    wanted = own.isin([v for v in values if v is not None])
+    if None in values:
+        wanted = wanted | own.isNull()
+    return held.filter(wanted).withColumn(partition, own).select(*batch.columns)
+
+
 def upsert_latest(stream: DataFrame, target: str, checkpoint: str, cell: Sequence[str], recency: Sequence[str], partition: str) -> None:
     """Keep one row per cell, however late its correction arrives.
 
@@ -54,9 +68,7 @@ def upsert_latest(stream: DataFrame, target: str, checkpoint: str, cell: Sequenc
         held = existing(spark, target)
         merged = batch
         if held is not None:
-            touched = batch.select(partition).distinct()
-            same_type = held.withColumn(partition, F.col(partition).cast(batch.schema[partition].dataType))
-            merged = same_type.join(touched, partition, "left_semi").select(*batch.columns).unionByName(batch)
+            merged = touched_partitions(held, batch, partition).unionByName(batch)
         # The target is read and rewritten, so the merged rows are cut off from it first.
         latest = settled(keep_last(merged, cell, recency), "upsert")
         latest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(partition).parquet(target)
