@@ -65,9 +65,12 @@ def band_report(consensus_with_use: DataFrame, by: str = "band", weight: str = "
 def pairwise_agreement(runs: DataFrame, names: Sequence[str], run: str = "run", code: str = "code", label: str = "label") -> DataFrame:
     """Agreement of every pair of runs over the codes both labelled.
 
-    One wide row per code and two sums per pair: no pair of rows is ever formed.
+    One wide row per code and two sums per pair: no pair of rows is ever formed.  A run missing
+    from ``names`` is an error.
     """
     ordered = sorted(names)
+    unlisted = F.raise_error(F.concat(F.lit("run not listed: "), F.coalesce(F.col(run), F.lit("NULL"))))
+    runs = runs.withColumn(run, F.when(F.col(run).isin(*ordered), F.col(run)).otherwise(unlisted))
     sheet = runs.groupBy(code).pivot(run, ordered).agg(F.min(label))
     cells = []
     for a, b in combinations(ordered, 2):

@@ -18,15 +18,17 @@ def literal_table(spark: SparkSession, rows: Iterable[tuple], schema: str | Stru
 
 def prefix_class(df: DataFrame, code: str, stems: DataFrame, lengths: Sequence[int], stem: str = "stem",
                  label: str = "category", default: str | None = None) -> DataFrame:
-    """Label of the longest stem the code starts with.
+    """Label of the longest stem the code starts with; a stem of a length not in ``lengths`` is an error.
 
     One equi join per stem length on the code's leading characters, longest first: rows are
     neither multiplied nor ranked, and with a small stem table nothing is shuffled.
     """
-    unique = stems.groupBy(stem).agg(F.min(label).alias(label))
+    unlisted = F.raise_error(F.concat(F.lit("stem of unlisted length: "), F.col(stem)))
+    size = F.when(F.length(stem).isin(*lengths) | F.col(stem).isNull(), F.length(stem)).otherwise(unlisted)
+    unique = stems.groupBy(stem).agg(F.min(label).alias(label)).withColumn("__size", size)
     found: list[Column] = []
     for length in sorted(lengths, reverse=True):
-        part = unique.filter(F.length(stem) == length).select(
+        part = unique.filter(F.col("__size") == length).select(
             F.col(stem).alias(f"__stem{length}"), F.col(label).alias(f"__label{length}"))
         df = df.join(part, F.left(F.col(code), F.lit(length)) == F.col(f"__stem{length}"), "left").drop(f"__stem{length}")
         found.append(F.col(f"__label{length}"))

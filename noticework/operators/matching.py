@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from noticework.operators.ordering import best_rows
 from noticework.operators.skew import salted_join
 from noticework.session import settled, spread_by
 
-# Similarity a near name has to reach, and when a winner is worth the fuzzy pass.
+# Similarity a near name has to reach; awards and value that ``match_fuzzy`` can be told to ask for.
 NEAR_NAME = 0.95
 FUZZY_MIN_AWARDS = 3
 FUZZY_MIN_VALUE = 5e6
@@ -88,64 +90,79 @@ aggregate(filter(split(substring(name_norm, length(word) + 1), ''), c -> c <> ''
           (s, c) -> named_struct({", ".join(_STEPS)}))"""
 
 
-def _with_profile(names: DataFrame, block: str) -> DataFrame:
-    """Distinct names with length, first word, and the characters after it as occurrence levels (``l1``..) and overflow."""
-    shaped = names.distinct().select(block, "name_norm", F.length("name_norm").alias("len"), first_word(F.col("name_norm")).alias("word"))
-    return shaped.withColumn("p", F.expr(_PROFILE)).select(block, "name_norm", "len", "word", "p.*")
+# Meeting points that a name needs in a large block, about; where fewer pairs than that exist, all pairs of the block meet.
+_USUAL_PROBES = 100
 
 
-def _with_probes(profiles: DataFrame, factor: float) -> DataFrame:
-    """One row per partner length and alphabet part, with a hash of the name's characters in that part.
+def _profiled(names: DataFrame, blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Names of shared blocks with an id, their length and characters as occurrence levels (``l1``..); ``over`` counts the rest."""
+    shaped = names.join(blocks, list(keys)).withColumns({"len": F.length("name_norm"), "p": F.expr(_PROFILE)})
+    # The first word is shared by definition, so all of it counts.
+    rest = (F.length("word") + F.col("p.over")).cast("int")
+    return settled(shaped.select(*keys, "name_norm", "direct", "len", *[f"p.l{k}" for k in range(1, _LEVELS + 1)], rest.alias("over"),
+                                 F.monotonically_increasing_id().alias("id")), "profiles")
+
+
+def _probes(profiles: DataFrame, factor: float, keys: Sequence[str], flipped: bool) -> DataFrame:
+    """One row per meeting point of a name: a hash of block, both lengths, alphabet part and the characters in that part.
 
     For a pair of lengths the bound leaves room for ``d`` unshared characters at most, counted
     on both sides together.  Dealing the alphabet into ``d + 1`` parts, one part at least holds
-    exactly the same characters in both names, so the two meet on its hash.  Where ``d + 1``
-    exceeds the alphabet (very long names) they meet on their lengths alone.
+    exactly the same characters in both names, so the two meet there.  Where ``d + 1``
+    exceeds the alphabet (very long names) they meet on their lengths alone; names of a small
+    block meet once.  Different points with an equal hash only add pairs, which later checks drop.
     """
+    direct = F.col("direct")
     shortest, longest = F.ceil(F.col("len") * (factor - 1.0) - 1e-9), F.floor(F.col("len") / (factor - 1.0) + 1e-9)
-    spread = profiles.withColumn("partner_len", F.explode_outer(F.sequence(shortest.cast("int"), longest.cast("int"))))
-    shared = F.ceil(F.lit(factor) * F.col("len") * F.col("partner_len") / (F.col("len") + F.col("partner_len")) - 1e-9).cast("int")
-    spread = spread.withColumn("parts", F.greatest(F.col("len") + F.col("partner_len") - shared * 2, F.lit(0)) + 1)
-    guided = F.col("parts") <= len(_ALPHABET)
-    spread = spread.withColumn("part", F.explode_outer(F.sequence(F.lit(0), F.when(guided, F.col("parts") - 1).otherwise(0))))
+    spread = profiles.withColumn("partner", F.explode(F.when(direct, F.array(F.lit(0))).otherwise(F.sequence(shortest.cast("int"), longest.cast("int")))))
+    shared = F.ceil(F.lit(factor) * F.col("len") * F.col("partner") / (F.col("len") + F.col("partner")) - 1e-9).cast("int")
+    spread = spread.withColumn("parts", F.greatest(F.col("len") + F.col("partner") - shared * 2, F.lit(0)) + 1)
+    guided = ~direct & (F.col("parts") <= len(_ALPHABET))
+    spread = spread.withColumn("part", F.explode(F.sequence(F.lit(0), F.when(guided, F.col("parts") - 1).otherwise(0))))
     mask = F.expr(f"{_PARTS}[parts - 1][part]")
-    content = F.xxhash64(*[F.col(f"l{k}").bitwiseAND(mask) for k in range(1, _LEVELS + 1)])
-    return spread.withColumn("content", F.when(guided, content).otherwise(F.lit(0).cast("bigint"))).drop("parts")
+    content = F.when(guided, F.xxhash64(*[F.col(f"l{k}").bitwiseAND(mask) for k in range(1, _LEVELS + 1)])).otherwise(0)
+    lengths = [F.when(direct, 0).otherwise(F.col(c)) for c in (("partner", "len") if flipped else ("len", "partner"))]
+    return spread.withColumn("meet", F.xxhash64(*[F.col(k) for k in keys], *lengths, "part", content))
 
 
 def similar_names(left: DataFrame, right: DataFrame, threshold: float = NEAR_NAME, block: str = "iso3") -> DataFrame:
     """All pairs of different names with an equal block and first word that reach the threshold.
 
-    Instead of comparing every pair of a block, names meet only where their lengths fit and
-    one part of the alphabet holds the same characters (see ``_with_probes``); hot meeting
+    Instead of comparing every pair of a large block, names meet only where their lengths fit and
+    one part of the alphabet holds the same characters (see ``_probes``); hot meeting
     points are salted, and the shared-character bound drops the rest before the similarity
-    is computed.  No bound can drop a pair that reaches the threshold.
+    is computed.  No bound can drop a pair that reaches the threshold.  Only numbers are shuffled;
+    names come back for the pairs that are left.
     """
     factor = overlap_factor(threshold)
     keys = [block, "word"]
-    a, b = (_with_profile(spread_by(names.select(block, "name_norm"), block, "name_norm"), block) for names in (left, right))
+    a, b = (spread_by(names.select(block, "name_norm"), block, "name_norm").distinct().withColumn("word", first_word(F.col("name_norm"))) for names in (left, right))
     # Names whose block exists on one side only can meet nobody.
-    a, b = (settled(a.join(b.select(*keys).distinct(), keys, "left_semi"), "profiles"),
-            settled(b.join(a.select(*keys).distinct(), keys, "left_semi"), "profiles"))
-    meeting = [*keys, "len", "other_len", "part", "content"]
+    sizes = (a.groupBy(*keys).agg(F.count(F.lit(1)).alias("lefts")).join(b.groupBy(*keys).agg(F.count(F.lit(1)).alias("rights")), keys))
+    few = F.col("lefts") * F.col("rights") <= _USUAL_PROBES * (F.col("lefts") + F.col("rights"))
+    blocks = sizes.select(*keys, few.alias("direct"))
+    a, b = _profiled(a, blocks, keys), _profiled(b, blocks, keys)
     levels = [f"l{k}" for k in range(1, _LEVELS + 1)]
-    a = _with_probes(a, factor).withColumnRenamed("partner_len", "other_len").select(*meeting, "name_norm", *levels, "over")
-    b = _with_probes(b, factor).select(*keys, F.col("partner_len").alias("len"), F.col("len").alias("other_len"), "part", "content",
-                                       *[F.col(c).alias(f"other_{c}") for c in ("name_norm", *levels, "over")])
-    pairs = salted_join(a, b, meeting).filter(F.col("name_norm") != F.col("other_name_norm"))
-    common = F.length("word") + F.least("over", "other_over")
+    carried = ["id", "len", *levels, "over"]
+    pairs = salted_join(_probes(a, factor, keys, flipped=False).select("meet", *carried),
+                        _probes(b, factor, keys, flipped=True).select("meet", *[F.col(c).alias(f"other_{c}") for c in carried]), ["meet"])
+    common = F.least("over", "other_over")
     for level in levels:
         common = common + F.bit_count(F.col(level).bitwiseAND(F.col(f"other_{level}")))
     needed = F.lit(factor) * F.col("len") * F.col("other_len") / (F.col("len") + F.col("other_len")) - 1e-9
     # A pair may meet on several parts.
-    close = pairs.filter(common >= needed).select(block, "name_norm", "other_name_norm").distinct()
-    return close.withColumn("sim", jaro_winkler("name_norm", "other_name_norm")).filter(F.col("sim") >= threshold)
+    close = pairs.filter(common >= needed).select("id", "other_id").distinct()
+    named = (close.join(a.select("id", *keys, "name_norm"), "id")
+             .join(b.select(F.col("id").alias("other_id"), *keys, F.col("name_norm").alias("other_name_norm")), ["other_id", *keys])
+             .filter(F.col("name_norm") != F.col("other_name_norm")).select(block, "name_norm", "other_name_norm"))
+    return named.withColumn("sim", jaro_winkler("name_norm", "other_name_norm")).filter(F.col("sim") >= threshold)
 
 
 def match_fuzzy(winners: DataFrame, register: DataFrame, threshold: float = NEAR_NAME,
-                min_awards: int = FUZZY_MIN_AWARDS, min_value: float = FUZZY_MIN_VALUE) -> DataFrame:
-    """Best near name per winner among those with enough awards or value."""
-    worth = winners.filter((F.col("awards") >= min_awards) | (F.col("value_capped") >= min_value))
+                min_awards: int | None = None, min_value: float | None = None) -> DataFrame:
+    """Best near name per winner; with ``min_awards`` or ``min_value`` only of those that reach one of them."""
+    floors = [F.col(c) >= least for c, least in (("awards", min_awards), ("value_capped", min_value)) if least is not None]
+    worth = winners.filter(reduce(or_, floors)) if floors else winners
     entries = _register_by(register, ["iso3", "name_norm"]).withColumnRenamed("name_norm", "other_name_norm")
     pairs = similar_names(worth, register, threshold)
     named = pairs.join(entries, ["iso3", "other_name_norm"])
@@ -167,8 +184,13 @@ def merge_matches(*matches: DataFrame) -> DataFrame:
 
 
 def match_all(winners: DataFrame, register: DataFrame, threshold: float = NEAR_NAME) -> DataFrame:
-    """All three methods; give it settled inputs, as each method reads them again."""
-    return merge_matches(match_exact(winners, register), match_id(winners, register), match_fuzzy(winners, register, threshold))
+    """All three methods; give it settled inputs, as each method reads them again.
+
+    A near name never displaces an exact name or a number, so only the remaining winners are searched.
+    """
+    sure = settled(merge_matches(match_exact(winners, register), match_id(winners, register)), "sure")
+    rest = winners.join(sure.select("winner", "iso3"), ["winner", "iso3"], "left_anti")
+    return sure.unionByName(match_fuzzy(rest, register, threshold))
 
 
 def match_report(matches: DataFrame, winners: DataFrame) -> DataFrame:
@@ -181,12 +203,16 @@ def match_report(matches: DataFrame, winners: DataFrame) -> DataFrame:
 
 
 def match_precision(matches: DataFrame, winners: DataFrame, register: DataFrame) -> DataFrame:
-    """Name matches where both sides carry a register number: how often the numbers agree."""
+    """Name matches where both sides carry a register number: how often the numbers agree.
+
+    A match counts once, against the register entry that it names; an entry with several numbers agrees by any of them.
+    """
     ours = winners.select("winner", "iso3", usable_register_number(F.col("winner_id"), F.col("iso3")).alias("own_no"))
-    theirs = register.select("iso3", "sub_name", usable_register_number(F.col("oc_digits"), F.col("iso3")).alias("reg_no"))
+    theirs = register.select("iso3", "sub_name", "parent", usable_register_number(F.col("oc_digits"), F.col("iso3")).alias("reg_no"))
     checked = (matches.filter(F.col("how").isin("exact", "fuzzy")).join(ours.filter("own_no is not null"), ["winner", "iso3"])
-               .join(theirs.filter("reg_no is not null"), ["iso3", "sub_name"]))
-    return checked.groupBy("how").agg(F.count(F.lit(1)).alias("checkable"), F.avg((F.col("own_no") == F.col("reg_no")).cast("int")).alias("ids_agree"))
+               .join(theirs.filter("reg_no is not null"), ["iso3", "sub_name", "parent"]))
+    judged = checked.groupBy("winner", "iso3", "how").agg(F.bool_or(F.col("own_no") == F.col("reg_no")).alias("agrees"))
+    return judged.groupBy("how").agg(F.count(F.lit(1)).alias("checkable"), F.avg(F.col("agrees").cast("int")).alias("ids_agree"))
 
 
 def matched_share(winners: DataFrame, matches: DataFrame, by: str = "iso3") -> DataFrame:

@@ -58,7 +58,7 @@ def index_series(df: DataFrame, group: str, month: str, value: str, base_year: i
 
 
 def densify(df: DataFrame, entity: Sequence[str], grid: Mapping[str, Sequence], fill: Mapping[str, object]) -> DataFrame:
-    """Every entity times the given code lists, missing cells filled.
+    """Every entity times the given code lists, missing cells filled; rows outside the lists stay as they are.
 
     The grid comes from exploding short literal lists on the distinct entities, so no
     product of two tables is taken.
@@ -67,7 +67,7 @@ def densify(df: DataFrame, entity: Sequence[str], grid: Mapping[str, Sequence],
     for name, values in grid.items():
         cells = cells.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
         cells = cells.withColumn(name, F.col(name).cast(df.schema[name].dataType))
-    filled = cells.join(df, [*entity, *grid], "left")
+    filled = cells.join(df, [*entity, *grid], "full_outer")
     return filled.withColumns({name: F.coalesce(F.col(name), F.lit(value)) for name, value in fill.items()})
 
 
@@ -90,7 +90,9 @@ def top_and_other(counts: DataFrame, by: Sequence[str], category: str, n: str, k
 
 
 def wide(df: DataFrame, rows: Sequence[str], columns: str, values: Sequence, cells: Mapping[str, Column]) -> DataFrame:
-    """Pivot with a known list of column values (no extra job to find them)."""
+    """Pivot with a known list of column values (no extra job to find them); any other value is an error."""
+    unlisted = F.raise_error(F.concat(F.lit(f"{columns} holds an unlisted value: "), F.coalesce(F.col(columns).cast("string"), F.lit("NULL"))))
+    df = df.withColumn(columns, F.when(F.col(columns).isin(*values), F.col(columns)).otherwise(unlisted))
     table = df.groupBy(*rows).pivot(columns, list(values)).agg(*[expr.alias(name) for name, expr in cells.items()])
     if len(cells) == 1:
         only = next(iter(cells))

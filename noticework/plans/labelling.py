@@ -50,9 +50,13 @@ def code_consensus(label_runs: DataFrame, used: DataFrame, code_labels: DataFram
     return voted.join(used, "cpv", "left").join(code_labels.select("cpv", "label_en"), "cpv", "left")
 
 
-def validation_sample(api: DataFrame, consensus: DataFrame, code_labels: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """A blind sample for the labellers and the key with the machine labels, by agreement band."""
-    readable = api.filter(F.length("description").between(80, 4000) & F.col("lang").isin(*SAMPLE_LANGUAGES))
+def validation_sample(api: DataFrame, consensus: DataFrame, code_labels: DataFrame, seed: int = 42,
+                      readable_length: tuple[int, int] = (80, 4000), languages: Sequence[str] = SAMPLE_LANGUAGES) -> tuple[DataFrame, DataFrame]:
+    """A blind sample for the labellers and the key with the machine labels, by agreement band.
+
+    Drawn from notices in ``languages`` whose description is long enough to judge and short enough to read.
+    """
+    readable = api.filter(F.length("description").between(*readable_length) & F.col("lang").isin(*languages))
     pool = readable.join(consensus.select("cpv", "band", "consensus", "agree", "votes"), "cpv").join(code_labels.select("cpv", "label_en"), "cpv")
     drawn = stratified_sample(pool, "band", SAMPLE_QUOTAS, SAMPLE_DEFAULT, "pub_number", seed).drop("position")
     numbered = number_shuffled(drawn, "pub_number", f"{seed}-order", name="sample_id")

@@ -18,7 +18,8 @@ from noticework.operators.ordering import best_rows
 from noticework.operators.winners import explode_winners
 
 # Dispatch dates for which the yearly export is complete.
-EXPORT_FIRST, EXPORT_LAST = dt.date(2016, 1, 1), dt.date(2023, 9, 30)
+Period = tuple[dt.date, dt.date]
+EXPORT_PERIOD: Period = (dt.date(2016, 1, 1), dt.date(2023, 9, 30))
 
 # Columns of the yearly export that every notice has, and their names here.
 NOTICE_COLUMNS = {
@@ -38,41 +39,42 @@ def _renamed(columns: Mapping[str, str]) -> list[Column]:
     return [F.col(source).alias(name) for source, name in columns.items()]
 
 
-def _typed_notice(df: DataFrame) -> DataFrame:
+def _typed_notice(df: DataFrame, period: Period) -> DataFrame:
     """Types and derived columns of a collapsed export notice, inside the reliable period."""
     typed = df.withColumns({
         "dispatch_date": mixed_day(F.col("dispatch_text")),
         "main_activity": F.replace("main_activity", F.lit("\\"), F.lit(" ")),
         "framework": F.col("framework_code") == "Y", "eu_funds": F.col("eu_funds_code") == "Y", "cancelled": F.col("cancelled_code") == "1",
         "cpv_div": F.left("cpv", F.lit(2)), "nuts2": F.when(F.length("nuts") >= 4, F.left("nuts", F.lit(4)))})
-    kept = typed.filter(F.col("dispatch_date").between(F.lit(EXPORT_FIRST), F.lit(EXPORT_LAST)))
+    kept = typed.filter(F.col("dispatch_date").between(*[F.lit(day) for day in period]))
     return kept.drop("dispatch_text", "framework_code", "eu_funds_code", "cancelled_code")
 
 
-def _collapsed(raw: DataFrame, identity: str, extra: Mapping[str, Column], attributes: tuple[str, ...] = ()) -> DataFrame:
+def _collapsed(raw: DataFrame, identity: str, extra: Mapping[str, Column], period: Period, attributes: tuple[str, ...] = ()) -> DataFrame:
     values = {"value_eur": number(F.col("VALUE_EURO")), "value_eur_fin1": number(F.col("VALUE_EURO_FIN_1"))}
-    rows = raw.filter(F.col("YEAR") >= str(EXPORT_FIRST.year)).select(
+    rows = raw.filter(F.col("YEAR") >= str(period[0].year)).select(
         F.col(identity).alias("id"), *_renamed(NOTICE_COLUMNS), *[e.alias(n) for n, e in {**values, **extra}.items()])
     return collapse_rows(rows, ["id"], [*NOTICE_COLUMNS.values(), *values, *extra, *attributes])
 
 
-def call_notices(raw_calls: DataFrame) -> DataFrame:
-    """``notice_cn``: one row per call for tenders."""
-    return _typed_notice(_collapsed(raw_calls, "ID_NOTICE_CN", {"future_can_id": F.col("FUTURE_CAN_ID"), "lots": whole_number(F.col("LOTS_NUMBER"))}))
+def call_notices(raw_calls: DataFrame, period: Period = EXPORT_PERIOD) -> DataFrame:
+    """``notice_cn``: one row per call for tenders dispatched in ``period``."""
+    extra = {"future_can_id": F.col("FUTURE_CAN_ID"), "lots": whole_number(F.col("LOTS_NUMBER"))}
+    return _typed_notice(_collapsed(raw_calls, "ID_NOTICE_CN", extra, period), period)
 
 
-def award_rows(raw_awards: DataFrame) -> DataFrame:
+def award_rows(raw_awards: DataFrame, period: Period = EXPORT_PERIOD) -> DataFrame:
     """One row per (notice, award) out of the lot rows, before the notice filter."""
-    rows = raw_awards.filter(F.col("YEAR") >= str(EXPORT_FIRST.year)).select(
+    rows = raw_awards.filter(F.col("YEAR") >= str(period[0].year)).select(
         F.col("ID_NOTICE_CAN").alias("id"), F.col("ID_AWARD").alias("award_id"), *_renamed(AWARD_COLUMNS),
         *[number(F.col(s)).alias(n) for s, n in AWARD_AMOUNTS.items()], *[whole_number(F.col(s)).alias(n) for s, n in AWARD_COUNTS.items()])
     attributes = [*AWARD_COLUMNS.values(), *AWARD_AMOUNTS.values(), *AWARD_COUNTS.values()]
     return collapse_rows(rows, ["id", "award_id"], attributes).withColumn("award_date", mixed_day(F.col("award_text"))).drop("award_text")
 
 
-def award_notices(raw_awards: DataFrame, awards: DataFrame) -> DataFrame:
+def award_notices(raw_awards: DataFrame, awards: DataFrame, period: Period = EXPORT_PERIOD) -> DataFrame:
     """``notice_can``: one row per award notice, with the number and sums of its awards."""
-    notices = _typed_notice(_collapsed(raw_awards, "ID_NOTICE_CAN", {}))
+    notices = _typed_notice(_collapsed(raw_awards, "ID_NOTICE_CAN", {}, period), period)
     return rollup_children(notices, awards, "id", {
         "awards": F.count(F.lit(1)), "award_value_sum": F.sum("award_value_eur"), "award_value_fin1_sum": F.sum("award_value_eur_fin1"),
         "award_est_value_sum": F.sum("award_est_value_eur")})

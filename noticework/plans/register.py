@@ -15,17 +15,32 @@ from noticework.session import settled
 SIZE_CLASSES = ((9.0, "micro"), (49.0, "small"), (249.0, "medium"), (float("inf"), "large"))
 
 
-def match_winners(award: DataFrame, register: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Winner names, register names and their matches."""
-    located = award.withColumn("iso3", by_table(F.col("winner_country"), COUNTRIES))
+def with_country(df: DataFrame, code: str, name: str, countries: DataFrame | None = None, back: bool = False) -> DataFrame:
+    """Three-letter code of a two-letter one (``back``: the reverse), NULL where unknown.
+
+    ``countries`` holds ``iso2`` and ``iso3`` of any part of the world; the built-in table of the
+    notices' own countries comes first, so that their special codes stay.
+    """
+    own = {iso3: iso2 for iso2, iso3 in COUNTRIES.items()} if back else COUNTRIES
+    if countries is None:
+        return df.withColumn(name, by_table(F.col(code), own))
+    known, wanted = ("iso3", "iso2") if back else ("iso2", "iso3")
+    world = countries.filter(F.col(known).isNotNull()).groupBy(F.col(known).alias("__code")).agg(F.min(wanted).alias("__found"))
+    joined = df.join(world, F.col(code) == F.col("__code"), "left")
+    return joined.withColumn(name, F.coalesce(by_table(F.col(code), own), F.col("__found"))).drop("__code", "__found")
+
+
+def match_winners(award: DataFrame, register: DataFrame, countries: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Winner names, register names and their matches; ``countries`` (iso2, iso3) covers winners from elsewhere."""
+    located = with_country(award, "winner_country", "iso3", countries)
     winners = settled(matching.winner_names(located, "award_value_eur_fin1"), "winners")
     entries = settled(matching.register_names(register), "register")
     return winners, entries, settled(matching.match_all(winners, entries), "matches")
 
 
-def leading_parents(matches: DataFrame, headquarters: DataFrame, k: int = 25) -> DataFrame:
-    """The k parents whose subsidiaries win the most awards."""
-    return matching.parents(matches, headquarters).orderBy(F.col("awards").desc(), "parent").limit(k)
+def leading_parents(matches: DataFrame, headquarters: DataFrame, k: int = 25, by: str = "awards") -> DataFrame:
+    """The k parents whose subsidiaries win the most awards (``by="value_capped"``: the most value)."""
+    return matching.parents(matches, headquarters).orderBy(F.col(by).desc(), "parent").limit(k)
 
 
 def match_companies(winner_ids: DataFrame, companies: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from noticework.operators.correlation import log_correlation, log_correlation_by
 from noticework.operators.entities import monthly_panel, procedures_per_month, to_procedures
 from noticework.operators.lookups import prefix_class, resolve_function
 from noticework.operators.ordering import keep_last
+from noticework.plans.register import with_country
 
 HISTORY_START = dt.date(2016, 1, 1)
 
@@ -38,9 +39,9 @@ def _procedure() -> Column:
     return F.coalesce("procedure_id", "pub_number")
 
 
-def counted_notices(notice_all: DataFrame, last: dt.date | None = None) -> DataFrame:
-    """Notices that enter the counts, with their procedure and plausible value."""
-    kept = notice_all.filter((F.col("dispatch_date") >= F.lit(HISTORY_START)) & F.col("country").isNotNull())
+def counted_notices(notice_all: DataFrame, last: dt.date | None = None, first: dt.date = HISTORY_START) -> DataFrame:
+    """Notices dispatched from ``first`` on (to ``last``, if given) with a known country, their procedure and plausible value."""
+    kept = notice_all.filter((F.col("dispatch_date") >= F.lit(first)) & F.col("country").isNotNull())
     if last is not None:
         kept = kept.filter(F.col("dispatch_date") <= F.lit(last))
     return kept.withColumns({"proc": _procedure(), "v": plausible_value(F.col("value_eur"), F.col("framework"))})
@@ -210,7 +211,7 @@ def dense_function_shares(yearly: DataFrame, years: Sequence[int]) -> DataFrame:
     return shares.densify(known, ["country"], {"year": list(years), "function": wanted}, {"share_value": 0.0})
 
 
-def double_tagging(notice_all: DataFrame, code_map: DataFrame, tags: DataFrame, last: dt.date = dt.date(2025, 12, 31), green: str = "05") -> DataFrame:
+def double_tagging(notice_all: DataFrame, code_map: DataFrame, tags: DataFrame, last: dt.date | None = None, green: str = "05") -> DataFrame:
     """Award procedures by primary and secondary function; ``tags`` holds cpv and the secondary label."""
     divisions = tags.select("cpv", F.left("secondary", F.lit(2)).alias("sec_div"))
     df = _with_function(notice_all, code_map, last).filter(F.col("type") == "can").join(divisions, "cpv", "left").withColumn("green", F.col("sec_div") == green)
@@ -244,7 +245,7 @@ def keyword_calls(api: DataFrame, words: Sequence[str] = GREEN_WORDS) -> DataFra
     return counted.withColumn("share", share(F.col("hits"), F.col("calls")))
 
 
-def digital_procedures(notice_all: DataFrame, stems: DataFrame, last: dt.date = dt.date(2025, 12, 31), lengths: Sequence[int] = tuple(range(2, 9))) -> DataFrame:
+def digital_procedures(notice_all: DataFrame, stems: DataFrame, last: dt.date | None = None, lengths: Sequence[int] = tuple(range(2, 9))) -> DataFrame:
     """Award procedures by the category of the longest product stem."""
     awards = counted_notices(notice_all, last).filter(F.col("type") == "can")
     p = to_procedures(awards, ["proc"], "dispatch_date", "pub_number", country="country", first=["cpv"])
@@ -287,15 +288,17 @@ def won_by_name(award: DataFrame, notice_can: DataFrame) -> DataFrame:
     return df.groupBy("winner", "winner_country", "country").agg(F.count(F.lit(1)).alias("awards"), F.sum(matching.split_value(df, F.col("value"))).alias("value_eur"))
 
 
-def multinational_shares(won: DataFrame, matches: DataFrame, headquarters: DataFrame, join_on: str = "winner_country") -> DataFrame:
+def multinational_shares(won: DataFrame, matches: DataFrame, headquarters: DataFrame, join_on: str = "winner_country",
+                         countries: DataFrame | None = None) -> DataFrame:
     """Share of each buyer country's awards and value won by matched firms, by the parent's region.
 
     Matches carry the winner's country, so they join on it; ``join_on="country"`` joins on
-    the buyer's country instead and then leaves cross-border wins out.
+    the buyer's country instead and then leaves cross-border wins out.  ``countries`` is the worldwide
+    table given to ``match_winners``.
     """
     fixed = F.coalesce(F.nullif("hq_iso3", F.lit("")), codes.by_table(F.col("parent"), KNOWN_HEADQUARTERS))
-    located = matches.join(headquarters.groupBy("parent").agg(F.min("hq_iso3").alias("hq_iso3")), "parent", "left").select(
-        "winner", codes.by_table(F.col("iso3"), codes.ISO3_TO_ISO2).alias(join_on), fixed.alias("hq"))
+    coded = with_country(matches, "iso3", join_on, countries, back=True)
+    located = coded.join(headquarters.groupBy("parent").agg(F.min("hq_iso3").alias("hq_iso3")), "parent", "left").select("winner", join_on, fixed.alias("hq"))
     totals = won.groupBy("country").agg(F.sum("awards").alias("all_awards"), F.sum("value_eur").alias("all_value"))
     region = codes.headquarters_region(F.col("hq"), codes.by_table(F.col("country"), codes.COUNTRIES))
     by_region = won.join(located, ["winner", join_on]).groupBy("country", region.alias("region")).agg(F.sum("awards").alias("awards"), F.sum("value_eur").alias("value_eur"))

@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from noticework.functions.similarity import jaro_winkler_values
@@ -49,7 +50,10 @@ def test_kernel_keeps_missing_names():
     assert got.isna().all()
 
 
-def test_pairs_equal_brute_force(spark):
+@pytest.mark.parametrize("usual_probes", [0, 100])
+def test_pairs_equal_brute_force(spark, monkeypatch, usual_probes):
+    # 0: every block counts as large; 100: the small ones meet directly.
+    monkeypatch.setattr(matching, "_USUAL_PROBES", usual_probes)
     rng = random.Random(11)
     left = _names(rng, 300)
     right = sorted({_mutated(rng, n).strip() for n in rng.sample(left, 200)} | set(_names(rng, 100)))
@@ -72,12 +76,15 @@ def test_repeated_letters_do_not_hide_pairs(spark):
     assert matching.similar_names(a, b, 0.95).count() == 1
 
 
-def test_salted_join_keeps_every_pair(spark):
+@pytest.mark.parametrize("swap", [False, True])
+def test_salted_join_keeps_every_pair(spark, swap):
     left = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(600)], "k string, x int")
     right = spark.createDataFrame([("hot", i) for i in range(7)] + [(f"k{i}", i) for i in range(0, 600, 6)], "k string, y int")
-    plain = left.join(right, "k").groupBy().agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("y")).alias("s")).first()
-    salted = salted_join(left, right, ["k"], rows_per_task=50).groupBy().agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("y")).alias("s")).first()
-    assert plain == salted
+    left, right = (right, left) if swap else (left, right)
+
+    def total(joined):
+        return joined.groupBy().agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("y")).alias("s")).first()
+    assert total(left.join(right, "k")) == total(salted_join(left, right, ["k"], pairs_per_task=50))
 
 
 def _register(spark):
@@ -92,10 +99,12 @@ def test_match_rules(spark):
     awards = spark.createDataFrame(rows, "winner string, iso3 string, winner_id string, value double")
     winners = matching.winner_names(awards, "value")
     got = {(r["winner"], r["iso3"]): (r["parent"], r["how"]) for r in matching.match_all(winners, _register(spark)).collect()}
-    # Two parents share a name, short names identify nobody, the rare near name is below the award floor.
-    assert got == {("ALPHA TRAVAUX", "FRA"): ("Alpha", "exact"), ("Autre Nom", "FRA"): ("Alpha", "id"), ("Electronique Delta Frances", "FRA"): ("Delta", "fuzzy")}
+    # Two parents share a name, short names identify nobody; a floor on awards holds only where it is asked for.
+    assert got == {("ALPHA TRAVAUX", "FRA"): ("Alpha", "exact"), ("Autre Nom", "FRA"): ("Alpha", "id"), ("Electronique Delta Frances", "FRA"): ("Delta", "fuzzy"),
+                   ("Electronique Delta Francee", "FRA"): ("Delta", "fuzzy")}
+    assert [r["winner"] for r in matching.match_fuzzy(winners, _register(spark), min_awards=3).collect()] == ["Electronique Delta Frances"]
     report = {r["how"]: r for r in matching.match_report(matching.match_all(winners, _register(spark)), winners).collect()}
-    assert report["fuzzy"]["awards"] == 3 and abs(report["exact"]["share_of_awards"] - 1 / 8) < 1e-12
+    assert report["fuzzy"]["awards"] == 4 and abs(report["exact"]["share_of_awards"] - 1 / 8) < 1e-12
     assert winners.agg(F.max("value_capped")).first()[0] == 1e8
 
 
