@@ -130,6 +130,12 @@ def _page(priority, status):
     return F.to_json(page)
 
 
+def order_pages(spark, sf_dir):
+    """Every order as a page with its month."""
+    return dealt_out(table(spark, sf_dir, "orders")).select(
+        _page(F.col("o_orderpriority"), F.col("o_orderstatus")).alias("page"), F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+
+
 @query("flatten_json", """
 WITH n AS (SELECT o.*, f.form, f.type, f.mark FROM orders o, (VALUES ('competition', 'cn', '-C'), ('result', 'can', '-R')) f(form, type, mark))
 SELECT o_orderkey || mark AS pub_number, 'P' || o_orderkey AS procedure_id, CAST(o_orderdate AS DATE) AS pub_date, strftime(o_orderdate, '%Y-%m') AS month,
@@ -138,9 +144,7 @@ SELECT o_orderkey || mark AS pub_number, 'P' || o_orderkey AS procedure_id, CAST
        o_totalprice AS total_value, o_orderpriority AS procedure_type, 'FR' || left(lpad(CAST(o_orderkey AS VARCHAR), 6, '0'), 2) AS nuts2
 FROM n""")
 def flatten_json(spark, sf_dir):
-    lines = dealt_out(table(spark, sf_dir, "orders")).select(
-        _page(F.col("o_orderpriority"), F.col("o_orderstatus")).alias("page"), F.date_format("o_orderdate", "yyyy-MM").alias("month"))
-    return flatten_pages(lines).select("pub_number", "procedure_id", "pub_date", "month", "form_type", "type", "country", "country_iso3",
+    return flatten_pages(order_pages(spark, sf_dir)).select("pub_number", "procedure_id", "pub_date", "month", "form_type", "type", "country", "country_iso3",
                                        "lang", "title", "framework", "est_value_lots", "total_value", "procedure_type", "nuts2")
 
 

@@ -14,7 +14,7 @@ from noticework.functions.text import LEGAL_FORMS, LEGAL_PHRASES, NAME_FLOOR, co
 from noticework.functions.values import weighted_mean
 from noticework.operators import matching
 from noticework.operators.labels import binned
-from noticework.operators.shares import with_grand_shares, with_shares
+from noticework.operators.shares import heat_table, with_grand_shares, with_shares
 from noticework.session import dealt_out, settled
 
 CAP = 60000.0
@@ -241,11 +241,7 @@ SELECT * FROM h WHERE home IN (SELECT home FROM rows20) AND hq IN (SELECT hq FRO
 def origin_matrix(spark, sf_dir):
     won = won_value(spark, sf_dir)
     cells = with_shares(won, ["home"], {"v": "share"}).select("home", "hq", F.round("v").alias("v"), F.round("share", 6).alias("share"))
-
-    def largest(column, k):
-        total = cells.filter(F.col(column).isNotNull()).groupBy(column).agg(F.sum("v").alias("t"))
-        return total.orderBy(F.col("t").desc(), column).limit(k).select(column)
-    return cells.join(largest("home", 20), "home", "left_semi").join(largest("hq", 10), "hq", "left_semi").select("home", "hq", "v", "share")
+    return heat_table(cells, "home", "hq", "v", rows=20, columns=10).select("home", "hq", "v", "share")
 
 
 # --- register numbers ------------------------------------------------------------------------

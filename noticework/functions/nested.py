@@ -14,6 +14,11 @@ def _enclosed(json_text: Column, opening: str, closing: str) -> Column:
     return F.startswith(F.ltrim(json_text), F.lit(opening)) & F.endswith(F.rtrim(json_text), F.lit(closing))
 
 
+def is_json(text: Column) -> Column:
+    """Whether the text is one valid JSON value; NULL stays NULL."""
+    return F.when(text.isNotNull(), F.try_parse_json(text).isNotNull())
+
+
 def items(json_text: Column) -> Column:
     """JSON list to an array of text; a scalar or broken JSON gives NULL."""
     return F.when(_enclosed(json_text, "[", "]"), F.from_json(json_text, LIST_OF_TEXT))

@@ -105,7 +105,8 @@ def first_word(name: Column) -> Column:
 def notice_number(export_id: Column) -> Column:
     """``2023263753`` (year, running number) to the printed form ``263753-2023``; other ids stay as they are."""
     running = F.substring(export_id, 5, TO_END).try_cast("bigint").cast("string")
-    return F.coalesce(F.concat(running, F.lit("-"), F.substring(export_id, 1, 4)), export_id)
+    printed = F.when(export_id.rlike("^[0-9]{5,}$"), F.concat(running, F.lit("-"), F.substring(export_id, 1, 4)))
+    return F.coalesce(printed, export_id)
 
 
 def mentions(text: Column, words: list[str] | tuple[str, ...]) -> Column:

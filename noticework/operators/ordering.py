@@ -28,6 +28,24 @@ def keep_last(df: DataFrame, cell: Sequence[str], recency: Sequence[str]) -> Dat
     return best_rows(df, cell, [F.col(c).desc_nulls_last() for c in recency])
 
 
+def extreme_rows(df: DataFrame, keys: Sequence[str], measure: str, tie: Sequence[str], largest: bool = False) -> DataFrame:
+    """Each group's row with the smallest (``largest``: the largest) known measure; equal ones go by ``tie``.
+
+    One partial result per task and group, no sort.
+    """
+    others = [c for c in df.columns if c not in keys]
+    size = -F.col(measure) if largest else F.col(measure)
+    row = F.min_by(F.struct(*others), F.struct(size, *tie))
+    return df.filter(F.col(measure).isNotNull()).groupBy(*keys).agg(row.alias("__row")).select(*keys, *(F.col(f"__row.{c}").alias(c) for c in others))
+
+
+def order_groups(df: DataFrame, group: str, measure: Column, name: str = "position") -> DataFrame:
+    """``df`` with each group's place (from 1) by its rising total of ``measure``; groups are few, as in a report."""
+    totals = df.groupBy(group).agg(measure.alias("__total"))
+    places = totals.select(group, F.row_number().over(Window.orderBy("__total", group)).alias(name))
+    return df.join(places, group)
+
+
 def shuffle_key(identity: Column, seed: int | str) -> Column:
     """Reproducible random sort key of a row."""
     return F.md5(F.concat_ws("|", identity.cast("string"), F.lit(str(seed))))

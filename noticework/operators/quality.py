@@ -56,9 +56,9 @@ def call_to_award(df: DataFrame, key: str, day: Column, is_call: Column, is_awar
         *[expr.alias(name) for name, expr in (extra or {}).items()]).filter(F.col("call_day").isNotNull())
 
 
-def reconcile(left: DataFrame, right: DataFrame, on: Sequence[str], left_count: str, right_count: str) -> DataFrame:
-    """Two counts side by side, cells missing on either side kept, with their difference and ratio."""
-    return left.join(right, list(on), "full_outer").withColumns({
+def reconcile(left: DataFrame, right: DataFrame, on: Sequence[str], left_count: str, right_count: str, how: str = "full_outer") -> DataFrame:
+    """Two counts side by side with their difference and ratio; cells missing on either side are kept unless ``how`` says otherwise."""
+    return left.join(right, list(on), how).withColumns({
         "difference": F.coalesce(left_count, F.lit(0)) - F.coalesce(right_count, F.lit(0)),
         "ratio": F.try_divide(F.col(left_count).cast("double"), F.col(right_count).cast("double"))})
 

@@ -89,6 +89,29 @@ def top_and_other(counts: DataFrame, by: Sequence[str], category: str, n: str, k
     return with_shares(folded.groupBy(*by, category).agg(F.sum(n).alias(n)), by, {n: "share"})
 
 
+def heat_table(cells: DataFrame, row: str, column: str, value: str, rows: int, columns: int) -> DataFrame:
+    """Cells of the ``rows`` largest rows and ``columns`` largest known columns by summed ``value``; equal sums go by name."""
+
+    def largest(name: str, k: int) -> DataFrame:
+        totals = cells.filter(F.col(name).isNotNull()).groupBy(name).agg(F.sum(value).alias("__total"))
+        return totals.orderBy(F.col("__total").desc(), name).limit(k).select(name)
+
+    return cells.join(largest(row, rows), row, "left_semi").join(largest(column, columns), column, "left_semi")
+
+
+def stacked_shares(df: DataFrame, by: str, part: str, value: str, whole: str, keep: int, other: str = "Other") -> DataFrame:
+    """Shares of ``value`` in the total of ``by`` for each part except ``whole`` (what has no part).
+
+    The ``keep`` parts with the largest summed shares stay by name, the rest is added up under ``other``.
+    """
+    summed = df.groupBy(by, part).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("__value"))
+    shared = with_shares(summed, [by], {"__value": "share"}).filter(F.col(part) != whole)
+    ranked = shared.groupBy(part).agg(F.sum("share").alias("__total")).orderBy(F.col("__total").desc(), part).limit(keep)
+    named = ranked.select(part, F.col(part).alias("__named"))
+    folded = shared.join(named, part, "left").withColumn(part, F.coalesce("__named", F.lit(other)))
+    return folded.groupBy(by, part).agg(F.sum("share").alias("share"))
+
+
 def wide(df: DataFrame, rows: Sequence[str], columns: str, values: Sequence, cells: Mapping[str, Column]) -> DataFrame:
     """Pivot with a known list of column values (no extra job to find them); any other value is an error."""
     unlisted = F.raise_error(F.concat(F.lit(f"{columns} holds an unlisted value: "), F.coalesce(F.col(columns).cast("string"), F.lit("NULL"))))

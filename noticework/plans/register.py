@@ -52,6 +52,13 @@ def match_companies(winner_ids: DataFrame, companies: DataFrame) -> DataFrame:
     return ours.join(theirs, ["prefix", "natid"])
 
 
+def match_coverage(winner_ids: DataFrame, matched: DataFrame) -> DataFrame:
+    """Winner register numbers and their awards per prefix, and how many of both found a company."""
+    known = winner_ids.groupBy(register_prefix(F.col("country")).alias("prefix")).agg(F.count(F.lit(1)).alias("ids"), F.sum("awards").alias("awards"))
+    found = matched.groupBy("prefix").agg(F.count(F.lit(1)).alias("matched"), F.sum("awards").alias("awards_matched"))
+    return known.join(found, "prefix", "left")
+
+
 def company_profile(matched: DataFrame, by: str) -> DataFrame:
     """Aggregates only: winners and awards by sector, owner country or size."""
     return matched.groupBy("prefix", by).agg(F.count(F.lit(1)).alias("winners"), F.sum("awards").alias("awards"))

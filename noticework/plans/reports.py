@@ -80,6 +80,25 @@ def month_profile(cn: DataFrame, counts: DataFrame, countries: Mapping[str, str]
     return quality.reconcile(ours, theirs, ["month"], "export_ALL", "ALL")
 
 
+def page_reconciliation(api: DataFrame, counts: DataFrame) -> DataFrame:
+    """Parsed notices per month and form next to the logged count of all countries, where both are known."""
+    parsed = api.groupBy("month", "form_type").agg(F.count(F.lit(1)).alias("parsed"))
+    latest = keep_last(counts.filter(F.col("country") == "ALL"), ["month", "type"], ["asof"])
+    logged = latest.select(month_key(F.col("month")).alias("month"), F.col("type").alias("form_type"), F.col("n").alias("counted"))
+    return quality.reconcile(parsed, logged, ["month", "form_type"], "parsed", "counted", how="inner")
+
+
+def page_profile(api: DataFrame) -> DataFrame:
+    """Notices and fill rates of parsed pages per type."""
+    value = F.coalesce("total_value", "est_value", "est_value_lots")
+    filled = {"activity": "main_activity", "legal_type": "buyer_legal_type", "procedure_id": "procedure_id", "description": "description",
+              "winner_country": "winner_country", "award_date": "award_date"}
+    return api.groupBy("type").agg(
+        F.count(F.lit(1)).alias("notices"), F.min("pub_date").alias("first_day"), F.max("pub_date").alias("last_day"), F.count_distinct("country").alias("countries"),
+        filled_share(value).alias("has_value"), yes_share(F.col("framework")).alias("framework"), yes_share(F.col("eu_funds")).alias("eu_funds"),
+        *(filled_share(F.col(c)).alias(f"has_{name}") for name, c in filled.items()))
+
+
 def field_coverage(notice_all: DataFrame) -> DataFrame:
     value_ok = F.avg(F.coalesce(plausible_value(F.col("value_eur")).isNotNull(), F.lit(False)).cast("int"))
     return quality.coverage(counted_notices(notice_all), ["type", F.year("dispatch_date").alias("year"), "country"], F.col("proc"),
@@ -229,6 +248,12 @@ def tagged_share(double: DataFrame, by: Sequence[str] = ("function",)) -> DataFr
         share(F.sum(F.when(tagged & (F.col("sec_div") != F.col("function")), value)), F.sum(value)).alias("cross_tagged"))
 
 
+def secondary_functions(double: DataFrame, keep: int = 5) -> DataFrame:
+    """Shares of each function's value with a second function, the largest second functions by name."""
+    known = double.filter(F.col("function").isin(*codes.FUNCTIONS))
+    return shares.stacked_shares(known, "function", "sec_div", "value_eur", "none", keep, "Other secondary")
+
+
 def green_layers(double: DataFrame, green: str = "05") -> DataFrame:
     n, main = F.col("procedures"), F.col("function") == green
     layers = double.groupBy("country", "year").agg(
@@ -303,3 +328,14 @@ def multinational_shares(won: DataFrame, matches: DataFrame, headquarters: DataF
     region = codes.headquarters_region(F.col("hq"), codes.by_table(F.col("country"), codes.COUNTRIES))
     by_region = won.join(located, ["winner", join_on]).groupBy("country", region.alias("region")).agg(F.sum("awards").alias("awards"), F.sum("value_eur").alias("value_eur"))
     return by_region.join(totals, "country").withColumns({"share": share(F.col("value_eur"), F.col("all_value")), "share_awards": share(F.col("awards"), F.col("all_awards"))})
+
+
+def origin_matrix(won: DataFrame, matches: DataFrame, headquarters: DataFrame, join_on: str = "winner_country", countries: DataFrame | None = None,
+                  rows: int = 20, columns: int = 10) -> DataFrame:
+    """Value won by headquarters country and its share of the buyer country's whole value: largest buyers, largest headquarters."""
+    coded = with_country(matches, "iso3", join_on, countries, back=True)
+    located = coded.join(headquarters.groupBy("parent").agg(F.min("hq_iso3").alias("hq")), "parent").filter("hq is not null").select("winner", join_on, "hq")
+    totals = won.groupBy("country").agg(F.sum("value_eur").alias("all_value"))
+    by_origin = won.join(located, ["winner", join_on]).groupBy("country", "hq").agg(F.sum("value_eur").alias("value_eur"))
+    cells = by_origin.join(totals, "country").withColumn("share", share(F.col("value_eur"), F.col("all_value")))
+    return shares.heat_table(cells, "country", "hq", "value_eur", rows, columns)

@@ -3,12 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 
+# One dialect for reading and writing: quotes are doubled, blanks at either end of a text are part of it,
+# an empty text is read as a missing one.
+CSV_DIALECT = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+# The month in a file's own name, as the last part of its path.
+MONTH_OF_FILE = r"(\d{4}-\d{2})[^/]*$"
+# Headers read at a time: each is a job over one line.
+HEADERS_AT_ONCE = 16
+
+
 def text_schema(columns: Sequence[str]) -> StructType:
     return StructType([StructField(name, StringType()) for name in columns])
 
@@ -21,21 +31,21 @@ def read_text_csv(spark: SparkSession, path: str | list[str], columns: Sequence[
     against each header.  Quoted texts may hold line breaks, which ties a file to one task;
     say ``line_breaks=False`` for files known to have none and Spark splits them.
     """
-    reader = (spark.read.schema(text_schema(columns)).option("header", True).option("enforceSchema", False)
-              .option("quote", '"').option("escape", '"').option("multiLine", line_breaks))
-    df = reader.csv(path)
-    return df if file_column is None else df.withColumn(file_column, F.col("_metadata.file_name"))
+    df = spark.read.schema(text_schema(columns)).options(**CSV_DIALECT).option("enforceSchema", False).option("multiLine", line_breaks).csv(path)
+    return df if file_column is None else df.withColumn(file_column, F.col("_metadata.file_path"))
 
 
 def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    return tuple(spark.read.option("header", True).option("inferSchema", False).option("quote", '"').option("escape", '"').csv(path).columns)
+    return tuple(spark.read.options(**CSV_DIALECT).option("inferSchema", False).csv(path).columns)
 
 
 def _by_layout(spark: SparkSession, paths: Sequence[str], file_column: str | None, line_breaks: bool) -> DataFrame:
     """Files of any headers as one table: files with the same header are read together, columns are united by name."""
     layouts: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
-        layouts.setdefault(_header(spark, path), []).append(path)
+    with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+        headers = list(pool.map(lambda path: _header(spark, path), paths))
+    for header, path in zip(headers, paths, strict=True):
+        layouts.setdefault(header, []).append(path)
     parts = [read_text_csv(spark, files, header, file_column, line_breaks) for header, files in layouts.items()]
     table = parts[0]
     for part in parts[1:]:
@@ -66,7 +76,7 @@ def read_parquet(spark: SparkSession, path: str | list[str], merge: bool = False
 
 
 def read_run_files(spark: SparkSession, paths: Sequence[str], run_pattern: str, columns: Sequence[str]) -> DataFrame:
-    """Many CSV files as one table: run name taken from the file name, missing columns NULL.
+    """Many CSV files as one table: run name taken from the file's path, missing columns NULL.
 
     Files with the same header are read together, so the plan grows with the number of
     layouts and not with the number of files.
@@ -79,12 +89,16 @@ def read_run_files(spark: SparkSession, paths: Sequence[str], run_pattern: str,
     return table.withColumn("run", run).select("run", *[c for c in columns if c != "run"])
 
 
-def read_page_lines(spark: SparkSession, path: str | list[str], spread: int | None = None) -> DataFrame:
+def month_of_file(pattern: str = MONTH_OF_FILE) -> Column:
+    """The month that a file's path carries."""
+    return F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
+
+
+def read_page_lines(spark: SparkSession, path: str | list[str], spread: int | None = None, month_pattern: str = MONTH_OF_FILE) -> DataFrame:
     """Raw response pages, one JSON document per line, with the month of their file.
 
     Compressed files cannot be split; ``spread`` deals their lines out over that many tasks
     before the expensive parsing.
     """
-    lines = spark.read.text(path).select(
-        F.col("value").alias("page"), F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4}-\d{2})", 1).alias("month"))
+    lines = spark.read.text(path).select(F.col("value").alias("page"), month_of_file(month_pattern).alias("month"))
     return lines if spread is None else lines.repartition(spread)

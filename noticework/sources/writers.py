@@ -10,14 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from noticework.sources.readers import CSV_DIALECT
+
 
 def write_product(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     df.write.mode("overwrite").option("compression", "zstd").partitionBy(*partition_by).parquet(path)
 
 
+def write_text_csv(df: DataFrame, path: str, compression: str = "none") -> None:
+    """CSV files with a header each, in the dialect that the readers expect; one file per task."""
+    df.write.mode("overwrite").options(**CSV_DIALECT).option("compression", compression).csv(path)
+
+
 def write_report(df: DataFrame, path: str, order: Sequence[str]) -> None:
     """A sorted CSV report with a header.  For aggregated tables: it ends in one file."""
-    df.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    write_text_csv(df.orderBy(*order).coalesce(1), path)
 
 
 def append_log(df: DataFrame, path: str) -> None:

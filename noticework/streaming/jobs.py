@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from noticework.operators.ordering import keep_last
 from noticework.session import settled
 from noticework.sources.pages import flatten_pages
+from noticework.sources.readers import MONTH_OF_FILE, month_of_file
 from noticework.sources.writers import existing
 
 
@@ -29,13 +30,12 @@ def file_stream(spark: SparkSession, schema: StructType, path: str, files_per_ba
 
 
 def ingest_pages(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int | None = None,
-                 spread: int | None = None) -> None:
+                 spread: int | None = None, month_pattern: str = MONTH_OF_FILE) -> None:
     """Parse page files that no earlier run has seen into notices partitioned by month."""
     reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    lines = reader.text(source).select(
-        F.col("value").alias("page"), F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4}-\d{2})", 1).alias("month"))
+    lines = reader.text(source).select(F.col("value").alias("page"), month_of_file(month_pattern).alias("month"))
     if spread:
         lines = lines.repartition(spread)
     writer = flatten_pages(lines).writeStream.format("parquet").option("path", target).option("compression", "zstd").partitionBy("month")
