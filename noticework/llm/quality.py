@@ -317,7 +317,8 @@ def score_documents(docs: DataFrame, model: DataFrame, order: int = ORDER, text:
     """``docs`` with text statistics and ``log10_ppl``, the log10 perplexity per byte (null for empty texts).
 
     ``model`` has to be a written table.  It goes to the tasks in rounds of at most
-    ``BROADCAST_ENTRIES`` entries; each n-gram lies in one round, so the sums of the rounds add up.
+    ``BROADCAST_ENTRIES`` entries; each n-gram lies in one round, so the sums of the rounds add up.  All rounds but the last
+    are written down, so that neither the driver nor a task ever holds more than one of them.
     ``prefix`` is put before the names of the new columns.
     """
     spark = docs.sparkSession
@@ -333,6 +334,9 @@ def score_documents(docs: DataFrame, model: DataFrame, order: int = ORDER, text:
         carried = [*(kept if last else texts), *([] if first else made)]
         outputs = StructType([*([StructField(c, LongType()) for c in made] if first else []), StructField(total, DoubleType())])
         scored = with_arrow(scored, [text, lang, *([] if first else [total])], outputs, _round(hashes, order, UNSEEN if shards == 1 else 0.0), carried)
+        if not last:
+            scored = settled(scored, "round")
+            hashes.destroy()
     perplexity = -F.try_divide(total, size)
     return scored.select(*kept, *(F.col(prefix + c) for c in STATISTICS), perplexity.alias(prefix + "log10_ppl"))
 
