@@ -6,6 +6,8 @@ the revisit really means that response; permitted headers of the revisit then re
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,9 +17,6 @@ from noticework.session import settled
 PERMITTED_HEADERS = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
 # Query parameters that do not name another resource (fixed values).
 TRACKING = ["ref", "gclid", "fbclid"]
-# Time buckets over the whole span of captures: a hot URL's captures are sorted bucket by bucket.
-BUCKETS = 1024
-
 
 def canonical_url(url: Column) -> Column:
     """A URL without fragment, default port, tracking parameters and closing slash, its scheme dropped and host lower-cased, parameters sorted.
@@ -51,9 +50,10 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
         "record_id", canonical_url(F.col("url")).alias("canonical_url"), F.col("captured_at").cast("bigint").alias("captured_at"), "kind", "etag", "last_modified",
         F.coalesce(F.col("headers"), empty).alias("headers"))
     rows = settled(rows, "captures")
-    span = rows.agg(F.min("captured_at").alias("low"), F.max("captured_at").alias("high")).first()
+    # With the square root of all rows as the number of time buckets, neither a hot URL's bucket nor its list of buckets grows large.
+    span = rows.agg(F.min("captured_at").alias("low"), F.max("captured_at").alias("high"), F.count(F.lit(1)).alias("n")).first()
     low = span["low"] or 0
-    width = max(1, -(-((span["high"] or 0) - low + 1) // BUCKETS))
+    width = max(1, -(-((span["high"] or 0) - low + 1) // max(1, math.isqrt(span["n"]))))
     placed = rows.withColumn("bucket", F.floor((F.col("captured_at") - low) / width))
     dated = placed.filter(F.col("canonical_url").isNotNull() & F.col("captured_at").isNotNull())
     full = F.when(F.col("kind") == "response", F.struct("captured_at", "record_id", "etag", "last_modified", "headers"))
