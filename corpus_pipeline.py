@@ -37,9 +37,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest number."""
-    mark, component = fresh(docs, "simhash"), fresh(docs, "group_first")
-    found = near_duplicates(docs, fingerprint_name=mark, component=component)
-    return found.filter(F.col("doc_id").eqNullSafe(F.col(component))).dropDuplicates(["doc_id", mark]).select(*docs.columns)
+    mark, component, root = fresh(docs, "simhash"), fresh(docs, "group_first"), fresh(docs, "group_root")
+    found = near_duplicates(docs, fingerprint_name=mark, component=component, root_name=root)
+    # Missing and repeated numbers may leave a group several smallest documents; one of them stays.
+    return found.filter(F.col("doc_id").eqNullSafe(F.col(component))).dropDuplicates([root]).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -207,12 +207,14 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def near_duplicates(docs: DataFrame, identity: str = "doc_id", text: str = "text", keep: list[str] | None = None,
-                    fingerprint_name: str = "fingerprint", component: str = "component_id", radius: int = RADIUS) -> DataFrame:
+                    fingerprint_name: str = "fingerprint", component: str = "component_id", radius: int = RADIUS,
+                    root_name: str | None = None) -> DataFrame:
     """``keep`` (default all) columns of ``docs``, the fingerprint (signed long) and the smallest identity reachable.
 
     Documents link at ``radius`` or fewer differing bits.  Null, empty and wordless texts have
     fingerprint zero and link like any other.  Rows of one identity are separate documents; a null identity is only
-    a component's smallest if it has no other.  Fingerprints are written down once.
+    a component's smallest if it has no other.  Fingerprints are written down once.  ``root_name`` adds a column that
+    differs between any two components, also where missing or repeated identities make their smallest ones equal.
     """
     marked = settled(with_fingerprints(docs, text, list(dict.fromkeys([identity, *(docs.columns if keep is None else keep)])), fingerprint_name), "prints")
     firsts = settled(marked.groupBy(fingerprint_name).agg(F.min(identity).alias("first")), "classes")
@@ -220,8 +222,9 @@ def near_duplicates(docs: DataFrame, identity: str = "doc_id", text: str = "text
     root = fresh(marked, "root")
     rooted = firsts.join(roots.withColumnRenamed("node", fingerprint_name), fingerprint_name, "left").withColumn("root", F.coalesce("root", fingerprint_name))
     smallest = rooted.groupBy("root").agg(F.min("first").alias(component))
-    classes = rooted.join(smallest, "root").select(F.col(fingerprint_name).alias(root), component)
+    own_root = fresh(marked, "component_root")
+    classes = rooted.join(smallest, "root").select(F.col(fingerprint_name).alias(root), component, F.col("root").alias(own_root))
     kept = list(docs.columns if keep is None else keep)
     return (marked.drop(*([component] if component not in kept else []))
             .join(classes.withColumnRenamed(component, fresh(marked, component)), F.col(fingerprint_name) == F.col(root))
-            .select(*kept, fingerprint_name, F.col(fresh(marked, component)).alias(component)))
+            .select(*kept, fingerprint_name, F.col(fresh(marked, component)).alias(component), *([F.col(own_root).alias(root_name)] if root_name else [])))

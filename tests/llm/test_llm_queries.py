@@ -66,6 +66,14 @@ def test_stages_on_odd_documents(spark):
     assert kept.count() == deduped.count() >= unique.count()
 
 
+def test_one_document_of_each_group_without_numbers(spark):
+    text = " ".join(f"w{i}" for i in range(400))
+    rows = [(None, text, "en", "s", 0), (None, text + " end", "en", "s", 0), (7, "other words stand here", "en", "s", 0), (7, text.replace("w", "v"), "en", "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = corpus_pipeline.near_dedup(spark, docs, SF_DIR).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == ["7", "7", "None"]
+
+
 def test_stages_on_nothing(spark):
     assert all(df.count() == 0 for df in run_stages(spark, spark.createDataFrame([], SCHEMA)))
 
