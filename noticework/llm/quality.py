@@ -3,8 +3,8 @@
 The language model is a modified Kneser-Ney model over the bytes of whole texts, one per language.
 Spark counts the n-grams of the highest order; counts of lower orders are continuation counts, so
 they follow from the distinct n-grams one order up.  Interpolation, discounts and back-off masses
-are joins on n-gram keys.  What scoring needs is one interpolated log probability per n-gram of
-the highest order, kept in sorted hash arrays with an index over the leading bits.
+are joins on n-gram keys.  Texts are scored by the model of texts they are not among.  What scoring needs is one interpolated
+log probability per n-gram of the scored texts, kept in sorted hash arrays with an index over the leading bits.
 """
 
 from __future__ import annotations
@@ -140,17 +140,26 @@ def count_ngrams(docs: DataFrame, order: int = ORDER, text: str = "text", lang:
 
 # ---------------------------------------------------------------- modified Kneser-Ney
 
-def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
+def kneser_ney(counts: DataFrame, order: int = ORDER, asked: DataFrame | None = None) -> DataFrame:
     """Rows (lang, gram, logp): interpolated modified Kneser-Ney log10 probabilities of the highest order.
 
+    They are given for the n-grams ``asked`` for, rows (lang, gram), or else for those of ``counts``.  An n-gram that was not
+    counted gets the back-off mass of its context (that of half a count at least), and all of the next lower order if its
+    context was not counted either.
     ``counts`` is written down first.  The lowest order interpolates with 1/256.  Discounts of a
     language and order come from its numbers of n-grams seen once to four times; where one of these
     numbers is zero, half a count is taken off instead.
     """
+    def lowest(k: int) -> F.Column:
+        return F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("gram")
+
     levels = {order: settled(counts.select("lang", "gram", "n"), "ngrams")}
     for k in range(order - 1, 0, -1):
-        suffix = F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))
-        levels[k] = settled(levels[k + 1].groupBy("lang", suffix.alias("gram")).agg(F.count(F.lit(1)).alias("n")), "ngrams")
+        levels[k] = settled(levels[k + 1].groupBy("lang", lowest(k)).agg(F.count(F.lit(1)).alias("n")), "ngrams")
+    if asked is not None:
+        questions = {order: asked.select("lang", "gram")}
+        for k in range(order - 1, 0, -1):
+            questions[k] = settled(questions[k + 1].select("lang", lowest(k)).distinct(), "asked")
     lower = None
     for k in range(1, order + 1):
         grams = levels[k]
@@ -162,22 +171,23 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
             F.when(usable, F.greatest(F.lit(0.0), i - (i + 1) * share * F.try_divide(f"t{i + 1}", f"t{i}"))).otherwise(0.5).alias(f"d{i}")
             for i in (1, 2, 3)))
         context = F.shiftright("gram", 8).alias("context")
-        masses = grams.groupBy("lang", context).agg(
-            F.sum("n").alias("total"), *(F.count(F.when(F.col("n") == i, 1)).alias(f"n{i}") for i in (1, 2)),
-            F.count(F.when(F.col("n") >= 3, 1)).alias("n3"))
         # One language may hold most n-grams: its discounts are repeated once per salt.
         spread = discounts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-        joined = grams.withColumn("context", context).join(masses, ["lang", "context"]).withColumn(
-            "salt", F.pmod(F.xxhash64("gram"), F.lit(_SALTS)).cast("int")).join(spread, ["lang", "salt"])
+        masses = grams.groupBy("lang", context).agg(
+            F.sum("n").alias("total"), *(F.count(F.when(F.col("n") == i, 1)).alias(f"n{i}") for i in (1, 2)),
+            F.count(F.when(F.col("n") >= 3, 1)).alias("n3")).withColumn(
+            "salt", F.pmod(F.xxhash64("context"), F.lit(_SALTS)).cast("int")).join(spread, ["lang", "salt"]).drop("salt")
+        rows = grams if asked is None else questions[k].join(grams, ["lang", "gram"], "left")
+        joined = rows.withColumn("context", context).join(masses, ["lang", "context"], "left")
         taken = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        own = (F.col("n") - taken) / F.col("total")
-        left = (F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3")) / F.col("total")
+        own = F.coalesce((F.col("n") - taken) / F.col("total"), F.lit(0.0))
+        left = F.coalesce((F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3")) / F.col("total"), F.lit(1.0))
+        left = F.when(F.col("n").isNull(), F.greatest(left, F.coalesce(0.5 / F.col("total"), F.lit(1.0)))).otherwise(left)
         if lower is None:
             lower = joined.select("lang", "gram", (own + left / 256.0).alias("p"))
         else:
-            suffix = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))
             below = lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below"))
-            lower = joined.select("lang", "gram", suffix.alias("suffix"), own.alias("own"), left.alias("left")).join(
+            lower = joined.select("lang", "gram", lowest(k - 1).alias("suffix"), own.alias("own"), left.alias("left")).join(
                 below, ["lang", "suffix"]).select("lang", "gram", (F.col("own") + F.col("left") * F.col("below")).alias("p"))
     return lower.select("lang", "gram", F.log10("p").alias("logp"))
 
@@ -364,14 +374,16 @@ def base_failed(prefix: str = "") -> F.Column:
     return (words < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * words)
 
 
-def perplexity_bands(scored: DataFrame, lang: str = "lang", prefix: str = "") -> DataFrame:
+def perplexity_bands(scored: DataFrame, lang: str = "lang", prefix: str = "", copies: str | None = None) -> DataFrame:
     """Rows (lang, q1, q3): quartiles of log10 perplexity of each language's documents.
 
-    They are exact on a histogram with ``_BIN`` bins per unit, over all documents that pass the base rules.
+    They are exact on a histogram with ``_BIN`` bins per unit, over all documents that pass the base rules.  Documents alike
+    in column ``copies``, if it is named, and in their statistics count once.
     """
-    bins = (scored.filter(~base_failed(prefix) & F.col(prefix + "log10_ppl").isNotNull())
-            .groupBy(F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.round(F.col(prefix + "log10_ppl") * _BIN).cast("long").alias("bin"))
-            .agg(F.count(F.lit(1)).alias("n")))
+    usable = scored.filter(~base_failed(prefix) & F.col(prefix + "log10_ppl").isNotNull()).select(
+        F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.round(F.col(prefix + "log10_ppl") * _BIN).cast("long").alias("bin"),
+        *([] if copies is None else [F.col(copies).alias("copies"), *(F.col(prefix + c).alias(c) for c in STATISTICS)]))
+    bins = (usable if copies is None else usable.distinct()).groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("n"))
     along = Window.partitionBy("lang").orderBy("bin")
     ranked = bins.withColumn("upto", F.sum("n").over(along)).withColumn("all", F.sum("n").over(Window.partitionBy("lang")))
     quartile = [F.min(F.when(F.col("upto") * 4 >= F.col("all") * q, F.col("bin"))) / _BIN for q in (1, 3)]
@@ -389,14 +401,19 @@ def judge_documents(docs: DataFrame, text: str = "text", lang: str = "lang", ord
     """``keep`` (default all) columns of ``docs`` with statistics, ``log10_ppl``, ``base_failed`` and ``kept``.
 
     A document is kept if it passes the base rules and its perplexity lies inside its language's
-    band.  Null or empty texts fail the base rules; a null language is a language of its own;
+    band.  Each language's texts are dealt to two halves by their hash, and each half is scored by the model of the other, so
+    no text predicts itself or a copy of itself.
+    Null or empty texts fail the base rules; a null language is a language of its own;
     repeated rows are judged alike.  Scores are written down once, because bands and verdicts both read them.
     """
     columns = list(docs.columns if keep is None else keep)
-    model = settled(kneser_ney(count_ngrams(docs, order, text, lang), order), "model")
-    label = fresh(docs, "judged_lang")
-    labelled = docs.withColumn(label, F.coalesce(F.col(lang), F.lit("")))
-    scored = settled(score_documents(labelled, model, order, text, lang, [*columns, label], prefix), "scores")
+    label, mark, counted, asks = (fresh(docs, x) for x in ("judged_lang", "text_hash", "counted_as", "scored_as"))
+    labelled = docs.withColumns({label: F.coalesce(F.col(lang), F.lit("")), mark: F.xxhash64(text)}).withColumns({
+        counted: F.concat(F.pmod(F.col(mark), F.lit(2)).cast("string"), label), asks: F.concat(F.pmod(F.col(mark) + 1, F.lit(2)).cast("string"), label)})
+    counts = settled(count_ngrams(labelled, order, text, counted), "counts")
+    other_half = F.concat(F.translate(F.substring("lang", 1, 1), "01", "10"), F.expr("substring(lang, 2)")).alias("lang")
+    model = settled(kneser_ney(counts, order, counts.select(other_half, "gram")), "model")
+    scored = settled(score_documents(labelled, model, order, text, asks, [*columns, label, mark], prefix), "scores")
     bands = perplexity_bands(scored, label, prefix).withColumnRenamed("lang", label)
     failed = base_failed(prefix)
     first, third = fresh(scored, "band_q1"), fresh(scored, "band_q3")
