@@ -402,7 +402,7 @@ def judge_documents(docs: DataFrame, text: str = "text", lang: str = "lang", ord
 
     A document is kept if it passes the base rules and its perplexity lies inside its language's
     band.  Each language's texts are dealt to two halves by their hash, and each half is scored by the model of the other, so
-    no text predicts itself or a copy of itself.
+    no text predicts itself or a copy of itself.  Copies count once in the models and in the bands.
     Null or empty texts fail the base rules; a null language is a language of its own;
     repeated rows are judged alike.  Scores are written down once, because bands and verdicts both read them.
     """
@@ -410,14 +410,28 @@ def judge_documents(docs: DataFrame, text: str = "text", lang: str = "lang", ord
     label, mark, counted, asks = (fresh(docs, x) for x in ("judged_lang", "text_hash", "counted_as", "scored_as"))
     labelled = docs.withColumns({label: F.coalesce(F.col(lang), F.lit("")), mark: F.xxhash64(text)}).withColumns({
         counted: F.concat(F.pmod(F.col(mark), F.lit(2)).cast("string"), label), asks: F.concat(F.pmod(F.col(mark) + 1, F.lit(2)).cast("string"), label)})
-    counts = settled(count_ngrams(labelled, order, text, counted), "counts")
+    counts = settled(count_ngrams(distinct_texts(labelled, text, counted, mark), order, text, counted), "counts")
     other_half = F.concat(F.translate(F.substring("lang", 1, 1), "01", "10"), F.expr("substring(lang, 2)")).alias("lang")
     model = settled(kneser_ney(counts, order, counts.select(other_half, "gram")), "model")
     scored = settled(score_documents(labelled, model, order, text, asks, [*columns, label, mark], prefix), "scores")
-    bands = perplexity_bands(scored, label, prefix).withColumnRenamed("lang", label)
+    bands = perplexity_bands(scored, label, prefix, mark).withColumnRenamed("lang", label)
     failed = base_failed(prefix)
     first, third = fresh(scored, "band_q1"), fresh(scored, "band_q3")
     inside = inside_band(F.col(prefix + "log10_ppl"), F.col(prefix + "n_words"), F.col(first), F.col(third))
     return (scored.join(bands.withColumnsRenamed({"q1": first, "q3": third}), label, "left")
             .select(*columns, *(prefix + c for c in STATISTICS), prefix + "log10_ppl",
                     failed.alias(prefix + "base_failed"), (~failed & inside).alias(prefix + "kept")))
+
+
+def distinct_texts(docs: DataFrame, text: str, lang: str, mark: str) -> DataFrame:
+    """Columns (text, lang) of ``docs``, each text once per language.  ``mark`` holds a hash of the text.
+
+    Only texts whose hash stands in several rows are compared, and only they are shuffled.
+    """
+    several = settled(docs.groupBy(lang, mark).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(lang, mark), "copied")
+    if several.count() <= BROADCAST_ENTRIES:
+        several = F.broadcast(several)
+    rows = docs.select(text, lang, mark)
+    once = rows.join(several, [lang, mark], "left_anti")
+    copied = rows.join(several, [lang, mark], "left_semi").dropDuplicates([lang, text])
+    return once.select(text, lang).unionByName(copied.select(text, lang))

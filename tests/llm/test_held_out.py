@@ -4,6 +4,8 @@ import math
 import random
 from collections import Counter
 
+import pytest
+
 from noticework.llm import quality
 from noticework.llm.quality import judge_documents
 from tests.llm.test_text_operators import plain_kneser_ney
@@ -82,3 +84,15 @@ def test_odd_texts_go_out_by_the_upper_bound(spark):
             assert not r["base_failed"] and not r["kept"] and r["log10_ppl"] > third, (r["doc_id"], r["log10_ppl"], third)
         elif not r["base_failed"]:
             assert r["kept"]
+
+
+@pytest.mark.parametrize("copies", [20, 60, 120])
+def test_copies_change_no_verdict(spark, copies):
+    good = [(i, t, "xx") for i, t in enumerate(prose(2, 200))]
+    alone = {r["doc_id"]: (r["log10_ppl"], r["kept"]) for r in judge_documents(spark.createDataFrame(good, SCHEMA)).collect()}
+    rows = judge_documents(spark.createDataFrame(good + [(1000 + i, good[7][1], "xx") for i in range(copies)], SCHEMA)).collect()
+    assert len(rows) == 200 + copies
+    for r in rows:
+        score, kept = alone[r["doc_id"] if r["doc_id"] < 1000 else 7]
+        assert r["kept"] == kept and math.isclose(r["log10_ppl"], score, abs_tol=1e-6)
+    assert alone[7][1]
