@@ -18,7 +18,7 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, FloatType, LongType, StringType, StructField, StructType
 
 from noticework.llm.common import as_bytes, fresh, with_arrow
 from noticework.session import settled
@@ -26,6 +26,8 @@ from noticework.session import settled
 ORDER = 5
 # Entries (12 bytes each) that one broadcast may hold; a larger model is scored in several rounds.
 BROADCAST_ENTRIES = 4_000_000
+# Entries in a hash range that one task sorts, about.
+PART_ENTRIES = 1 << 16
 # Log10 probability of an n-gram the model has never seen.
 UNSEEN = -7.0
 # Bands reach this many quartile ranges below the first and above the third quartile.
@@ -144,8 +146,8 @@ def kneser_ney(counts: DataFrame, order: int = ORDER, asked: DataFrame | None =
     """Rows (lang, gram, logp): interpolated modified Kneser-Ney log10 probabilities of the highest order.
 
     They are given for the n-grams ``asked`` for, rows (lang, gram), or else for those of ``counts``.  An n-gram that was not
-    counted gets the back-off mass of its context (that of half a count at least), and all of the next lower order if its
-    context was not counted either.
+    counted gets the back-off mass of its context, and all of the next lower order if its context was not counted either.  The mass
+    is that of half a count at least, so that no n-gram is impossible; a context whose discounts are nought then sums to a little over one.
     ``counts`` is written down first.  The lowest order interpolates with 1/256.  Discounts of a
     language and order come from its numbers of n-grams seen once to four times; where one of these
     numbers is zero, half a count is taken off instead.
@@ -189,6 +191,8 @@ def kneser_ney(counts: DataFrame, order: int = ORDER, asked: DataFrame | None =
             below = lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below"))
             lower = joined.select("lang", "gram", lowest(k - 1).alias("suffix"), own.alias("own"), left.alias("left")).join(
                 below, ["lang", "suffix"]).select("lang", "gram", (F.col("own") + F.col("left") * F.col("below")).alias("p"))
+        if k < order:  # each order is a job of its own: one plan over all of them costs the driver a lot of memory
+            lower = settled(lower, "order")
     return lower.select("lang", "gram", F.log10("p").alias("logp"))
 
 
@@ -220,16 +224,15 @@ class SortedHashes:
     longest: int
 
     @staticmethod
-    def build(keys: np.ndarray, values: np.ndarray) -> SortedHashes:
-        order = np.argsort(keys)
-        keys, values = keys[order], values[order]
+    def of_sorted(keys: np.ndarray, values: np.ndarray) -> SortedHashes:
         bits = max(1, int(len(keys)).bit_length())
         shift = 64 - bits
         index = np.searchsorted(keys >> np.uint64(shift), np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
         return SortedHashes(keys, values, index, shift, int(np.diff(index).max(initial=0)))
 
-    def look_up(self, keys: np.ndarray, absent: float) -> np.ndarray:
-        found = np.full(len(keys), absent, np.float32)
+    def look_up(self, keys: np.ndarray) -> np.ndarray:
+        """Values of the keys, not-a-number for those that are not here."""
+        found = np.full(len(keys), np.nan, np.float32)
         if not len(self.keys):
             return found
         at = self.index[keys >> np.uint64(self.shift)]
@@ -251,29 +254,55 @@ class SortedHashes:
         return found
 
 
-def _shard(model: DataFrame, shard: int, shards: int) -> SortedHashes:
-    """One shard of the model on the driver: at most about ``BROADCAST_ENTRIES`` entries."""
-    part = model if shards == 1 else model.filter(F.pmod(F.xxhash64("lang", "gram"), F.lit(shards)) == shard)
-    rows = part.select("lang", "gram", F.col("logp").cast("float").alias("logp")).toArrow()
-    languages = rows.column("lang").combine_chunks().dictionary_encode()
-    if isinstance(languages, pa.ChunkedArray):
-        languages = languages.combine_chunks()
-    seeds = np.array([_seed(x) for x in languages.dictionary.to_pylist()] or [0], np.uint64)
-    codes = languages.indices.to_numpy(zero_copy_only=False)
-    keys = _mix(rows.column("gram").to_numpy().astype(np.uint64) ^ seeds[codes]) if rows.num_rows else np.empty(0, np.uint64)
-    return SortedHashes.build(keys, rows.column("logp").to_numpy())
+def hash_ranges(model: DataFrame, entries: int) -> tuple[DataFrame, int]:
+    """Rows (part, keys, values) of a model with ``entries`` n-grams, and the number of parts.
+
+    Part ``i`` holds the sorted keys whose leading bits are ``i``, so parts in rising order are sorted as a whole.  Keys are
+    scrambled, which keeps parts alike in size, about ``PART_ENTRIES``, whatever the languages.
+    """
+    bits = max(0, -(-entries // PART_ENTRIES) - 1).bit_length()
+    keyed = StructType([StructField("part", LongType()), StructField("key", LongType()), StructField("logp", FloatType())])
+    ranges = StructType([StructField("part", LongType()), StructField("keys", BinaryType()), StructField("logps", BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = batch.column(1).to_numpy().astype(np.uint64)
+            keys = np.empty(len(grams), np.uint64)
+            for language, rows in _rows_by_language(batch.column(0)).items():
+                keys[rows] = _mix(grams[rows] ^ _seed(language))
+            parts = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array(keys.view(np.int64)), batch.column(2)], names=keyed.fieldNames())
+
+    def ordered(part: pa.Table) -> pa.Table:
+        keys = part.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        values = part.column("logp").to_numpy()
+        return pa.table([pa.array([part.column("part")[0].as_py()]), pa.array([keys[order].tobytes()], pa.binary()),
+                         pa.array([values[order].tobytes()], pa.binary())], names=ranges.fieldNames())
+
+    rows = model.select("lang", "gram", F.col("logp").cast("float").alias("logp")).mapInArrow(run, keyed)
+    return rows.groupBy("part").applyInArrow(ordered, ranges), 1 << bits
+
+
+def _of_parts(ranges: DataFrame, first: int, last: int) -> SortedHashes:
+    """The hash arrays of parts ``first`` to ``last - 1``: one round's share of the model."""
+    rows = sorted(ranges.filter(F.col("part").between(first, last - 1)).collect())
+    return SortedHashes.of_sorted(np.frombuffer(b"".join(r["keys"] for r in rows), np.uint64), np.frombuffer(b"".join(r["logps"] for r in rows), np.float32))
 
 
-def _log_sums(texts: pa.Array, languages: pa.Array, order: int, hashes: SortedHashes, absent: float) -> np.ndarray:
-    sums = np.zeros(len(texts))
+def _log_sums(texts: pa.Array, languages: pa.Array, order: int, hashes: SortedHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the log probabilities that these arrays hold, and the numbers of n-grams that they hold none for."""
+    sums, missing = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
     raw = as_bytes(texts)
     for language, rows in _rows_by_language(languages).items():
         seed = _seed(language)
         for grams, piece_rows, lengths in _blocks([raw[r] for r in rows], order):
-            values = hashes.look_up(_mix(grams ^ seed), absent)
+            values = hashes.look_up(_mix(grams ^ seed))
             starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-            np.add.at(sums, np.asarray(rows)[piece_rows], np.add.reduceat(values.astype(np.float64), starts))
-    return sums
+            held, own = ~np.isnan(values), np.asarray(rows)[piece_rows]
+            np.add.at(sums, own, np.add.reduceat(np.where(held, values, 0.0).astype(np.float64), starts))
+            np.add.at(missing, own, np.add.reduceat((~held).astype(np.int64), starts))
+    return sums, missing
 
 
 # ---------------------------------------------------------------- word and line statistics
@@ -326,28 +355,31 @@ def score_documents(docs: DataFrame, model: DataFrame, order: int = ORDER, text:
                     keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """``docs`` with text statistics and ``log10_ppl``, the log10 perplexity per byte (null for empty texts).
 
-    ``model`` has to be a written table.  It goes to the tasks in rounds of at most
-    ``BROADCAST_ENTRIES`` entries; each n-gram lies in one round, so the sums of the rounds add up.  All rounds but the last
-    are written down, so that neither the driver nor a task ever holds more than one of them.
-    ``prefix`` is put before the names of the new columns.
+    ``model`` has to be a written table.  It goes to the tasks in rounds of about ``BROADCAST_ENTRIES`` entries, sorted by Spark
+    in hash ranges beforehand; each n-gram lies in one round, so the sums of the rounds add up, and one that no
+    round holds counts ``UNSEEN``.  Each round is written down and its arrays are given back, so that
+    neither the driver nor a task ever holds more than one of them.  ``prefix`` is put before the names of the new columns.
     """
     spark = docs.sparkSession
-    shards = max(1, -(-model.count() // BROADCAST_ENTRIES))
-    total, size = fresh(docs, "log_sum"), prefix + "n_bytes"
+    entries = model.count()
+    ranges, parts = hash_ranges(model, entries)
+    ranges = settled(ranges, "ranges")
+    rounds = min(parts, max(1, -(-entries // BROADCAST_ENTRIES)))
+    total, absent, size = fresh(docs, "log_sum"), fresh(docs, "log_missing"), prefix + "n_bytes"
     kept = list(docs.columns if keep is None else keep)
     made = [*(prefix + c for c in STATISTICS), size]
     texts = list(dict.fromkeys([*kept, text, lang]))
     scored = docs
-    for shard in range(shards):
-        hashes = spark.sparkContext.broadcast(_shard(model, shard, shards))
-        first, last = shard == 0, shard == shards - 1
+    for i in range(rounds):
+        hashes = spark.sparkContext.broadcast(_of_parts(ranges, i * parts // rounds, (i + 1) * parts // rounds))
+        first, last = i == 0, i == rounds - 1
         carried = [*(kept if last else texts), *([] if first else made)]
-        outputs = StructType([*([StructField(c, LongType()) for c in made] if first else []), StructField(total, DoubleType())])
-        scored = with_arrow(scored, [text, lang, *([] if first else [total])], outputs, _round(hashes, order, UNSEEN if shards == 1 else 0.0), carried)
-        if not last:
-            scored = settled(scored, "round")
-            hashes.destroy()
-    perplexity = -F.try_divide(total, size)
+        outputs = StructType([*([StructField(c, LongType()) for c in made] if first else []), StructField(total, DoubleType()), StructField(absent, LongType())])
+        scored = settled(with_arrow(scored, [text, lang, *([] if first else [total, absent])], outputs, _round(hashes, order), carried), "round")
+        hashes.destroy()
+    # Every n-gram lies in one round, so all other rounds miss it.
+    unseen = UNSEEN * (F.col(absent) - F.lit(rounds - 1) * F.col(size))
+    perplexity = -F.try_divide(F.col(total) + unseen, F.col(size))
     return scored.select(*kept, *(F.col(prefix + c) for c in STATISTICS), perplexity.alias(prefix + "log10_ppl"))
 
 
@@ -359,13 +391,13 @@ def _statistics_columns(texts: pa.Array) -> list[pa.Array]:
     return [pa.array(rows[:, j]) for j in range(rows.shape[1])]
 
 
-def _round(hashes: Broadcast, order: int, absent: float):
+def _round(hashes: Broadcast, order: int):
     """One round of scoring; the first one also takes the text statistics."""
-    def compute(texts: pa.Array, languages: pa.Array, before: pa.Array | None = None) -> list[pa.Array]:
-        sums = _log_sums(texts, languages, order, hashes.value, absent)
+    def compute(texts: pa.Array, languages: pa.Array, before: pa.Array | None = None, missed: pa.Array | None = None) -> list[pa.Array]:
+        sums, missing = _log_sums(texts, languages, order, hashes.value)
         if before is None:
-            return [*_statistics_columns(texts), pa.array(sums)]
-        return [pa.array(sums + before.to_numpy(zero_copy_only=False))]
+            return [*_statistics_columns(texts), pa.array(sums), pa.array(missing)]
+        return [pa.array(sums + before.to_numpy(zero_copy_only=False)), pa.array(missing + missed.to_numpy(zero_copy_only=False))]
     return compute
 
 
@@ -413,14 +445,14 @@ def judge_documents(docs: DataFrame, text: str = "text", lang: str = "lang", ord
     counts = settled(count_ngrams(distinct_texts(labelled, text, counted, mark), order, text, counted), "counts")
     other_half = F.concat(F.translate(F.substring("lang", 1, 1), "01", "10"), F.expr("substring(lang, 2)")).alias("lang")
     model = settled(kneser_ney(counts, order, counts.select(other_half, "gram")), "model")
-    scored = settled(score_documents(labelled, model, order, text, asks, [*columns, label, mark], prefix), "scores")
+    scored = score_documents(labelled, model, order, text, asks, [*columns, label, mark], prefix)
     bands = perplexity_bands(scored, label, prefix, mark).withColumnRenamed("lang", label)
     failed = base_failed(prefix)
     first, third = fresh(scored, "band_q1"), fresh(scored, "band_q3")
     inside = inside_band(F.col(prefix + "log10_ppl"), F.col(prefix + "n_words"), F.col(first), F.col(third))
     return (scored.join(bands.withColumnsRenamed({"q1": first, "q3": third}), label, "left")
-            .select(*columns, *(prefix + c for c in STATISTICS), prefix + "log10_ppl",
-                    failed.alias(prefix + "base_failed"), (~failed & inside).alias(prefix + "kept")))
+            .select(*columns, *(prefix + c for c in STATISTICS), failed.alias(prefix + "base_failed"),
+                    (~failed & inside).alias(prefix + "kept"), prefix + "log10_ppl"))
 
 
 def distinct_texts(docs: DataFrame, text: str, lang: str, mark: str) -> DataFrame:

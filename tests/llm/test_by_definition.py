@@ -3,10 +3,12 @@
 import math
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from noticework.llm.queries import QUERIES
@@ -16,43 +18,56 @@ SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="driver tables are not here")
 
 
-def log_probabilities(texts, order=5):
-    """Log10 probability of each n-gram of bytes by modified Kneser-Ney, orders from the lowest up."""
+def log_probability_of(texts, order=5):
+    """Log10 probability of any n-gram of bytes by modified Kneser-Ney on these texts; unseen ones back off."""
     counts = Counter()
     for text in texts:
         raw = b"\0" * (order - 1) + text
         counts.update(raw[i:i + order] for i in range(len(text)))
-    levels = [counts]
-    for _ in range(order - 1):
-        levels.append(Counter(g[1:] for g in levels[-1]))
-    below = {b"": 1 / 256}
-    for level in reversed(levels):
+    levels = {order: counts}
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    off, total, taken = {}, Counter(), defaultdict(float)
+    for k, level in levels.items():
         t = [sum(1 for n in level.values() if n == i) for i in (1, 2, 3, 4)]
-        if all(t):
-            y = t[0] / (t[0] + 2 * t[1])
-            off = [0.0] + [max(0.0, i - (i + 1) * y * t[i] / t[i - 1]) for i in (1, 2, 3)]
-        else:
-            off = [0.0, 0.5, 0.5, 0.5]
-        total, taken = Counter(), defaultdict(float)
+        y = t[0] / (t[0] + 2 * t[1]) if all(t) else None
+        off[k] = [0.0, *(max(0.0, i - (i + 1) * y * t[i] / t[i - 1]) if all(t) else 0.5 for i in (1, 2, 3))]
         for g, n in level.items():
-            total[g[:-1]] += n
-            taken[g[:-1]] += off[min(n, 3)]
-        below = {g: (n - off[min(n, 3)] + taken[g[:-1]] * below[g[1:]]) / total[g[:-1]] for g, n in level.items()}
-    return {g: math.log10(p) for g, p in below.items()}
+            total[g[:-1], k] += n
+            taken[g[:-1], k] += off[k][min(n, 3)]
+
+    @lru_cache(maxsize=None)
+    def p(g):
+        if not g:
+            return 1 / 256
+        here, n = (g[:-1], len(g)), levels[len(g)].get(g, 0)
+        if here not in total:
+            return p(g[1:])
+        mass = taken[here] if n else max(taken[here], 0.5)
+        return (n - off[len(g)][min(n, 3)] + mass * p(g[1:])) / total[here]
+
+    return lambda g: math.log10(p(g))
+
+
+def half_of(text):
+    """The half of its language that a text belongs to, by the hash that Spark gives it; null has the hash of nothing, the seed."""
+    return (42 if text is None else xxhash.xxh64_intdigest(text.encode(), seed=42)) % 2
 
 
 def verdicts(docs):
     """(base_failed, kept, distance from the nearer bound) of each (doc_id, text, lang)."""
     out = {}
     for lang in {x[2] or "" for x in docs}:
-        own = [(d, (t or "").encode(), plain_statistics(t)) for d, t, x in docs if (x or "") == lang]
-        logp = log_probabilities([t for _, t, _ in own])
+        own = [(d, t, plain_statistics(t)) for d, t, x in docs if (x or "") == lang]
+        distinct = {t for _, t, _ in own if t}
+        logp = [log_probability_of([t.encode() for t in sorted(distinct) if half_of(t) != half]) for half in (0, 1)]
         scores = {}
         for d, t, stats in own:
-            raw = b"\0" * 4 + t
+            raw = b"\0" * 4 + (t or "").encode()
             failed = stats[0] < 10 or 100 * stats[4] > 20 * stats[0]
-            scores[d] = failed, -sum(logp[raw[i:i + 5]] for i in range(len(t))) / len(t) if t else None, stats[0]
-        bins = sorted(math.floor(1000 * s + 0.5) for failed, s, _ in scores.values() if not failed)
+            scores[d] = failed, -sum(logp[half_of(t)](raw[i:i + 5]) for i in range(len(raw) - 4)) / (len(raw) - 4) if t else None, stats[0]
+        once = {t: scores[d][1] for d, t, _ in own if not scores[d][0]}
+        bins = sorted(math.floor(1000 * s + 0.5) for s in once.values())
         for d, (failed, score, words) in scores.items():
             if failed:
                 out[d] = True, False, 1.0
