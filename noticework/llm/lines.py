@@ -13,20 +13,22 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, LongType, StringType, StructField, StructType
 
 from noticework.llm.common import as_bytes, fresh, with_arrow
-from noticework.session import scratch_path
+from noticework.session import scratch_path, settled
 
 MIN_CHARS = 10
-# Filters up to this many bytes in all go to every task; larger ones leave the work to the join.
+# Filters up to this many bytes in all go to every task; to larger ones the keys are sent by shard.
 BROADCAST_BYTES = 32 << 20
-DOCS_PER_SHARD = 20_000
+# Text of a shard: a key takes ten bytes and a line end at least, so this bounds its keys, however long the documents are.
+BYTES_PER_SHARD = 4 << 20
+KEY_BYTES = 16
 # Stands for a missing document number: one document, after all others.
 NO_ID = (1 << 63) - 1
 
@@ -187,10 +189,23 @@ def _hashes(keys: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(keys), np.uint64)[::2] if keys else np.empty(0, np.uint64)
 
 
+def _column_hashes(keys: pa.ChunkedArray) -> np.ndarray:
+    """The same of a column of keys, without an object per key."""
+    parts = [np.frombuffer(pa.concat_arrays([chunk.cast(pa.binary(KEY_BYTES))]).buffers()[1], np.uint64, 2 * len(chunk), KEY_BYTES * chunk.offset)[::2]
+             for chunk in keys.chunks if len(chunk)]
+    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
+
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return (hashes >> np.uint64(40)).astype(np.int64) % shards
 
 
+def _chain_of(filters: pa.Table, kind: str) -> CuckooChain:
+    """The chain of one kind among a shard's filters; an empty one if it has none."""
+    found = [data for name, data in zip(filters.column("kind").to_pylist(), filters.column("filter").to_pylist(), strict=True) if name == kind]
+    return CuckooChain.unpack(found[0] if found else None)
+
+
 _REFERENCE = StructType([StructField("shard", LongType()), StructField("key", BinaryType()), StructField("doc", LongType())])
 
 
@@ -259,12 +274,11 @@ class LineStore:
             flagged = batch.join(maybe, ["shard", "key"])
             again = flagged.filter("maybe").drop("maybe").join(old_references, ["shard", "key", "doc"], "left_anti")
             batch = flagged.filter(~F.col("maybe")).drop("maybe").unionByName(again)
-        references = self._write("added", batch)
+        references = self._write("references" if old_references is None else "added", batch)
         added = references.groupBy("shard", "key").agg(F.count(F.lit(1)).alias("refs"), F.min("doc").alias("first"))
         if old_keys is None:
             keys = self._write("keys", added)
             changes = keys.select("shard", "key", F.lit(True).alias("known"), (F.col("refs") > 1).alias("repeated"))
-            self._write("references", references)
         else:
             before = old_keys.select("shard", "key", F.col("refs").alias("old_refs"), F.col("first").alias("old_first"))
             merged = self._write("touched", added.join(before, ["shard", "key"], "left").select(
@@ -297,33 +311,33 @@ class LineStore:
         self.version += 1
         return self
 
-    def _flag(self, keys: DataFrame, filters: DataFrame) -> DataFrame:
-        """``keys`` with ``maybe``: false where the filter proves a key unknown."""
-        def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            blobs = right.loc[right["kind"] == "known", "filter"]
-            chain = CuckooChain.unpack(blobs.iloc[0] if len(blobs) else None)
-            return left.assign(maybe=chain.contains(_hashes(list(left["key"]))))
-        return keys.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(
-            probe, StructType([*_REFERENCE.fields[:2], StructField("maybe", BooleanType())]))
+    def _flag(self, keys: DataFrame, filters: DataFrame, kind: str = "known") -> DataFrame:
+        """``keys`` with ``maybe``: false where the shard's filter proves that a key is not of this kind."""
+        schema = StructType([*_REFERENCE.fields[:2], StructField("maybe", BooleanType())])
+
+        def probe(left: pa.Table, right: pa.Table) -> pa.Table:
+            maybe = _chain_of(right, kind).contains(_column_hashes(left.column("key")))
+            return pa.table([left.column("shard"), left.column("key"), pa.array(maybe, pa.bool_())], names=schema.fieldNames())
+        return keys.select("shard", "key").groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(probe, schema)
 
     def _changed(self, changes: DataFrame, filters: DataFrame | None) -> DataFrame:
         """Filters after adding (true) and removing (false) keys; a shard's distinct keys meet in one task."""
         schema = StructType([StructField("shard", LongType()), StructField("kind", StringType()), StructField("filter", BinaryType())])
         old = self.spark.createDataFrame([], schema) if filters is None else filters
 
-        def update(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            shard = int((left if len(left) else right)["shard"].iloc[0])
-            rows = []
+        def update(left: pa.Table, right: pa.Table) -> pa.Table:
+            shard = (left if len(left) else right).column("shard")[0].as_py()
+            chains = []
             for kind in ("known", "repeated"):
-                blobs = right.loc[right["kind"] == kind, "filter"]
-                chain = CuckooChain.unpack(blobs.iloc[0] if len(blobs) else None)
-                chain.remove(_hashes(list(left.loc[left[kind] == False, "key"])))  # noqa: E712  null is neither
-                chain.add(_hashes(list(left.loc[left[kind] == True, "key"])))  # noqa: E712
-                rows.append((shard, kind, chain.pack()))
-            return pd.DataFrame(rows, columns=["shard", "kind", "filter"])
+                chain = _chain_of(right, kind)
+                marks = left.column(kind)
+                chain.remove(_column_hashes(left.column("key").filter(pc.equal(marks, False))))
+                chain.add(_column_hashes(left.column("key").filter(marks)))
+                chains.append(chain.pack())
+            return pa.table([pa.array([shard] * 2), pa.array(["known", "repeated"]), pa.array(chains, pa.binary())], names=schema.fieldNames())
 
         moved = changes.filter(F.col("known").isNotNull() | F.coalesce("repeated", F.lit(False)) | ~F.coalesce("repeated", F.lit(True)))
-        return moved.groupBy("shard").cogroup(old.groupBy("shard")).applyInPandas(update, schema)
+        return moved.groupBy("shard").cogroup(old.groupBy("shard")).applyInArrow(update, schema)
 
     def repeated(self) -> DataFrame:
         """Rows (key, first): keys that two or more documents hold, and the smallest of these."""
@@ -342,8 +356,13 @@ class LineStore:
         Null and empty texts are one empty line and come back empty.  Columns of ``docs`` with the
         names of the counts are replaced.
         """
-        maybe = _references(docs, self._document(), self.text, self.shards, self._broadcast_filters())
-        drops = maybe.distinct().join(self.repeated(), "key").filter(F.col("first") != F.col("doc")).groupBy("doc").agg(F.collect_list("key").alias("keys"))
+        filters = self._broadcast_filters()
+        maybe = _references(docs, self._document(), self.text, self.shards, filters).distinct()
+        if filters is None:  # too many to send them all: every shard's keys go to its own filter
+            maybe = settled(maybe, "asked")
+            hits = self._flag(maybe.select("shard", "key").distinct(), self._read("filters"), "repeated").filter("maybe")
+            maybe = maybe.join(hits.select("shard", "key"), ["shard", "key"], "left_semi")
+        drops = maybe.join(self.repeated(), "key").filter(F.col("first") != F.col("doc")).groupBy("doc").agg(F.collect_list("key").alias("keys"))
         own, keys = fresh(docs, "line_doc"), fresh(docs, "line_keys")
         joined = docs.withColumn(own, self._document()).join(drops.select(F.col("doc").alias(own), F.col("keys").alias(keys)), own, "left")
         counted = {n_lines.lower(), n_dropped.lower()}
@@ -368,5 +387,6 @@ def _without_lines(texts: pa.Array, keys: pa.Array) -> list[pa.Array]:
 
 def dedup_lines(docs: DataFrame, identity: str = "doc_id", text: str = "text", n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
     """``docs`` cleaned of lines that a document with a smaller number holds; see ``LineStore.clean``."""
-    shards = max(16, docs.count() // DOCS_PER_SHARD)
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    shards = max(16, size // BYTES_PER_SHARD)
     return LineStore(docs.sparkSession, shards=shards, identity=identity, text=text).insert(docs).clean(docs, n_lines, n_dropped)

@@ -105,10 +105,13 @@ def test_perplexity_sums_over_pieces_and_rounds(spark, monkeypatch):
     for i, t in enumerate(texts):
         raw = b"\0\0" + (t or "").encode()
         want[i] = -sum(logp[raw[j:j + 3]] for j in range(len(raw) - 2)) / (len(raw) - 2) if t else None
-    for entries, piece in ((4_000_000, 1 << 18), (20, 7)):
+    foreign = spark.createDataFrame([(9, "la zz", "xx"), (10, "la", "yy")], "doc_id long, text string, lang string")
+    want |= {9: (7.0 * 2 - sum(logp[g] for g in (b"\0\0l", b"\0la", b"la "))) / 5, 10: 7.0}
+    for entries, part, piece in ((4_000_000, 1 << 16, 1 << 18), (20, 8, 7)):
         monkeypatch.setattr(quality, "BROADCAST_ENTRIES", entries)
+        monkeypatch.setattr(quality, "PART_ENTRIES", part)
         monkeypatch.setattr(quality, "_PIECE", piece)
-        got = {r["doc_id"]: r["log10_ppl"] for r in quality.score_documents(docs, model, 3).collect()}
+        got = {r["doc_id"]: r["log10_ppl"] for r in quality.score_documents(docs.unionByName(foreign), model, 3).collect()}
         assert all(got[i] is None if want[i] is None else math.isclose(got[i], want[i], abs_tol=1e-4) for i in want)
 
 
@@ -283,7 +286,9 @@ def store_state(store):
     return keys, references
 
 
-def test_insert_and_delete_are_reversible(spark):
+@pytest.mark.parametrize("broadcast_bytes", [32 << 20, 0])
+def test_insert_and_delete_are_reversible(spark, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(lines, "BROADCAST_BYTES", broadcast_bytes)
     rng = np.random.default_rng(5)
     texts = [f"line number {i} of the pool" for i in range(30)]
     make = lambda ids: spark.createDataFrame([(int(i), "\n".join(rng.choice(texts, 6))) for i in ids], "doc_id long, text string")
@@ -307,6 +312,14 @@ def test_insert_and_delete_are_reversible(spark):
         assert chains[(r["shard"], "repeated")].contains(h).all() or r["refs"] < 2
 
 
+def test_filters_answer_for_unique_lines(spark):
+    docs = spark.createDataFrame([(i, f"a line of {i} alone\nthe line of {i // 2} and its neighbour") for i in range(200)], "doc_id long, text string")
+    store = LineStore(spark, shards=4).insert(docs)
+    flags = store._flag(store._read("keys"), store._read("filters"), "repeated").join(store._read("keys"), ["shard", "key"])
+    counts = Counter((r["refs"] > 1, r["maybe"]) for r in flags.collect())
+    assert counts[True, True] == 100 and counts[True, False] == 0 and counts[False, False] > 190
+
+
 @pytest.mark.parametrize("n", [1, 100, 5000])
 def test_cuckoo_chain(n):
     rng = np.random.default_rng(n)
