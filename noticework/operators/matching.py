@@ -8,7 +8,9 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from noticework.functions.meeting import probing
 from noticework.functions.similarity import jaro_winkler, overlap_factor
 from noticework.functions.text import NAME_FLOOR, company_name, digits, first_word, usable_register_number
 from noticework.functions.values import AWARD_CAP, share
@@ -75,10 +77,6 @@ def match_id(winners: DataFrame, register: DataFrame) -> DataFrame:
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 "
 _LEVELS = 4
 
-# Bit sets of the n-th part when the alphabet is dealt into a number of parts (first index: parts - 1).
-_PARTS = "array(" + ", ".join(
-    "array(" + ", ".join(f"{sum(1 << i for i in range(part, len(_ALPHABET), parts))}L" for part in range(parts)) + ")"
-    for parts in range(1, len(_ALPHABET) + 1)) + ")"
 # As SQL text: one expression instead of hundreds of column objects.
 _BIT_OF_CHAR = f"shiftleft(1L, instr('{_ALPHABET}', c) - 1)"
 _STEPS = [f"'l1', s.l1 | {_BIT_OF_CHAR}"]
@@ -92,6 +90,12 @@ aggregate(filter(split(substring(name_norm, length(word) + 1), ''), c -> c <> ''
 
 # Meeting points that a name needs in a large block, about; where fewer pairs than that exist, all pairs of the block meet.
 _USUAL_PROBES = 100
+# Blocks of this many names a side meet on single characters; every fourfold size adds one to the combination.
+_SINGLES = 250
+# Occurrences of a character whose frequencies are told apart when characters are ordered from rare to frequent.
+_RANKED_OCCURRENCES = 8
+
+_LEVEL_COLUMNS = [f"l{k}" for k in range(1, _LEVELS + 1)]
 
 
 def _profiled(names: DataFrame, blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -99,39 +103,57 @@ def _profiled(names: DataFrame, blocks: DataFrame, keys: Sequence[str]) -> DataF
     shaped = names.join(blocks, list(keys)).withColumns({"len": F.length("name_norm"), "p": F.expr(_PROFILE)})
     # The first word is shared by definition, so all of it counts.
     rest = (F.length("word") + F.col("p.over")).cast("int")
-    return settled(shaped.select(*keys, "name_norm", "direct", "len", *[f"p.l{k}" for k in range(1, _LEVELS + 1)], rest.alias("over"),
+    return settled(shaped.select(*keys, "name_norm", "direct", "size", "len", *[f"p.l{k}" for k in range(1, _LEVELS + 1)], rest.alias("over"),
                                  F.monotonically_increasing_id().alias("id")), "profiles")
 
 
-def _probes(profiles: DataFrame, factor: float, keys: Sequence[str], flipped: bool) -> DataFrame:
-    """One row per meeting point of a name: a hash of block, both lengths, alphabet part and the characters in that part.
+def _shared_enough(factor: float) -> Column:
+    """Whether two names share as many characters as the threshold asks for at least."""
+    common = F.least("over", "other_over")
+    for level in _LEVEL_COLUMNS:
+        common = common + F.bit_count(F.col(level).bitwiseAND(F.col(f"other_{level}")))
+    return common >= F.lit(factor) * F.col("len") * F.col("other_len") / (F.col("len") + F.col("other_len")) - 1e-9
 
-    For a pair of lengths the bound leaves room for ``d`` unshared characters at most, counted
-    on both sides together.  Dealing the alphabet into ``d + 1`` parts, one part at least holds
-    exactly the same characters in both names, so the two meet there.  Where ``d + 1``
-    exceeds the alphabet (very long names) they meet on their lengths alone; names of a small
-    block meet once.  Different points with an equal hash only add pairs, which later checks drop.
-    """
-    direct = F.col("direct")
-    shortest, longest = F.ceil(F.col("len") * (factor - 1.0) - 1e-9), F.floor(F.col("len") / (factor - 1.0) + 1e-9)
-    spread = profiles.withColumn("partner", F.explode(F.when(direct, F.array(F.lit(0))).otherwise(F.sequence(shortest.cast("int"), longest.cast("int")))))
-    shared = F.ceil(F.lit(factor) * F.col("len") * F.col("partner") / (F.col("len") + F.col("partner")) - 1e-9).cast("int")
-    spread = spread.withColumn("parts", F.greatest(F.col("len") + F.col("partner") - shared * 2, F.lit(0)) + 1)
-    guided = ~direct & (F.col("parts") <= len(_ALPHABET))
-    spread = spread.withColumn("part", F.explode(F.sequence(F.lit(0), F.when(guided, F.col("parts") - 1).otherwise(0))))
-    mask = F.expr(f"{_PARTS}[parts - 1][part]")
-    content = F.when(guided, F.xxhash64(*[F.col(f"l{k}").bitwiseAND(mask) for k in range(1, _LEVELS + 1)])).otherwise(0)
-    lengths = [F.when(direct, 0).otherwise(F.col(c)) for c in (("partner", "len") if flipped else ("len", "partner"))]
-    return spread.withColumn("meet", F.xxhash64(*[F.col(k) for k in keys], *lengths, "part", content))
+
+def _other(columns: Sequence[str]) -> list[Column]:
+    return [F.col(c).alias(f"other_{c}") for c in columns]
+
+
+def _character_ranks(*sides: DataFrame) -> dict[tuple[str, int], int]:
+    """Place of each (character, occurrence) after the first word, rarest first; at most alphabet times ``_RANKED_OCCURRENCES`` rows."""
+    total = None
+    for names in sides:
+        chars = names.select(F.explode(F.filter(F.split(F.expr("substring(name_norm, length(word) + 1)"), ""), lambda c: c != "")).alias("c"), "id")
+        counted = (chars.groupBy("id", "c").count().select("c", F.explode(F.sequence(F.lit(1), F.least("count", F.lit(_RANKED_OCCURRENCES)).cast("int"))).alias("k"))
+                   .groupBy("c", "k").count())
+        total = counted if total is None else total.unionByName(counted)
+    rows = total.groupBy("c", "k").agg(F.sum("count").alias("n")).orderBy("n", "c", "k").collect()
+    return {(r["c"], r["k"]): i for i, r in enumerate(rows)}
+
+
+def _probes(profiles: DataFrame, factor: float, keys: Sequence[str], flipped: bool, ranks: dict[tuple[str, int], int], carried: Sequence[str]) -> DataFrame:
+    """One row per meeting point of a name.  Different points with an equal hash only add pairs, which later checks drop."""
+    source = profiles.select(*carried, "name_norm", F.length("word").alias("__word"), F.xxhash64(*keys).alias("__block"), "size")
+    schema = StructType([StructField("meet", LongType()), *(source.schema[c] for c in carried)])
+
+    return source.mapInArrow(probing(schema.fieldNames(), factor, flipped, ranks), schema)
+
+
+def met_pairs(a: DataFrame, b: DataFrame, factor: float, keys: Sequence[str]) -> DataFrame:
+    """Pairs of profiled names of large blocks that meet on a combination of rare characters, with what the bound needs."""
+    carried = ["id", "len", *_LEVEL_COLUMNS, "over"]
+    ranks = _character_ranks(a, b)
+    ours, theirs = (spread_by(_probes(side, factor, keys, flipped, ranks, carried), "meet") for side, flipped in ((a, False), (b, True)))
+    return salted_join(ours, theirs.select("meet", *_other(carried)), ["meet"])
 
 
 def similar_names(left: DataFrame, right: DataFrame, threshold: float = NEAR_NAME, block: str = "iso3") -> DataFrame:
     """All pairs of different names with an equal block and first word that reach the threshold.
 
-    Instead of comparing every pair of a large block, names meet only where their lengths fit and
-    one part of the alphabet holds the same characters (see ``_probes``); hot meeting
-    points are salted, and the shared-character bound drops the rest before the similarity
-    is computed.  No bound can drop a pair that reaches the threshold.  Only numbers are shuffled;
+    In a small block all names meet.  In a large one they meet on combinations of their rarest characters: the more names a block has,
+    the more characters a combination has, so that the pairs that meet grow more slowly than all pairs (see ``meeting.combination_sizes``).
+    Hot meeting points are salted, and the shared-character bound drops the rest before the similarity
+    is computed.  No bound can drop a pair that reaches the threshold.  Of large blocks only numbers are shuffled;
     names come back for the pairs that are left.
     """
     factor = overlap_factor(threshold)
@@ -140,21 +162,20 @@ def similar_names(left: DataFrame, right: DataFrame, threshold: float = NEAR_NAM
     # Names whose block exists on one side only can meet nobody.
     sizes = (a.groupBy(*keys).agg(F.count(F.lit(1)).alias("lefts")).join(b.groupBy(*keys).agg(F.count(F.lit(1)).alias("rights")), keys))
     few = F.col("lefts") * F.col("rights") <= _USUAL_PROBES * (F.col("lefts") + F.col("rights"))
-    blocks = sizes.select(*keys, few.alias("direct"))
+    size = 1 + F.greatest(F.floor(F.log(4.0, F.sqrt(F.col("lefts") * F.col("rights").cast("double")) / _SINGLES)), F.lit(0))
+    blocks = settled(sizes.select(*keys, few.alias("direct"), size.cast("int").alias("size")), "blocks")
     a, b = _profiled(a, blocks, keys), _profiled(b, blocks, keys)
-    levels = [f"l{k}" for k in range(1, _LEVELS + 1)]
-    carried = ["id", "len", *levels, "over"]
-    pairs = salted_join(_probes(a, factor, keys, flipped=False).select("meet", *carried),
-                        _probes(b, factor, keys, flipped=True).select("meet", *[F.col(c).alias(f"other_{c}") for c in carried]), ["meet"])
-    common = F.least("over", "other_over")
-    for level in levels:
-        common = common + F.bit_count(F.col(level).bitwiseAND(F.col(f"other_{level}")))
-    needed = F.lit(factor) * F.col("len") * F.col("other_len") / (F.col("len") + F.col("other_len")) - 1e-9
-    # A pair may meet on several parts.
-    close = pairs.filter(common >= needed).select("id", "other_id").distinct()
-    named = (close.join(a.select("id", *keys, "name_norm"), "id")
-             .join(b.select(F.col("id").alias("other_id"), *keys, F.col("name_norm").alias("other_name_norm")), ["other_id", *keys])
-             .filter(F.col("name_norm") != F.col("other_name_norm")).select(block, "name_norm", "other_name_norm"))
+    carried = ["name_norm", "len", *_LEVEL_COLUMNS, "over"]
+    small = salted_join(a.filter("direct").select(*keys, *carried), b.filter("direct").select(*keys, *_other(carried)), keys)
+    named = small.filter(_shared_enough(factor)).select(block, "name_norm", "other_name_norm")
+    if not blocks.filter(~F.col("direct")).isEmpty():
+        large_a, large_b = a.filter(~F.col("direct")), b.filter(~F.col("direct"))
+        # A pair may meet on several combinations.
+        close = met_pairs(large_a, large_b, factor, keys).filter(_shared_enough(factor)).select("id", "other_id").distinct()
+        named = named.unionByName(
+            close.join(large_a.select("id", block, "name_norm"), "id")
+            .join(large_b.select(F.col("id").alias("other_id"), F.col("name_norm").alias("other_name_norm")), "other_id").select(block, "name_norm", "other_name_norm"))
+    named = named.filter(F.col("name_norm") != F.col("other_name_norm"))
     return named.withColumn("sim", jaro_winkler("name_norm", "other_name_norm")).filter(F.col("sim") >= threshold)
 
 

@@ -120,3 +120,43 @@ def test_normalised_names_are_idempotent(spark):
     names = spark.createDataFrame([("Société Générale S.A.",), ("ACME Co. Ltd",)], "n string")
     once = names.select(company_name(F.col("n")).alias("n"))
     assert once.collect() == once.select(company_name(F.col("n")).alias("n")).collect()
+
+
+def test_meeting_points_lose_no_pair():
+    """Two names whose shared characters reach the bound have a meeting point in common, whatever the size of a combination."""
+    from collections import Counter
+
+    from noticework.functions.meeting import name_probes
+    from noticework.functions.similarity import overlap_factor
+
+    rng = random.Random(8)
+    ranks = {(c, k): rng.randrange(1000) for c in "ABCDEIORST 12" for k in range(1, 4)}
+    met = 0
+    for threshold in (0.95, 0.85):
+        factor = overlap_factor(threshold)
+        for a in _names(rng, 120):
+            b = _mutated(rng, _mutated(rng, a))
+            word = len(a.split(" ")[0])
+            if b.split(" ")[0] != a.split(" ")[0]:
+                continue
+            common = sum((Counter(a) & Counter(b)).values())
+            if common >= factor * len(a) * len(b) / (len(a) + len(b)) - 1e-9:
+                met += 1
+                for most in (1, 2, 3, 5):
+                    assert set(name_probes(a, word, 7, most, factor, False, ranks)) & set(name_probes(b, word, 7, most, factor, True, ranks))
+    assert met > 50
+
+
+def test_fewer_pairs_meet_on_longer_combinations(spark):
+    from noticework.functions.similarity import overlap_factor
+
+    rng = random.Random(5)
+    names = sorted({"CENTRE " + " ".join("".join(rng.choice("ABCDEFGHIKLMNOPRSTUV") for _ in range(rng.randint(3, 9))) for _ in range(3)) for _ in range(1200)})
+    rng.shuffle(names)
+    sides = [spark.createDataFrame([("X", "CENTRE", n) for n in part], "iso3 string, word string, name_norm string") for part in (names[:600], names[600:1200])]
+    met = []
+    for size in (1, 3):
+        blocks = spark.createDataFrame([("X", "CENTRE", False, size)], "iso3 string, word string, direct boolean, size int")
+        profiles = [matching._profiled(side, blocks, ["iso3", "word"]) for side in sides]
+        met.append(matching.met_pairs(*profiles, overlap_factor(0.95), ["iso3", "word"]).select("id", "other_id").distinct().count())
+    assert met[1] < met[0] / 3 and met[0] < 0.3 * 600 * 600
