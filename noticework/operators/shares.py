@@ -126,3 +126,23 @@ def wide(df: DataFrame, rows: Sequence[str], columns: str, values: Sequence, cel
 
 def long(df: DataFrame, ids: Sequence[str], values: Sequence[str], name: str, value: str) -> DataFrame:
     return df.unpivot(list(ids), list(values), name, value)
+
+
+def rolled_shares(df: DataFrame, by: Sequence[str], levels: Sequence[str], count: str = "n", share_name: str = "share_of_parent") -> DataFrame:
+    """Counts of every level of a hierarchy and of its sub-totals, each with its share of the level above.
+
+    ``level`` is the grouping id, so a sub-total is told from a member without a value.  Rows are counted once on the lowest
+    level; the sub-totals are added up from those counts, and parents are looked up among them.
+    """
+    leaves = df.groupBy(*by, *levels).agg(F.count(F.lit(1)).alias("__rows"))
+    sets = [[*by, *levels[:depth]] for depth in range(len(levels), -1, -1)]
+    rolled = leaves.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in (*by, *levels)]).agg(
+        F.grouping_id(*by, *levels).cast("bigint").alias("level"), F.sum("__rows").alias(count))
+    # The parent of a row has its last level taken away: one more bit from the right.
+    above = F.when(F.col("level") < (1 << len(levels)) - 1, F.shiftleft(F.col("level"), 1) + 1)
+    parents = rolled.select("level", *by, *levels, F.col(count).alias("__parent")).withColumnsRenamed({c: f"__{c}" for c in (*by, *levels, "level")})
+    same = above == F.col("__level")
+    for depth, c in enumerate([*by, *levels]):
+        kept = F.lit(True) if c in by else F.col("__level") < 1 << len(levels) - 1 - (depth - len(by))
+        same = same & F.when(kept, F.col(c).eqNullSafe(F.col(f"__{c}"))).otherwise(True) if c in levels else same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return rolled.join(parents, same, "left").select(*by, *levels, "level", count, F.try_divide(F.col(count).cast("double"), F.col("__parent")).alias(share_name))
