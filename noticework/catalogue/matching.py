@@ -132,6 +132,14 @@ def match_fuzzy(spark, sf_dir):
     return _shown(matching.match_fuzzy(*settled_sides(spark, sf_dir)))
 
 
+_FLOOR = f"ours AS (SELECT * FROM every_firm WHERE awards >= {matching.FUZZY_MIN_AWARDS} OR value_capped >= 150000)"
+
+
+@query("match_fuzzy_floor", _matches_sql(_NEAR_SQL).replace("ours AS (", "every_firm AS (", 1).replace("listed AS (", _FLOOR + ",\nlisted AS (", 1) + _SHOWN_SQL)
+def match_fuzzy_floor(spark, sf_dir):
+    return _shown(matching.match_fuzzy(*settled_sides(spark, sf_dir), min_awards=matching.FUZZY_MIN_AWARDS, min_value=150000))
+
+
 @query("match_priority", _ALL_SQL + _SHOWN_SQL)
 def match_priority(spark, sf_dir):
     return _shown(matching.match_all(*settled_sides(spark, sf_dir)))

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from noticework.catalogue.registry import NOTICE_SQL, buyer_notices, notices, query, table
+from noticework.catalogue.quality import FIRST_MONTH, LAST_MONTH
+from noticework.catalogue.registry import BUYER_NOTICE_SQL, NOTICE_SQL, buyer_notices, notices, query, table
 from noticework.catalogue.streams import _event_stream
 from noticework.functions import sql
-from noticework.operators import chains, conditions, sketches
+from noticework.functions.text import clipped
+from noticework.operators import chains, conditions, quality, sketches
+from noticework.operators.correlation import shifted_correlation
+from noticework.operators.ordering import number_sorted
 from noticework.operators.shares import rolled_shares
 from noticework.session import scratch_path, settled
 from noticework.streaming import jobs, keyed
@@ -180,3 +184,40 @@ def share_rollup(spark, sf_dir):
     period = F.when(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp"), "before").otherwise("after").alias("period")
     base = table(spark, sf_dir, "orders").select("o_custkey", period).join(buyers, "o_custkey")
     return rolled_shares(base, ["period"], ["region", "country", "activity"])
+
+
+@query("quarterly_lead", f"""
+WITH {BUYER_NOTICE_SQL},
+cells AS (SELECT country, CAST(date_trunc('quarter', dispatch_date) AS DATE) AS quarter, count(*) FILTER (WHERE type = 'cn') AS calls, count(*) FILTER (WHERE framework) AS frames
+          FROM buyer_notice WHERE value_eur > 300000 GROUP BY 1, 2),
+spans AS (SELECT country, unnest(generate_series(min(quarter), max(quarter), INTERVAL 3 MONTH))::DATE AS quarter FROM cells GROUP BY 1),
+dense AS (SELECT country, quarter, coalesce(calls, 0) AS calls, coalesce(frames, 0) AS frames FROM spans LEFT JOIN cells USING (country, quarter)),
+shifted AS (SELECT CAST(shift AS INTEGER) AS shift, frames, lag(calls, shift) OVER (PARTITION BY country, shift ORDER BY quarter) AS x FROM dense, range(0, 9) AS s(shift))
+SELECT shift, count(x) AS n, round(corr(frames, x), 9) AS r FROM shifted WHERE x IS NOT NULL GROUP BY 1""")
+def quarterly_lead(spark, sf_dir):
+    df = buyer_notices(spark, sf_dir).filter(F.col("value_eur") > 300000)
+    cells = df.groupBy("country", F.trunc("dispatch_date", "QUARTER").alias("quarter")).agg(
+        F.count_if(F.col("type") == "cn").alias("calls"), F.count_if("framework").alias("frames"))
+    found = shifted_correlation(settled(cells, "cells"), "country", "quarter", "calls", "frames", 8)
+    return found.withColumn("r", F.round("r", 9))
+
+
+@query("work_order", f"""
+WITH months AS (SELECT CAST(unnest(generate_series(DATE '{FIRST_MONTH}', DATE '{LAST_MONTH}', INTERVAL 1 MONTH)) AS DATE) AS month),
+done AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, c_nationkey AS nation FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 350000),
+open AS (SELECT month, n_nationkey AS nation FROM months, nation EXCEPT SELECT month, nation FROM done)
+SELECT month, nation, row_number() OVER (ORDER BY month DESC, nation) AS position FROM open""")
+def work_order(spark, sf_dir):
+    months = F.sequence(F.lit(LAST_MONTH).cast("date"), F.lit(FIRST_MONTH).cast("date"), F.expr("INTERVAL -1 MONTH"))
+    grid = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), F.posexplode(months).alias("back", "month"))
+    buyers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("nation"))
+    counted = table(spark, sf_dir, "orders").filter(F.col("o_totalprice") > 350000).join(buyers, "o_custkey")
+    still = quality.missing_cells(grid, counted.select(F.trunc("o_orderdate", "MM").alias("month"), "nation").distinct(), ["month", "nation"])
+    return number_sorted(still, ["back", "nation"], "position").select("month", "nation", "position")
+
+
+@query("clipped_texts", """
+SELECT doc_id, left(text, 200) AS short_text, CAST(length(left(text, 200)) AS BIGINT) AS kept, md5(text) AS whole FROM documents""")
+def clipped_texts(spark, sf_dir):
+    short, whole = clipped(F.col("text"), 200), clipped(F.col("text"), None)
+    return table(spark, sf_dir, "documents").select("doc_id", short.alias("short_text"), F.length(short).cast("bigint").alias("kept"), F.md5(whole.cast("binary")).alias("whole"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticework.operators.shares import with_shares
@@ -38,3 +38,18 @@ def log_correlation_by_window(df: DataFrame, group: str, year: str, category: Se
     pooled = cells.groupBy("window").agg(F.count_distinct(group).alias("countries"), correlation("la", "lb").alias("r_pooled"))
     single = cells.groupBy("window", group).agg(correlation("la", "lb").alias("r")).groupBy("window").agg(F.median("r").alias("r_country_median"))
     return pooled.join(single, "window")
+
+
+def shifted_correlation(cells: DataFrame, group: str, quarter: str, leading: str, following: str, shifts: int) -> DataFrame:
+    """Correlation of ``following`` with ``leading`` some quarters earlier, for every shift from 0 to ``shifts``, pooled over the groups.
+
+    ``cells`` has one row per group and first day of a quarter; quarters missing in between count as nought on both sides.
+    A group's quarters are filled up, shifted and compared in one pass over its short series.
+    """
+    spans = cells.groupBy(group).agg(F.min(quarter).alias("__first"), F.max(quarter).alias("__last"))
+    grid = spans.select(group, F.explode(F.sequence("__first", "__last", F.expr("INTERVAL 3 MONTHS"))).alias(quarter))
+    dense = grid.join(cells, [group, quarter], "left").fillna(0, [leading, following])
+    along = Window.partitionBy(group).orderBy(quarter)
+    earlier = dense.select(F.col(following).alias("y"), *(F.lag(leading, k).over(along).alias(f"x{k}") for k in range(shifts + 1)))
+    pairs = earlier.select("y", F.posexplode(F.array(*(f"x{k}" for k in range(shifts + 1)))).alias("shift", "x")).filter(F.col("x").isNotNull())
+    return pairs.groupBy("shift").agg(F.count(F.lit(1)).alias("n"), correlation("y", "x").alias("r"))
