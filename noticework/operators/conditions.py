@@ -31,9 +31,10 @@ def met_conditions(texts: DataFrame, rules: DataFrame, identity: str, text: str,
     read = texts.select(F.col(identity).alias("id"), plain_words(F.col(text)).alias("plain"))
     asked = settled(rules.select(F.col(rule).alias("rule"), plain_words(F.col(phrase)).alias("phrase")).filter(F.col("phrase") != "").distinct(), "phrases")
     words = asked.select("phrase", F.explode(F.array_distinct(F.split("phrase", " "))).alias("word")).distinct()
-    # Words that no phrase holds are of no use; the rest is written once and counted.
+    # Words that no phrase holds go before anything is shuffled; the rest is written once and counted.
+    needed = settled(words.select("word").distinct(), "words")
     postings = read.select("id", F.xxhash64("plain").alias("digest"), F.explode(F.array_distinct(F.split("plain", " "))).alias("word"))
-    postings = settled(postings.distinct().join(words.select("word").distinct(), "word", "left_semi"), "postings")
+    postings = settled(postings.join(needed, "word", "left_semi"), "postings")
     counts = postings.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     rated = words.join(counts, "word", "left").groupBy("phrase").agg(
         F.min_by("word", F.struct("n", "word")).alias("word"), F.bool_and(F.col("n").isNotNull()).alias("possible"))
