@@ -1,5 +1,6 @@
 """The registered queries on the driver's small tables: SQL where there is some, else brute force."""
 
+import zlib
 from pathlib import Path
 
 import pytest
@@ -46,6 +47,11 @@ def test_sharding_query(spark):
     for s in range(8):
         slots = sorted(r["slot"] for r in rows if r["shard"] == s)
         assert slots == list(range(len(slots))) and abs(len(slots) - len(rows) / 8) < 1
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        raw = texts[r["doc_id"]]
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 1, zlib.crc32(raw), "rows", None)
 
 
 def run_stages(spark, docs):
