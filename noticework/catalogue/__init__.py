@@ -7,6 +7,6 @@ types are product codes, events are an append log.
 
 from noticework.catalogue.registry import ORACLES, QUERIES
 
-from noticework.catalogue import breakdowns, entities, history, indicators, labelling, matching, quality, refresh, storage, streams  # noqa: F401,E402  (register)
+from noticework.catalogue import breakdowns, entities, fields, history, indicators, labelling, matching, quality, refresh, storage, streams  # noqa: F401,E402  (register)
 
 __all__ = ["ORACLES", "QUERIES"]

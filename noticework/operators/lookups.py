@@ -68,3 +68,18 @@ def resolve_function(df: DataFrame, code_map: DataFrame, code: str, owner: Colum
         "function_source": F.when(mapped.isNull(), unmapped).when(mapped != deferred, "product").otherwise("buyer"),
         "function": F.when(mapped.isNull(), unmapped).when(mapped != deferred, mapped).otherwise(owner),
     })
+
+
+# Letters alike but for case and accents are equal under this collation of Spark's.
+NAME_COLLATION = "UNICODE_CI_AI"
+
+
+def join_by_collation(left: DataFrame, right: DataFrame, left_on: str, right_on: str, how: str = "inner", collation: str = NAME_COLLATION) -> DataFrame:
+    """Equi join on texts that a collation holds equal; both columns come out as they were.
+
+    Spark hashes the collation's own keys, so the join shuffles like one on plain texts.  Unlike a table of
+    accents it also equates letters that Unicode does not take apart, such as the German sharp s with a double s.
+    """
+    one = left.withColumn("__left_key", F.collate(F.col(left_on), collation))
+    other = right.withColumn("__right_key", F.collate(F.col(right_on), collation))
+    return one.join(other, F.col("__left_key") == F.col("__right_key"), how).drop("__left_key", "__right_key")

@@ -106,9 +106,23 @@ def field_coverage(notice_all: DataFrame) -> DataFrame:
                             extra={"value_raw": filled_share(F.col("value_eur")), "value_ok": value_ok})
 
 
-def field_matrix(coverage: DataFrame, years: Sequence[int]) -> DataFrame:
-    """Fill rates in long form, for heat tables of two periods."""
-    return shares.long(coverage.filter(F.col("year").isin(*years)), ["type", "country", "year"], ["value_raw", "nuts2", "activity", "buyer_type"], "field", "share")
+def field_matrix(coverage: DataFrame, years: Sequence[int], winners: DataFrame | None = None) -> DataFrame:
+    """Fill rates in long form, for heat tables of two periods.
+
+    ``winners`` (year, country and fill rates of winner fields, as ``page_winners`` or ``export_winners`` give them) adds rows to
+    the award notices.
+    """
+    matrix = shares.long(coverage.filter(F.col("year").isin(*years)), ["type", "country", "year"], ["value_raw", "nuts2", "activity", "buyer_type"], "field", "share")
+    if winners is None:
+        return matrix
+    return matrix.unionByName(winner_fields(winners.filter(F.col("year").isin(*years))))
+
+
+def winner_fields(winners: DataFrame) -> DataFrame:
+    """The fill rates of winner and offer fields that ``winners`` has, in long form."""
+    rates = winners.withColumn("type", F.lit("can"))
+    fields = [c for c in ("winner", "winner_country", "offers") if c in winners.columns]
+    return shares.long(rates, ["type", "country", "year"], fields, "field", "share")
 
 
 def monthly_values(notice_all: DataFrame) -> DataFrame:

@@ -22,10 +22,10 @@ class Inputs:
     rates: str
 
 
-def build_products(spark: SparkSession, inputs: Inputs, out: str, spread: int | None = None, line_breaks: bool = True) -> dict[str, DataFrame]:
+def build_products(spark: SparkSession, inputs: Inputs, out: str, spread: int | None = None, line_breaks: bool | None = None) -> dict[str, DataFrame]:
     """Build and write every product table; later tables read the written earlier ones.
 
-    ``line_breaks=False`` says that no quoted text of the exports holds a line break, so large files are split over tasks.
+    Large exports are split over tasks where no quoted text holds a line break; ``line_breaks`` decides it for all files.
     """
     made: dict[str, DataFrame] = {}
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 CSV_DIALECT = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 # The month in a file's own name, as the last part of its path.
 MONTH_OF_FILE = r"(\d{4}-\d{2})[^/]*$"
-# Headers read at a time: each is a job over one line.
+# Headers read at a time: each is a job over one line, one per layout.
 HEADERS_AT_ONCE = 16
 
 
@@ -24,42 +26,79 @@ def text_schema(columns: Sequence[str]) -> StructType:
 
 
 def read_text_csv(spark: SparkSession, path: str | list[str], columns: Sequence[str], file_column: str | None = None,
-                  line_breaks: bool = True) -> DataFrame:
+                  line_breaks: bool | None = None) -> DataFrame:
     """CSV with a header, every column kept as text (codes keep their leading zeros).
 
-    ``columns`` must follow the file order; with ``enforceSchema`` off Spark checks them
-    against each header.  Quoted texts may hold line breaks, which ties a file to one task;
-    say ``line_breaks=False`` for files known to have none and Spark splits them.
+    ``columns`` must follow the file order; with ``enforceSchema`` off Spark checks them against each header.  Quoted
+    texts may hold line breaks, which ties a file to one task.  ``line_breaks`` says whether any do; by default one
+    pass over the lines finds the files that may, and Spark splits the others.
     """
+    if line_breaks is None:
+        files = _files(spark, path)
+        broken = {file for file, (_, breaks) in survey_files(spark, files).items() if breaks}
+        parts = [read_text_csv(spark, some, columns, file_column, breaks) for breaks in (False, True) if (some := [f for f in files if (f in broken) is breaks])]
+        return _united(parts)
     df = spark.read.schema(text_schema(columns)).options(**CSV_DIALECT).option("enforceSchema", False).option("multiLine", line_breaks).csv(path)
     return df if file_column is None else df.withColumn(file_column, F.col("_metadata.file_path"))
 
 
-def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    return tuple(spark.read.options(**CSV_DIALECT).option("inferSchema", False).csv(path).columns)
+def _spelled(file: str) -> str:
+    """A file's address in one spelling: Spark escapes it, and writes an empty authority in two ways."""
+    return re.sub("^([A-Za-z0-9+.-]+):///", r"\1:/", unquote(file))
 
 
-def _by_layout(spark: SparkSession, paths: Sequence[str], file_column: str | None, line_breaks: bool) -> DataFrame:
-    """Files of any headers as one table: files with the same header are read together, columns are united by name."""
-    layouts: dict[tuple[str, ...], list[str]] = {}
-    with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
-        headers = list(pool.map(lambda path: _header(spark, path), paths))
-    for header, path in zip(headers, paths, strict=True):
-        layouts.setdefault(header, []).append(path)
-    parts = [read_text_csv(spark, files, header, file_column, line_breaks) for header, files in layouts.items()]
+def _files(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
+    """The files behind paths, folders and globs."""
+    return [_spelled(file) for file in spark.read.text(path if isinstance(path, str) else list(path)).inputFiles()]
+
+
+def survey_files(spark: SparkSession, files: Sequence[str]) -> dict[str, tuple[str, bool]]:
+    """First line of each file that has one, and whether a quoted text may go on in the next line: one job for all files.
+
+    A text with a line break leaves its first line with an odd number of quotes.  A stray quote looks the same, which
+    only costs the split.
+    """
+    value = F.col("value")
+    lines = spark.read.text(list(files)).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    quotes = F.length("value") - F.length(F.replace(value, F.lit('"'), F.lit("")))
+    first = F.when((F.col("file_block_start") == 0) & (F.trim(value) != ""), value)
+    found = lines.groupBy("file_path").agg(F.first(first, ignorenulls=True).alias("header"), F.bool_or(quotes % 2 == 1).alias("breaks")).collect()
+    return {_spelled(r["file_path"]): (r["header"] or "", r["breaks"]) for r in found}
+
+
+def _united(parts: list[DataFrame]) -> DataFrame:
     table = parts[0]
     for part in parts[1:]:
         table = table.unionByName(part, allowMissingColumns=True)
     return table
 
 
-def read_text_csv_by_header(spark: SparkSession, path: str | list[str], line_breaks: bool = True) -> DataFrame:
+def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
+    return tuple(spark.read.options(**CSV_DIALECT).option("inferSchema", False).csv(path).columns)
+
+
+def _by_layout(spark: SparkSession, path: str | Sequence[str], file_column: str | None, line_breaks: bool | None) -> DataFrame:
+    """Files of any headers as one table: files with the same header are read together, columns are united by name."""
+    files = _files(spark, path)
+    surveyed = survey_files(spark, files)
+    # One file tells the column names of all files with its first line.
+    examples = {surveyed.get(file, ("", False))[0]: file for file in files}
+    with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+        names = dict(zip(examples, pool.map(lambda file: _header(spark, file), examples.values()), strict=True))
+    layouts: dict[tuple[tuple[str, ...], bool], list[str]] = {}
+    for file in files:
+        header, breaks = surveyed.get(file, ("", False))
+        layouts.setdefault((names[header], breaks if line_breaks is None else line_breaks), []).append(file)
+    return _united([read_text_csv(spark, some, header, file_column, breaks) for (header, breaks), some in layouts.items()])
+
+
+def read_text_csv_by_header(spark: SparkSession, path: str | list[str], line_breaks: bool | None = None) -> DataFrame:
     """CSV whose headers name the columns, all text, no sampling pass over the data.
 
-    Each file keeps its own header, so files may order their columns differently or lack some.  ``line_breaks=False``
-    lets Spark split files whose texts hold no line breaks.
+    Each file keeps its own header, so files may order their columns differently or lack some.  ``line_breaks`` as in
+    ``read_text_csv``.
     """
-    return _by_layout(spark, spark.read.text(path).inputFiles(), None, line_breaks)
+    return _by_layout(spark, path, None, line_breaks)
 
 
 def read_tsv(spark: SparkSession, path: str, columns: Sequence[str], wanted: dict[str, str]) -> DataFrame:
@@ -81,7 +120,7 @@ def read_run_files(spark: SparkSession, paths: Sequence[str], run_pattern: str,
     Files with the same header are read together, so the plan grows with the number of
     layouts and not with the number of files.
     """
-    table = _by_layout(spark, paths, "__file", line_breaks=True)
+    table = _by_layout(spark, paths, "__file", None)
     for name in columns:
         if name not in table.columns:
             table = table.withColumn(name, F.lit(None).cast("string"))

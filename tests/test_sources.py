@@ -61,3 +61,30 @@ def test_report_is_sorted(spark, tmp_path):
     writers.write_report(spark.createDataFrame([(2, "b"), (1, "a")], "n int, s string"), path, ["n"])
     (part,) = [p for p in (tmp_path / "r").glob("part-*")]
     assert part.read_text() == "n,s\n1,a\n2,b\n"
+
+
+def test_files_are_split_unless_a_text_goes_on_in_the_next_line(spark, tmp_path):
+    folder = tmp_path / "with blank%20"
+    folder.mkdir()
+    (folder / "plain.csv").write_text('a,b\n01,"x ""y"""\n')
+    (folder / "broken.csv").write_text('b,a\n"two\nlines",2\n')
+    (folder / "stray.csv").write_text("a,c\n5 \" pipe,z\n")
+    (folder / "empty.csv").write_text("")
+    files = readers._files(spark, str(folder))
+    surveyed = {f.rsplit("/", 1)[1]: found for f, found in readers.survey_files(spark, files).items()}
+    assert surveyed == {"plain.csv": ("a,b", False), "broken.csv": ("b,a", True), "stray.csv": ("a,c", True)}
+    rows = readers.read_text_csv_by_header(spark, str(folder)).select("a", "b", "c").collect()
+    assert sorted(map(tuple, rows)) == [("01", 'x "y"', None), ("2", "two\nlines", None), ('5 " pipe', None, "z")]
+    declared = readers.read_text_csv(spark, [str(folder / "plain.csv")], ["a", "b"])
+    assert [tuple(r) for r in declared.collect()] == [("01", 'x "y"')]
+
+
+def test_a_large_file_without_line_breaks_has_many_tasks(spark, tmp_path):
+    (tmp_path / "large.csv").write_text("a,b\n" + "".join(f"{i},text\n" for i in range(200_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "262144")
+    try:
+        df = readers.read_text_csv_by_header(spark, str(tmp_path / "large.csv"))
+        assert df.rdd.getNumPartitions() > 4 and df.count() == 200_000 and df.filter("a = 'a'").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
