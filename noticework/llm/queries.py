@@ -124,45 +124,73 @@ def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Archive records made from pages: each one is a full response of its site section, and is asked for again later.
+    """Archive records made from pages: each one is captured in full twice and asked for again twice, under spellings of its whole address.
 
-    The second request comes up to six pages later, so the section may have changed meanwhile.
+    Every fifth page is asked for before its first capture.  Every fourth page changes between its captures, and every third is asked
+    for with the tag of the first.  Null addresses stay null.
     """
-    page, tag = F.col("page_id"), F.concat(F.lit('"'), F.md5(F.coalesce(F.col("html"), F.lit("")).cast("binary")), F.lit('"'))
-    section = F.regexp_extract("url", "^([a-zA-Z]+://[^/?#]*/[^/?#]*)", 1)
-    base = pages.select(page, section.alias("url"), F.when(page % 5 != 0, tag).alias("etag"), F.when(page % 3 != 0, F.concat(F.lit("day "), page % 400)).alias("last_modified"))
-    turn = F.explode(F.array(F.lit("response"), F.lit("revisit"))).alias("kind")
-    rows = base.select("*", turn)
-    later = F.col("kind") == "revisit"
-    at = (1000 * page + F.when(later, 500 + 1000 * (page % 7)).otherwise(0)).cast("bigint")
-    common = [F.lit("date"), at.cast("string"), F.lit("etag"), F.coalesce("etag", F.lit("none")), F.lit("content-type"), F.when(later, "none").otherwise("text/html")]
-    headers = F.when(later, F.create_map(*common)).otherwise(F.create_map(*common, F.lit("cache-control"), F.concat(F.lit("max-age="), page % 100)))
-    return rows.select((2 * page + later.cast("int")).cast("bigint").alias("record_id"), "url", at.alias("captured_at"), "kind", "etag", "last_modified", headers.alias("headers"))
+    page, at_turn = F.col("page_id"), F.col("turn")
+    bare, fragment = F.regexp_replace("url", "(?s)#.*$", ""), F.regexp_extract("url", "(?s)(#.*)$", 1)
+    front = F.regexp_extract(bare, "(?s)^([^/?]*://[^/?]*)", 1)
+    back = F.substr(bare, F.length(front) + 1)
+    sign = F.when(F.contains(bare, F.lit("?")), "&").otherwise("?")
+    even = page % 2 == 0
+    spelled = (F.when(at_turn == 0, F.when(even, F.concat(bare, sign, F.lit("b=2&a=1"), fragment)).otherwise(F.col("url")))
+               .when(at_turn == 1, F.concat(F.upper(front), back, F.when(even, F.concat(sign, F.lit("a=1&b=2"))).otherwise(""), F.lit("#again")))
+               .when(at_turn == 2, F.concat(bare, sign, F.when(even, "a=1&utm_campaign=x&b=2").otherwise("gclid=7")))
+               .otherwise(F.concat(front, F.when(front == "", "").otherwise(":443"), back, sign, F.when(even, "ref=home&b=2&a=1").otherwise("ref=home"))))
+    # The state of the page that a record speaks of.
+    changed = (page % 4 == 0) & ((at_turn == 2) | (at_turn == 3) & (page % 3 != 0))
+    state = F.concat(F.coalesce(F.col("html"), F.lit("")), F.when(changed, "changed").otherwise(""))
+    tag = F.when(page % 5 != 0, F.concat(F.lit('"'), F.md5(state.cast("binary")), F.lit('"')))
+    modified = F.when(page % 3 != 0, F.concat(F.lit("day "), page % 400 + changed.cast("int")))
+    after = F.when(at_turn == 0, 0).when(at_turn == 1, F.when(page % 5 == 1, -100).otherwise(200)).when(at_turn == 2, 400).otherwise(600 + 1000 * (page % 7))
+    turns = pages.select(page, "url", "html", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("turn"))
+    later = at_turn % 2 == 1
+    rows = turns.select((4 * page + at_turn).cast("bigint").alias("record_id"), spelled.alias("url"), (1000 * page + after).cast("bigint").alias("captured_at"),
+                        F.when(later, "revisit").otherwise("response").alias("kind"), tag.alias("etag"), modified.alias("last_modified"), (page % 100).alias("age"))
+    common = [F.lit("date"), F.col("captured_at").cast("string"), F.lit("etag"), F.coalesce("etag", F.lit("none")), F.lit("content-type"), F.when(F.col("kind") == "revisit", "none").otherwise("text/html")]
+    headers = F.when(F.col("kind") == "revisit", F.create_map(*common)).otherwise(F.create_map(*common, F.lit("cache-control"), F.concat(F.lit("max-age="), "age")))
+    return rows.select("record_id", "url", "captured_at", "kind", "etag", "last_modified", headers.alias("headers"))
 
 
 @query("op4_revisits", """
-WITH base AS (
-  SELECT page_id, regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)/[^/?#]*', 1) AS host, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*(/[^/?#]*)', 1) AS section,
-         CASE WHEN page_id % 5 <> 0 THEN '"' || md5(coalesce(html, '')) || '"' END AS etag,
-         CASE WHEN page_id % 3 <> 0 THEN 'day ' || (page_id % 400) END AS last_modified FROM pages),
-named AS (SELECT *, CASE WHEN host = '' THEN '' ELSE regexp_replace(lower(host), ':(80|443)$', '') || regexp_replace(section, '/+$', '') END AS canonical_url FROM base),
-responses AS (SELECT 2 * page_id AS record_id, canonical_url, 1000 * page_id AS captured_at, etag, last_modified, page_id,
-                     'cache-control=max-age=' || (page_id % 100) AS cache FROM named),
-revisits AS (SELECT 2 * page_id + 1 AS record_id, canonical_url, 1000 * page_id + 500 + 1000 * (page_id % 7) AS captured_at, etag, last_modified FROM named),
+WITH parts AS (
+  SELECT page_id, url, html, turn, regexp_replace(url, '(?s)#.*$', '') AS bare, regexp_extract(url, '(?s)(#.*)$', 1) AS fragment
+  FROM pages, (SELECT unnest(range(4)) AS turn)),
+split AS (SELECT *, regexp_extract(bare, '(?s)^([^/?]*://[^/?]*)', 1) AS front, CASE WHEN contains(bare, '?') THEN '&' ELSE '?' END AS sign,
+                 page_id % 4 = 0 AND (turn = 2 OR turn = 3 AND page_id % 3 <> 0) AS changed FROM parts),
+spelled AS (
+  SELECT *, substr(bare, length(front) + 1) AS back,
+         CASE turn WHEN 0 THEN CASE WHEN page_id % 2 = 0 THEN bare || sign || 'b=2&a=1' || fragment ELSE url END
+                   WHEN 1 THEN upper(front) || substr(bare, length(front) + 1) || CASE WHEN page_id % 2 = 0 THEN sign || 'a=1&b=2' ELSE '' END || '#again'
+                   WHEN 2 THEN bare || sign || CASE WHEN page_id % 2 = 0 THEN 'a=1&utm_campaign=x&b=2' ELSE 'gclid=7' END
+                   ELSE front || CASE WHEN front = '' THEN '' ELSE ':443' END || substr(bare, length(front) + 1) || sign
+                        || CASE WHEN page_id % 2 = 0 THEN 'ref=home&b=2&a=1' ELSE 'ref=home' END END AS address FROM split),
+rests AS (SELECT *, regexp_replace(regexp_replace(address, '(?s)#.*$', ''), '(?s)^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM spelled),
+queried AS (
+  SELECT *, regexp_replace(lower(regexp_extract(rest, '(?s)^([^/?]*)', 1)), ':(80|443)$', '') || regexp_replace(regexp_extract(rest, '(?s)^[^/?]*([^?]*)', 1), '/+$', '') AS place,
+         list_sort(list_filter(string_split(regexp_extract(rest, '(?s)^[^?]*[?](.*)$', 1), '&'),
+                               lambda p: p <> '' AND NOT starts_with(p, 'utm_') AND split_part(p, '=', 1) NOT IN ('ref', 'gclid', 'fbclid'))) AS kept FROM rests),
+records AS (
+  SELECT 4 * page_id + turn AS record_id, CASE WHEN address IS NOT NULL THEN place || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS canonical_url,
+         1000 * page_id + CASE turn WHEN 0 THEN 0 WHEN 1 THEN CASE WHEN page_id % 5 = 1 THEN -100 ELSE 200 END WHEN 2 THEN 400 ELSE 600 + 1000 * (page_id % 7) END AS captured_at,
+         turn % 2 = 1 AS again, CASE WHEN page_id % 5 <> 0 THEN '"' || md5(coalesce(html, '') || CASE WHEN changed THEN 'changed' ELSE '' END) || '"' END AS etag,
+         CASE WHEN page_id % 3 <> 0 THEN 'day ' || (page_id % 400 + changed::INT) END AS last_modified, 'cache-control=max-age=' || (page_id % 100) AS cache FROM queried),
 met AS (
-  SELECT v.*, r.record_id AS referred_id, r.etag AS r_etag, r.last_modified AS r_modified, r.cache,
+  SELECT v.*, r.record_id AS referred_id, r.cache AS r_cache,
          CASE WHEN r.record_id IS NULL THEN 'orphan'
               WHEN v.etag IS NOT NULL AND r.etag IS NOT NULL THEN CASE WHEN v.etag = r.etag THEN 'validated' ELSE 'mismatch' END
               WHEN v.last_modified IS NOT NULL AND r.last_modified IS NOT NULL THEN CASE WHEN v.last_modified = r.last_modified THEN 'validated' ELSE 'mismatch' END
               ELSE 'unchecked' END AS outcome
-  FROM revisits v ASOF LEFT JOIN responses r ON v.canonical_url = r.canonical_url AND v.captured_at > r.captured_at)
+  FROM (SELECT * FROM records WHERE again) v ASOF LEFT JOIN (SELECT * FROM records WHERE NOT again) r ON v.canonical_url = r.canonical_url AND v.captured_at > r.captured_at)
 SELECT record_id, canonical_url, captured_at, 'revisit' AS kind, referred_id, outcome,
-       CASE WHEN outcome IN ('validated', 'unchecked') THEN cache || ';content-type=text/html' ELSE 'content-type=none' END
+       CASE WHEN outcome IN ('validated', 'unchecked') THEN r_cache || ';content-type=text/html' ELSE 'content-type=none' END
        || ';date=' || captured_at || ';etag=' || coalesce(etag, 'none') AS merged_headers
 FROM met
 UNION ALL
 SELECT record_id, canonical_url, captured_at, 'response', NULL, 'full',
-       cache || ';content-type=text/html;date=' || captured_at || ';etag=' || coalesce(etag, 'none') FROM responses
+       cache || ';content-type=text/html;date=' || captured_at || ';etag=' || coalesce(etag, 'none') FROM records WHERE NOT again
 """)
 def revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     resolved = resolve_revisits(captures(table(spark, sf_dir, "pages")))
