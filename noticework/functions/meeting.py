@@ -17,20 +17,26 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Meeting points of a name for one partner length; beyond that the combination gets shorter.
-MOST_COMBINATIONS = 256
+MOST_COMBINATIONS = 512
+# Golden section: its multiples spread evenly between 0 and 1.
+_TURN = (math.sqrt(5.0) - 1.0) / 2.0
 _ROWS = 1 << 18
 
 
-def combination_sizes(mine: int, partner: int, word: int, factor: float, most: int) -> tuple[int, int] | None:
+def combination_sizes(mine: int, partner: int, word: int, factor: float, most: float) -> tuple[int, int] | None:
     """(characters to look at, characters to combine) of a name for partners of one length, or None where no such partner can match.
 
+    ``most`` is a number with a fraction: pairs of lengths round it up at different points, so that a growing block lengthens
+    its combinations little by little.
+
     Such a pair shares ``t`` characters at least.  When both names list their characters from rare to frequent, the first ``k`` that
     they share lie among the first ``length - t + k`` of each list, so the two meet on that combination of ``k``.
     """
     t = math.ceil(factor * mine * partner / (mine + partner) - 1e-9)
     if t > min(mine, partner):
         return None
-    k = min(most, max(t - word, 0))
+    turn = (mine + partner) * _TURN % 1.0
+    k = min(math.floor(most + turn), max(t - word, 0))
     while k > 1 and math.comb(max(mine, partner) - t + k, k) > MOST_COMBINATIONS:
         k -= 1
     return mine - t + k, k
@@ -47,7 +53,7 @@ def _combinations(n: int, k: int) -> np.ndarray:
     return np.array(list(combinations(range(n), k)), np.int64).reshape(math.comb(n, k), k)
 
 
-def name_probes(name: str, word: int, block: int, most: int, factor: float, flipped: bool, ranks: dict[tuple[str, int], int]) -> np.ndarray:
+def name_probes(name: str, word: int, block: int, most: float, factor: float, flipped: bool, ranks: dict[tuple[str, int], int]) -> np.ndarray:
     """Meeting points of one name: hashes of block, both lengths and a combination of characters."""
     seen: Counter[str] = Counter()
     listed = []

@@ -90,8 +90,8 @@ aggregate(filter(split(substring(name_norm, length(word) + 1), ''), c -> c <> ''
 
 # Meeting points that a name needs in a large block, about; where fewer pairs than that exist, all pairs of the block meet.
 _USUAL_PROBES = 100
-# Blocks of this many names a side meet on single characters; every fourfold size adds one to the combination.
-_SINGLES = 250
+# Blocks of this many names a side meet on single characters; every size 2.5 times as large adds one to the combination.
+_SINGLES, _STEP = 250, 2.5
 # Occurrences of a character whose frequencies are told apart when characters are ordered from rare to frequent.
 _RANKED_OCCURRENCES = 8
 
@@ -162,8 +162,8 @@ def similar_names(left: DataFrame, right: DataFrame, threshold: float = NEAR_NAM
     # Names whose block exists on one side only can meet nobody.
     sizes = (a.groupBy(*keys).agg(F.count(F.lit(1)).alias("lefts")).join(b.groupBy(*keys).agg(F.count(F.lit(1)).alias("rights")), keys))
     few = F.col("lefts") * F.col("rights") <= _USUAL_PROBES * (F.col("lefts") + F.col("rights"))
-    size = 1 + F.greatest(F.floor(F.log(4.0, F.sqrt(F.col("lefts") * F.col("rights").cast("double")) / _SINGLES)), F.lit(0))
-    blocks = settled(sizes.select(*keys, few.alias("direct"), size.cast("int").alias("size")), "blocks")
+    size = 1 + F.greatest(F.log(_STEP, F.sqrt(F.col("lefts") * F.col("rights").cast("double")) / _SINGLES), F.lit(0.0))
+    blocks = settled(sizes.select(*keys, few.alias("direct"), size.alias("size")), "blocks")
     a, b = _profiled(a, blocks, keys), _profiled(b, blocks, keys)
     carried = ["name_norm", "len", *_LEVEL_COLUMNS, "over"]
     small = salted_join(a.filter("direct").select(*keys, *carried), b.filter("direct").select(*keys, *_other(carried)), keys)

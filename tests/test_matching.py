@@ -6,6 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from noticework.functions.meeting import combination_sizes
 
 from noticework.functions.similarity import jaro_winkler_values
 from noticework.functions.text import company_name
@@ -160,3 +161,19 @@ def test_fewer_pairs_meet_on_longer_combinations(spark):
         profiles = [matching._profiled(side, blocks, ["iso3", "word"]) for side in sides]
         met.append(matching.met_pairs(*profiles, overlap_factor(0.95), ["iso3", "word"]).select("id", "other_id").distinct().count())
     assert met[1] < met[0] / 3 and met[0] < 0.3 * 600 * 600
+
+
+@pytest.mark.parametrize("most", [1.0, 1.7, 2.5, 3.3, 6.9])
+def test_both_sides_combine_as_many_characters(most):
+    for mine in range(3, 40):
+        for partner in range(3, 40):
+            ours, theirs = combination_sizes(mine, partner, 2, 1.7, most), combination_sizes(partner, mine, 2, 1.7, most)
+            assert (ours is None) == (theirs is None)
+            if ours:
+                assert ours[1] == theirs[1] <= most + 1
+
+
+def test_combinations_grow_little_by_little():
+    lengths = [(a, b) for a in range(12, 30) for b in range(12, 30) if combination_sizes(a, b, 2, 1.7, 2.0)]
+    means = [sum(combination_sizes(a, b, 2, 1.7, 2.0 + step / 10)[1] for a, b in lengths) / len(lengths) for step in range(11)]
+    assert all(0 < later - before < 0.2 for before, later in zip(means, means[1:]))
