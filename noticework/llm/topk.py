@@ -1,103 +1,226 @@
 """Exact top-k by inner product, by reading sorted lists with no random access.
 
-Candidates lie in blocks.  A block has one list per coordinate, sorted by value; a query reads each list
-from the end that favours it.  After every round of reading, what is read and the values where reading stopped
-bound each candidate's score from below and above.  A query stops once few candidates can still
-reach its k-th best lower bound; their scores are then resolved exactly.  The blocks' best rows are merged by Spark.
+Candidates lie in blocks of like length, longest vectors first.  A block has one list per coordinate, sorted by value; a query reads
+each list from the end that favours it, a slice a round.  What is read and the values where reading stopped bound each candidate's
+score from below and above.  The first block gives every query a floor, its k-th best score there, which all other blocks share:
+blocks whose longest vector cannot reach it are not met, others are left as soon as few candidates can still reach it; those are
+then resolved exactly.  The blocks' best rows are merged by Spark.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from noticework.operators.ordering import best_rows
-from noticework.session import spread_by
+from noticework.session import settled, spread_by
 
 BLOCK_ROWS = 2048
 QUERY_ROWS = 512
 # Shares of the lists read after each round.
-DEPTHS = (0.125, 0.25, 0.5, 1.0)
-# A query stops with at most this many times k candidates left to resolve.
-RESOLVE = 8
+DEPTHS = tuple(i / 8 for i in range(1, 9))
+# A query leaves a block with at most this many times k candidates left to resolve.
+RESOLVE = 16
+# Relative allowance for the rounding of vector lengths.
+_SLACK = 1e-9
 
-_BLOCK = StructType([StructField("block", LongType()), StructField("ids", BinaryType()), StructField("vectors", BinaryType()), StructField("width", IntegerType())])
+_BLOCK = StructType([StructField("part", IntegerType()), StructField("block", LongType()), StructField("n", IntegerType()), StructField("longest", DoubleType()),
+                     StructField("ids", BinaryType()), StructField("vectors", BinaryType()), StructField("width", IntegerType())])
+_ASKED = StructType([StructField("asked", LongType()), StructField("query_ids", BinaryType()), StructField("queries", BinaryType()), StructField("query_width", IntegerType()),
+                     StructField("floors", BinaryType()), StructField("reach", DoubleType())])
 
 
 class SortedLists:
-    """A block's vectors with the rank of every entry in its coordinate's list, and the lists themselves."""
+    """A block's vectors, one list per coordinate in falling order, and the rank of every entry in its list."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        order = np.argsort(-vectors, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(vectors, order, axis=0)
-        self.ranks = np.empty_like(order)
-        np.put_along_axis(self.ranks, order, np.arange(len(ids))[:, None].repeat(vectors.shape[1], 1), axis=0)
+        self.order = np.argsort(-vectors, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(vectors, self.order, axis=0)
+        self.ranks = np.empty_like(self.order)
+        np.put_along_axis(self.ranks, self.order, np.arange(len(ids))[:, None].repeat(vectors.shape[1], 1), axis=0)
 
     def bounds(self, up: np.ndarray, down: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """Lower and upper bounds of all scores after ``depth`` entries of each list.
 
         ``up`` holds the positive weights, which read from the largest value down, ``down`` the negative ones.
         """
-        read_top, read_bottom = self.ranks < depth, self.ranks >= len(self.ids) - depth
-        high, low = self.sorted[0], self.sorted[-1]
-        upper = up @ np.where(read_top, self.vectors, self.sorted[depth - 1]).T + down @ np.where(read_bottom, self.vectors, self.sorted[-depth]).T
-        lower = up @ np.where(read_top, self.vectors, low).T + down @ np.where(read_bottom, self.vectors, high).T
+        reading = Reading(self, up, down)
+        reading.read_to(depth)
+        lower, upper = reading.bounds()
+        return lower.T, upper.T
+
+
+class Reading:
+    """How far some queries have read the lists of a block, and the scores of what they have read (a row per candidate)."""
+
+    def __init__(self, lists: SortedLists, up: np.ndarray, down: np.ndarray):
+        self.lists, self.up, self.down, self.depth = lists, up.T, down.T, 0
+        self.seen = np.zeros((len(lists.ids), len(up)))
+
+    def read_to(self, depth: int) -> None:
+        """The next slice of each list, up to ``depth`` entries; nothing else of the vectors is used."""
+        n, order, values = len(self.lists.ids), self.lists.order, self.lists.sorted
+        for j in range(order.shape[1]):
+            for weights, part in ((self.up[j], slice(self.depth, depth)), (self.down[j], slice(n - depth, n - self.depth))):
+                if weights.any():
+                    self.seen[order[part, j]] += values[part, j][:, None] * weights
+        self.depth = depth
+
+    def keep(self, queries: np.ndarray) -> None:
+        self.up, self.down, self.seen = self.up[:, queries], self.down[:, queries], self.seen[:, queries]
+
+    def most(self) -> np.ndarray:
+        """The highest score that any candidate of the block could have, from the heads of the lists."""
+        return self.lists.sorted[0] @ self.up + self.lists.sorted[-1] @ self.down
+
+    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds: an unread entry lies between the far end of its list and the place where reading stopped."""
+        values, ranks, depth = self.lists.sorted, self.lists.ranks, self.depth
+        above, below = ranks >= depth, ranks < len(ranks) - depth
+        upper = self.seen + np.where(above, values[depth - 1], 0) @ self.up + np.where(below, values[-depth], 0) @ self.down
+        lower = self.seen + np.where(above, values[-1], 0) @ self.up + np.where(below, values[0], 0) @ self.down
         return lower, upper
 
 
-def block_top_k(lists: SortedLists, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, candidate row, score) of each query's best k candidates of a block, its own id left out."""
+def block_top_k(lists: SortedLists, query_ids: np.ndarray, queries: np.ndarray, k: int,
+                floors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, candidate row, score) of each query's best k candidates of a block, its own id left out, and the entries each query read.
+
+    Candidates that score below a query's floor may be missing.
+    """
     n = len(lists.ids)
-    waiting = np.arange(len(queries))
-    rows, found = [], []
+    floors = np.full(len(queries), -np.inf) if floors is None else floors
+    reading = Reading(lists, np.maximum(queries, 0), np.minimum(queries, 0))
+    waiting = np.flatnonzero(reading.most() >= floors)
+    reading.keep(waiting)
+    weights, read = (queries != 0).sum(axis=1), np.zeros(len(queries), np.int64)
+    rows, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for share in DEPTHS:
         if not len(waiting):
             break
         depth = max(1, int(np.ceil(n * share)))
-        lower, upper = lists.bounds(np.maximum(queries[waiting], 0), np.minimum(queries[waiting], 0), depth)
-        own = query_ids[waiting][:, None] == lists.ids[None, :]
+        reading.read_to(depth)
+        read[waiting] = depth * weights[waiting]
+        lower, upper = reading.bounds()
+        own = lists.ids[:, None] == query_ids[waiting][None, :]
         lower[own] = upper[own] = -np.inf
         rank = min(k, n)
-        threshold = np.partition(lower, n - rank, axis=1)[:, n - rank]
-        open_to = (upper >= threshold[:, None]) & ~own
-        done = (open_to.sum(axis=1) <= RESOLVE * k) | (depth >= n)
-        at, candidate = np.nonzero(open_to[done])
+        threshold = np.maximum(floors[waiting], np.partition(lower, n - rank, axis=0)[n - rank])
+        open_to = (upper >= threshold[None, :]) & ~own
+        done = (open_to.sum(axis=0) <= RESOLVE * k) | (depth >= n)
+        candidate, at = np.nonzero(open_to[:, done])
         rows.append(waiting[done][at])
         found.append(candidate)
         waiting = waiting[~done]
+        reading.keep(~done)
     row, candidate = np.concatenate(rows), np.concatenate(found)
     scores = np.einsum("ij,ij->i", queries[row].astype(np.int64), lists.vectors[candidate].astype(np.int64)) if len(row) else np.empty(0, np.int64)
     order = np.lexsort((lists.ids[candidate], -scores, row))
     row, candidate, scores = row[order], candidate[order], scores[order]
     starts = np.searchsorted(row, row)
     best = np.arange(len(row)) - starts < k
-    return row[best], candidate[best], scores[best]
+    return row[best], candidate[best], scores[best], read
+
+
+def _block(rows: pa.Table, part: int, number: int) -> pa.RecordBatch:
+    ids = rows.column("id").to_numpy()
+    lists = rows.column("vector").combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):
+        lists = pa.concat_arrays(lists.chunks)
+    lengths = np.diff(lists.offsets.to_numpy())
+    matrix = np.zeros((len(ids), max(int(lengths.max(initial=0)), 1)))
+    matrix[np.repeat(np.arange(len(ids)), lengths), np.concatenate([np.arange(x) for x in lengths])] = lists.flatten().to_numpy(zero_copy_only=False)
+    longest = float(np.sqrt((matrix * matrix).sum(axis=1).max(initial=0)))
+    return pa.RecordBatch.from_pylist([{"part": part, "block": (part << 32) + number, "n": len(ids), "longest": longest, "ids": ids.tobytes(), "vectors": matrix.tobytes(),
+                                        "width": matrix.shape[1]}], schema=_ARROW_BLOCK)
+
+
+_ARROW_BLOCK = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("longest", pa.float64()), ("ids", pa.binary()), ("vectors", pa.binary()), ("width", pa.int32())])
+
+
+def _blocks(vectors: DataFrame, rows: int) -> DataFrame:
+    """Rows (id, vector) as blocks of ``rows`` rows: parts of falling vector length, each cut in that order by its task.
+
+    Equal rows are told apart by their place in the scan, so none of them fill a part of their own.
+    """
+    keyed = vectors.withColumns({"falling": -F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x),
+                                 "place": F.xxhash64("id", F.monotonically_increasing_id())})
+    ordered = keyed.repartitionByRange("falling", "id", "place").sortWithinPartitions("falling", "id", "place").select("id", "vector")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, held = TaskContext.get().partitionId(), 0, None
+        for batch in batches:
+            fresh_rows = pa.Table.from_batches([batch])
+            held = fresh_rows if held is None else pa.concat_tables([held, fresh_rows])
+            while held.num_rows >= rows:
+                yield _block(held.slice(0, rows), part, number)
+                held, number = held.slice(rows), number + 1
+        if held is not None and held.num_rows:
+            yield _block(held, part, number)
+
+    return settled(ordered.mapInArrow(cut, _BLOCK), "blocks")
+
 
+def _matrix(data: bytes, rows: int, width: int) -> np.ndarray:
+    held = np.frombuffer(data).reshape(rows, -1)
+    return np.pad(held, ((0, 0), (0, width - held.shape[1])))
 
-def _blocks(vectors: DataFrame, rows: int) -> tuple[DataFrame, int]:
-    """Rows (id, vector) as blocks of about ``rows`` rows, and the number of blocks."""
-    count = max(1, -(-vectors.count() // rows))
-    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(count)))
 
-    def build(group: pa.Table) -> pa.Table:
-        ids = group.column("id").to_numpy()
-        lists = group.column("vector").combine_chunks()
-        if isinstance(lists, pa.ChunkedArray):
-            lists = pa.concat_arrays(lists.chunks)
-        lengths = np.diff(lists.offsets.to_numpy())
-        width = int(lengths.max(initial=0))
-        matrix = np.zeros((len(ids), max(width, 1)))
-        matrix[np.repeat(np.arange(len(ids)), lengths), np.concatenate([np.arange(x) for x in lengths]) if len(lengths) else []] = lists.flatten().to_numpy(zero_copy_only=False)
-        return pa.table({"block": pa.array([group.column("block")[0].as_py()], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()),
-                         "vectors": pa.array([matrix.tobytes()], pa.binary()), "width": pa.array([matrix.shape[1]], pa.int32())})
+_ARROW_ASKED = pa.schema([("asked", pa.int64()), ("query_ids", pa.binary()), ("queries", pa.binary()), ("query_width", pa.int32()), ("floors", pa.binary()), ("reach", pa.float64())])
+_Met = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
-    return dealt.groupBy("block").applyInArrow(build, _BLOCK), count
+
+def _searches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[dict, SortedLists, np.ndarray, np.ndarray, _Met]]:
+    """The rows of block and queries that met, with the lists, the queries' ids and vectors, and what they found.  A block's rows come one after the other."""
+    last: tuple[int, int, SortedLists] | None = None
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            ids, asking = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["query_ids"], np.int64)
+            width = max(row["width"], row["query_width"])
+            if last is None or last[:2] != (row["block"], width):
+                last = row["block"], width, SortedLists(ids, _matrix(row["vectors"], len(ids), width))
+            queries, floors = _matrix(row["queries"], len(asking), width), np.frombuffer(row["floors"]) if row["floors"] else None
+            yield row, last[2], asking, queries, block_top_k(last[2], asking, queries, k, floors)
+
+
+def _floors(asked: DataFrame, lists: DataFrame, k: int) -> DataFrame:
+    """Query blocks with each query's k-th best score in the block of the longest vectors, and the vector length that the block's queries ask for at least."""
+    first = lists.select("block", "longest").orderBy(F.col("longest").desc(), "block").first()
+    unknown = asked.select(F.lit(first["block"] if first else -1).cast("bigint").alias("block"), F.col("block").alias("asked"), F.col("ids").alias("query_ids"),
+                           F.col("vectors").alias("queries"), F.col("width").alias("query_width"), F.lit(b"").alias("floors"))
+
+    def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, _, _, queries, (at, _, scores, _) in _searches(batches, k):
+            floors = np.full(len(queries), -np.inf)
+            last = np.arange(len(at)) - np.searchsorted(at, at) == k - 1
+            floors[at[last]] = scores[last]
+            lengths = np.sqrt((queries * queries).sum(axis=1))
+            reach = np.where(lengths > 0, floors / np.maximum(lengths, 1.0), -np.inf).min(initial=np.inf)
+            yield pa.RecordBatch.from_pylist([{**{c: row[c] for c in ("asked", "query_ids", "queries", "query_width")}, "floors": floors.tobytes(), "reach": float(reach)}], schema=_ARROW_ASKED)
+
+    return settled(lists.join(unknown, "block").mapInArrow(seek, _ASKED), "floors")
+
+
+def _met(queries: DataFrame, candidates: DataFrame, k: int, identity: str, vector: str) -> tuple[DataFrame, DataFrame]:
+    """Blocks next to the query blocks that may find something there, and the blocks."""
+    def usable(df: DataFrame) -> DataFrame:
+        return df.select(F.col(identity).cast("bigint").alias("id"), F.col(vector).alias("vector")).filter(F.col("id").isNotNull() & F.col("vector").isNotNull())
+
+    lists = _blocks(usable(candidates), BLOCK_ROWS)
+    asked = _floors(_blocks(usable(queries), QUERY_ROWS), lists, k)
+    parts = lists.groupBy("part").agg(F.max("longest").alias("longest"))
+    last = parts.agg(F.max("part")).first()[0]
+    turns = asked.select("asked", "reach", F.explode(F.sequence(F.lit(0), F.lit(last or 0))).alias("part"))
+    within = turns.join(parts, "part").filter(F.col("longest") * (1 + _SLACK) >= F.col("reach")).select("asked", "part")
+    return spread_by(lists, "part").join(spread_by(within.join(asked, "asked"), "part").hint("shuffle_merge"), "part"), lists
 
 
 def floored(vector: Column, factor: float = 256.0) -> Column:
@@ -106,37 +229,33 @@ def floored(vector: Column, factor: float = 256.0) -> Column:
     return F.when(F.coalesce(whole, F.lit(False)), F.transform(vector, lambda x: F.floor(F.lit(factor) * x.cast("double")).cast("double")))
 
 
+def _mapped(met: DataFrame, k: int, schema: StructType, made: Callable[[np.ndarray, SortedLists, np.ndarray, _Met], list[pa.Array]]) -> DataFrame:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, lists, asking, queries, found in _searches(batches, k):
+            yield pa.RecordBatch.from_arrays(made(asking, lists, queries, found), names=schema.fieldNames())
+
+    return met.mapInArrow(search, schema)
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int, identity: str = "vec_id", vector: str = "vector") -> DataFrame:
     """Rows (query_id, rank, identity, score): each query's ``k`` best candidates by inner product of whole-numbered vectors.
 
     Ties go to the smaller identity.  Rows with a null identity or vector take no part; shorter vectors end
-    in zeros; a query never meets rows of its own identity; repeated rows count one by one.  Block pairs meet by
-    a join on the block number; queries are repeated per block, since they are the smaller side.
+    in zeros; a query never meets rows of its own identity; repeated rows count one by one.  Blocks and query blocks meet by
+    a join on the block's part; queries are repeated per part, since they are the smaller side.
     """
-    def usable(df: DataFrame) -> DataFrame:
-        return df.select(F.col(identity).cast("bigint").alias("id"), F.col(vector).alias("vector")).filter(F.col("id").isNotNull() & F.col("vector").isNotNull())
-
-    lists, count = _blocks(usable(candidates), BLOCK_ROWS)
-    asked, _ = _blocks(usable(queries), QUERY_ROWS)
-    asked = asked.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))).alias("block"), F.col("ids").alias("query_ids"),
-                         F.col("vectors").alias("queries"), F.col("width").alias("query_width"))
     schema = StructType([StructField("query_id", LongType()), StructField(identity, LongType()), StructField("score", LongType())])
+    met, _ = _met(queries, candidates, k, identity, vector)
+    found = _mapped(met, k, schema, lambda asking, lists, _, hits: [pa.array(asking[hits[0]]), pa.array(lists.ids[hits[1]]), pa.array(hits[2])])
+    best = best_rows(found, ["query_id"], [F.col("score").desc(), F.col(identity)], k)
+    return best.select("query_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), identity)).alias("rank"), identity, "score")
 
-    def matrix(data: bytes, rows: int, width: int) -> np.ndarray:
-        held = np.frombuffer(data).reshape(rows, -1)
-        return np.pad(held, ((0, 0), (0, width - held.shape[1])))
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int, SortedLists] | None = None
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, asking = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["query_ids"], np.int64)
-                width = max(row["width"], row["query_width"])
-                if last is None or last[:2] != (row["block"], width):
-                    last = row["block"], width, SortedLists(ids, matrix(row["vectors"], len(ids), width))
-                at, candidate, scores = block_top_k(last[2], asking, matrix(row["queries"], len(asking), width), k)
-                yield pa.RecordBatch.from_arrays([pa.array(asking[at]), pa.array(ids[candidate]), pa.array(scores)], names=schema.fieldNames())
-
-    met = spread_by(asked, "block").join(spread_by(lists, "block").hint("shuffle_merge"), "block")
-    best = best_rows(met.mapInArrow(search, schema), ["query_id"], [F.col("score").desc(), F.col(identity)], k)
-    return best.select("query_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), identity)).alias("rank"), identity, "score")
+def read_shares(queries: DataFrame, candidates: DataFrame, k: int, identity: str = "vec_id", vector: str = "vector") -> DataFrame:
+    """Rows (query_id, entries_read, entries): the list entries that ``top_k`` reads for each query after its floor is known, and all entries of the
+    lists it gives weight to.  Queries that read nothing at all, and those that no block can serve, have no row or 0."""
+    schema = StructType([StructField("query_id", LongType()), StructField("entries_read", LongType()), StructField("weights", LongType())])
+    met, lists = _met(queries, candidates, k, identity, vector)
+    rows = lists.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()["rows"]
+    read = _mapped(met, k, schema, lambda asking, _, asked, hits: [pa.array(asking), pa.array(hits[3]), pa.array((asked != 0).sum(axis=1))])
+    return read.groupBy("query_id").agg(F.sum("entries_read").alias("entries_read"), (F.max("weights") * F.lit(rows)).alias("entries"))

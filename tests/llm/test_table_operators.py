@@ -280,3 +280,49 @@ def test_bounds_hold_at_every_depth():
         lower, upper = lists.bounds(np.maximum(queries, 0), np.minimum(queries, 0), depth)
         assert (lower <= exact + 1e-9).all() and (exact <= upper + 1e-9).all()
     assert np.allclose(lower, exact) and np.allclose(upper, exact)
+
+
+def _shares(spark, vectors, k=5):
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, vector array<double>")
+    queries = df.filter("vec_id % 40 = 0")
+    exact = {}
+    for q in range(0, len(vectors), 40):
+        exact[q] = sorted(((-int(vectors[q] @ v), i) for i, v in enumerate(vectors) if i != q))[:k]
+    got = {}
+    for r in top_k(queries, df, k).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
+    assert got == exact
+    rows = topk.read_shares(queries, df, k).collect()
+    return sum(r["entries_read"] for r in rows) / sum(r["entries"] for r in rows)
+
+
+def test_reading_stops_early_on_skewed_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 128)
+    rng = np.random.default_rng(12)
+    plain = rng.integers(-200, 200, (1600, 8))
+    # Few long vectors among many short ones: blocks of short ones are not met.
+    lengths = np.where(rng.random(1600) < 0.1, 40, 1)[:, None]
+    assert _shares(spark, plain * lengths) < 0.3
+    # A few coordinates hold most of the weight: lists are left early.
+    assert _shares(spark, plain // np.array([1, 1, 8, 16, 32, 64, 64, 64])) < 0.75
+    assert _shares(spark, plain) <= 1.0
+
+
+def test_floor_drops_only_what_lies_below_it():
+    rng = np.random.default_rng(9)
+    vectors, queries = rng.integers(-9, 9, (300, 4)).astype(float), rng.integers(-9, 9, (12, 4)).astype(float)
+    lists, exact = topk.SortedLists(np.arange(300), vectors), queries @ vectors.T
+    floors = np.sort(exact, axis=1)[:, -5] - np.arange(12) % 3
+    at, candidate, scores, read = topk.block_top_k(lists, np.arange(1000, 1012), queries, 5, floors)
+    for q in range(12):
+        best = sorted(zip(-exact[q], range(300)))[:5]
+        assert [(-s, c) for c, s in zip(candidate[at == q].tolist(), scores[at == q].tolist())] == [(s, c) for s, c in best]
+    out_of_reach = topk.block_top_k(lists, np.arange(1000, 1012), queries, 5, np.full(12, 1e6))
+    assert not len(out_of_reach[0]) and not out_of_reach[3].any() and (read > 0).all()
+
+
+def test_top_k_of_equal_rows_and_lengths(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 16)
+    df = spark.createDataFrame([(7, [3.0, 4.0])] * 200 + [(40, [5.0, 0.0]), (41, [0.0, 0.0]), (80, [])], "vec_id long, vector array<double>")
+    rows = [tuple(r) for r in top_k(df.filter("vec_id % 40 = 0"), df, 5).orderBy("query_id", "rank").collect()]
+    assert rows == [(40, r, 7, 15) for r in range(1, 6)] + [(80, r, 7, 0) for r in range(1, 6)]
