@@ -74,7 +74,8 @@ class Reading:
         self.depth = depth
 
     def keep(self, queries: np.ndarray) -> None:
-        self.up, self.down, self.seen = self.up[:, queries], self.down[:, queries], self.seen[:, queries]
+        # Candidates' rows stay contiguous.
+        self.up, self.down, self.seen = (np.compress(queries, x, axis=1) for x in (self.up, self.down, self.seen))
 
     def most(self) -> np.ndarray:
         """The highest score that any candidate of the block could have, from the heads of the lists."""
@@ -98,8 +99,9 @@ def block_top_k(lists: SortedLists, query_ids: np.ndarray, queries: np.ndarray,
     n = len(lists.ids)
     floors = np.full(len(queries), -np.inf) if floors is None else floors
     reading = Reading(lists, np.maximum(queries, 0), np.minimum(queries, 0))
-    waiting = np.flatnonzero(reading.most() >= floors)
-    reading.keep(waiting)
+    able = reading.most() >= floors
+    waiting = np.flatnonzero(able)
+    reading.keep(able)
     weights, read = (queries != 0).sum(axis=1), np.zeros(len(queries), np.int64)
     rows, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for share in DEPTHS:
@@ -112,7 +114,7 @@ def block_top_k(lists: SortedLists, query_ids: np.ndarray, queries: np.ndarray,
         own = lists.ids[:, None] == query_ids[waiting][None, :]
         lower[own] = upper[own] = -np.inf
         rank = min(k, n)
-        threshold = np.maximum(floors[waiting], np.partition(lower, n - rank, axis=0)[n - rank])
+        threshold = np.maximum(floors[waiting], np.partition(np.ascontiguousarray(lower.T), n - rank, axis=1)[:, n - rank])
         open_to = (upper >= threshold[None, :]) & ~own
         done = (open_to.sum(axis=0) <= RESOLVE * k) | (depth >= n)
         candidate, at = np.nonzero(open_to[:, done])
