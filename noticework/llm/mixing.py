@@ -8,6 +8,7 @@ over a source, then a part of one more pass.  Each pass visits the source's bloc
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,26 +60,35 @@ def find_exponent(sources: DataFrame, entropy: float | None = None, max_repetiti
 
 
 def mix(docs: DataFrame, entropy: float | None = None, max_repetition: float | None = None, budget: int | None = None, seed: int = 1,
-        source: str = "source", identity: str = "doc_id", text: str = "text", tokens: Column | None = None, prefix: str = "mix_") -> DataFrame:
-    """``docs`` as the mix takes them: one row per document and pass, with four more columns.
+        source: str = "source", identity: str = "doc_id", text: str = "text", tokens: Column | None = None, prefix: str = "mix_",
+        keep: Sequence[str] | None = None) -> DataFrame:
+    """``docs`` as the mix takes them, in their columns ``keep`` (default all): one row per document and pass, with four more columns.
 
     ``<prefix>tokens``, ``<prefix>weight`` (the source's share of the mix), ``<prefix>pass`` (from 0) and ``<prefix>place`` (the block's place
     in that pass).  ``tokens`` counts a document's tokens, default words.  Without ``budget`` (tokens of the whole mix)
     the mix is the smallest that takes every document at least once.  A part of a pass ends before the first
     group of equal documents that would exceed the budget.
 
+    Where ``keep`` leaves the text out, texts are read once: the kept columns are written down next to the counts.
+
     A null source is a source of its own; documents without tokens come in every whole pass; equal rows are
     taken together; an empty table gives an empty result; columns named like the new ones are replaced.
     """
     names = {n: prefix + n for n in ("tokens", "weight", "pass", "place")}
     replaced = {n.lower() for n in names.values()}
     docs = docs.select(*(c for c in docs.columns if c.lower() not in replaced))
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in replaced]
     s, n, b, k = (fresh(docs, x) for x in ("mixed_source", "mixed_tokens", "mixed_block", "mixed_key"))
     counted = docs.withColumns({s: F.coalesce(F.col(source).cast("string"), F.lit("")), n: word_count(F.col(text)) if tokens is None else tokens})
     # One null and one empty source stay apart by this flag inside the key.
     counted = counted.withColumn(s, F.concat(F.when(F.col(source).isNull(), "-").otherwise("+"), F.col(s)))
     keyed = counted.withColumn(k, F.xxhash64(F.lit(seed), F.col(identity), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
-    narrow = settled(keyed.select(F.col(s).alias("source"), F.col(n).alias("tokens"), F.col(k).alias("key")), "mix")
+    counts = [s, n, k]
+    if text.lower() in (c.lower() for c in kept):
+        numbers = settled(keyed.select(*counts), "mix")
+    else:
+        numbers = keyed = settled(keyed.select(*kept, *counts), "mix")
+    narrow = numbers.select(F.col(s).alias("source"), F.col(n).alias("tokens"), F.col(k).alias("key"))
     sources = settled(narrow.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "sources")
     total = sources.agg(F.sum("tokens")).first()[0] or 0
     sources = sources.withColumn("all_tokens", F.lit(max(total, 1)))
@@ -119,4 +129,4 @@ def mix(docs: DataFrame, entropy: float | None = None, max_repetition: float | N
     v, w = fresh(docs, "mixed_visits"), fresh(docs, "mixed_visit")
     met = (keyed.join(per_source, s).withColumn(b, F.pmod(F.xxhash64(k), F.col(fresh(docs, "mixed_blocks"))))
            .join(visit, [s, b]).withColumn(w, F.explode(v)).filter(F.col(f"{w}.cut").isNull() | (F.col(k) <= F.col(f"{w}.cut"))))
-    return met.select(*docs.columns, F.col(n).alias(names["tokens"]), *(F.col(f"{w}.{x}").alias(names[x]) for x in ("weight", "pass", "place")))
+    return met.select(*kept, F.col(n).alias(names["tokens"]), *(F.col(f"{w}.{x}").alias(names[x]) for x in ("weight", "pass", "place")))

@@ -100,7 +100,8 @@ SELECT s.page_id, s.host, s.path, f.rule, coalesce(f.action, CASE WHEN h.page_id
 FROM split s LEFT JOIN fits f USING (page_id) LEFT JOIN hits h USING (page_id)
 """)
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = judge_urls(table(spark, sf_dir, "pages"), URL_RULES, LISTED_HOSTS)
+    listed = spark.range(1).select(F.explode(F.array(*map(F.lit, LISTED_HOSTS))).alias("host"))
+    judged = judge_urls(table(spark, sf_dir, "pages"), URL_RULES, listed)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -200,7 +201,7 @@ def revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_mixing")
 def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(table(spark, sf_dir, "documents"), max_repetition=4.0, seed=8, prefix="")
+    mixed = mix(table(spark, sf_dir, "documents"), max_repetition=4.0, seed=8, prefix="", keep=["doc_id", "source"])
     return mixed.select("doc_id", "source", "tokens", "weight", "pass", "place")
 
 

@@ -53,12 +53,21 @@ def _fill(keys: DataFrame, key: str, number: int, bits: int, hashes: int) -> Lev
     return Level(tuple(words), bits, hashes)
 
 
-def build_cascade(universe: DataFrame, key: str, listed: Column) -> list[Level]:
-    """Levels that tell exactly which keys of ``universe`` (a written table of distinct keys) satisfy ``listed``.
+def marked_keys(universe: DataFrame, key: str, listed: DataFrame) -> DataFrame:
+    """``universe`` with a flag ``is_listed``: whether the first column of ``listed`` holds the key.
+
+    This is the only join, made once when levels are built; nulls and repeats in the list do nothing.
+    """
+    keys = listed.select(F.col(listed.columns[0]).alias(key)).filter(F.col(key).isNotNull()).distinct().withColumn("is_listed", F.lit(True))
+    return universe.join(keys, key, "left").withColumn("is_listed", F.coalesce("is_listed", F.lit(False)))
+
+
+def build_cascade(universe: DataFrame, key: str, listed: Column | DataFrame) -> list[Level]:
+    """Levels that tell exactly which keys of ``universe`` (a written table of distinct keys) satisfy ``listed``, or stand in that table.
 
     Raises ValueError if a level would outgrow ``MAX_LEVEL_BITS``.
     """
-    marked = universe.select(key, listed.alias("is_listed"))
+    marked = settled(marked_keys(universe.select(key), key, listed), "marked") if isinstance(listed, DataFrame) else universe.select(key, listed.alias("is_listed"))
     inside, outside = marked.filter("is_listed"), marked.filter("not is_listed")
     levels: list[Level] = []
     own, other = inside, outside
@@ -123,25 +132,29 @@ def rule_keys(host: Column, path: Column, rules: Sequence[str]) -> Column:
     return F.array_sort(keys, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
 
 
-def judge_urls(pages: DataFrame, rules: Mapping[str, str], listed: Sequence[str] = (), url: str = "url",
+def judge_urls(pages: DataFrame, rules: Mapping[str, str], listed: Sequence[str] | DataFrame = (), url: str = "url",
                names: Sequence[str] = ("host", "path", "rule", "verdict")) -> DataFrame:
     """``pages`` with host, path, the longest rule that fits (or null) and the verdict.
 
     ``rules`` maps ``host/path`` to ``allow`` or ``block``.  A rule fits its host and every subdomain if
     the path starts with the rule's.  Without a rule the method decides: block if ``listed`` holds the
-    host or one of its parent domains, else allow.  Null and relative urls have empty host and path
+    host or one of its parent domains, else allow; a long list comes as a table, hosts in its first column.  Null and relative urls have empty host and path
     and are allowed unless a rule says otherwise.  Columns of ``pages`` named like the results are replaced.
     """
     host_name, path_name, rule_name, verdict_name = names
     host, path = host_and_path(F.col(url))
     h, p = fresh(pages, "url_host"), fresh(pages, "url_path")
     split = pages.withColumns({h: host, p: path})
-    labels = max((x.count(".") + 1 for x in listed), default=1)
+    if isinstance(listed, DataFrame):
+        labels = int(listed.agg(F.max(F.size(F.split(listed.columns[0], r"\.")))).first()[0] or 1)
+    else:
+        labels = max((x.count(".") + 1 for x in listed), default=1)
     rule_candidates, host_candidates = rule_keys(F.col(h), F.col(p), list(rules)), _suffixes(F.col(h), labels)
     universe = settled(split.select(h, F.left(p, F.lit(max((len(r) - r.index("/") for r in rules), default=0))).alias(p)).distinct()
                        .select(F.explode(F.concat(rule_candidates, host_candidates)).alias("key")).distinct(), "keys")
-    sets = {"allow": [r for r, v in rules.items() if v == "allow"], "block": [r for r, v in rules.items() if v == "block"], "listed": list(listed)}
+    sets = {"allow": [r for r, v in rules.items() if v == "allow"], "block": [r for r, v in rules.items() if v == "block"]}
     levels = {name: build_cascade(universe, "key", F.col("key").isin(keys) if keys else F.lit(False)) for name, keys in sets.items()}
+    levels["listed"] = build_cascade(universe, "key", listed if isinstance(listed, DataFrame) else F.col("key").isin(*listed) if listed else F.lit(False))
     best = F.get(F.filter(rule_candidates, lambda k: member(k, levels["allow"]) | member(k, levels["block"])), F.lit(0))
     r = fresh(pages, "url_rule")
     verdict = (F.when(F.col(r).isNotNull(), F.when(member(F.col(r), levels["allow"]), "allow").otherwise("block"))

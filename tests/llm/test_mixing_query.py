@@ -7,6 +7,7 @@ from pathlib import Path
 
 import pytest
 
+from noticework.llm.mixing import mix
 from noticework.llm.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -43,3 +44,13 @@ def test_mixing_query(spark):
         room = budget - complete * tokens[s]
         # The part of a pass ends before the first document that does not fit.
         assert rest <= room + 1 and (rest > room - max(words.values()) or complete not in passes)
+
+
+def test_kept_columns_are_those_of_the_whole_mix(spark):
+    rows = [(i, ["a", "b", None][i % 7 % 3], " ".join(["word"] * (i % 13)), i) for i in range(400)] + [(9, "a", None, 9), (9, "a", None, 9), (None, "", "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, mix_pass long")
+    whole = mix(docs, max_repetition=2.0).select("doc_id", "mix_tokens", "mix_weight", "mix_pass", "mix_place")
+    narrow = mix(docs, max_repetition=2.0, keep=["doc_id"])
+    assert narrow.columns == whole.columns
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, narrow.collect()))
+    assert mix(docs.limit(0), max_repetition=2.0, keep=["doc_id", "source"]).count() == 0

@@ -326,3 +326,17 @@ def test_top_k_of_equal_rows_and_lengths(spark, monkeypatch):
     df = spark.createDataFrame([(7, [3.0, 4.0])] * 200 + [(40, [5.0, 0.0]), (41, [0.0, 0.0]), (80, [])], "vec_id long, vector array<double>")
     rows = [tuple(r) for r in top_k(df.filter("vec_id % 40 = 0"), df, 5).orderBy("query_id", "rank").collect()]
     assert rows == [(40, r, 7, 15) for r in range(1, 6)] + [(80, r, 7, 0) for r in range(1, 6)]
+
+
+def test_list_of_hosts_as_a_table(spark):
+    # 100 000 listed hosts, of which the corpus holds some; every third page lies on a subdomain.
+    listed = spark.range(100_000).select(F.concat(F.lit("h"), F.col("id") * 7, F.lit(".example.net")).alias("name")).unionByName(
+        spark.createDataFrame([(None,), ("h7.example.net",), ("h7.example.net",)], "name string"))
+    number = F.pmod(F.xxhash64("id"), F.lit(900_000))
+    pages = spark.range(60_000).select("id", number.alias("number"), F.concat(
+        F.lit("http://"), F.when(F.col("id") % 3 == 0, "www.").otherwise(""), F.lit("h"), number, F.lit(".example.net/a")).alias("url"))
+    judged = judge_urls(pages, {"org/": "block"}, listed)
+    wrong = judged.filter((F.col("verdict") == "block") != ((F.col("number") % 7 == 0) & (F.col("number") < 700_000)))
+    assert wrong.count() == 0 and judged.count() == 60_000 and judged.filter("verdict = 'block'").count() > 5000
+    assert judge_urls(pages.limit(5), {}, listed.limit(0)).filter("verdict = 'block'").count() == 0
+    assert "Join" not in judged._jdf.queryExecution().executedPlan().toString()
