@@ -61,12 +61,16 @@ class Reading:
     """How far some queries have read the lists of a block, and the scores of what they have read (a row per candidate)."""
 
     def __init__(self, lists: SortedLists, up: np.ndarray, down: np.ndarray):
-        self.lists, self.up, self.down, self.depth = lists, up.T, down.T, 0
-        self.seen = np.zeros((len(lists.ids), len(up)))
+        # Whole numbers add up exactly in half the width while no sum can leave the 24 bits of its mantissa.
+        largest = np.abs(lists.vectors).max(initial=0) * (up - down).sum(axis=1).max(initial=0)
+        kind = np.float32 if largest < 1 << 24 else np.float64
+        self.ranks, self.order, self.values = lists.ranks, lists.order, lists.sorted.astype(kind)
+        self.up, self.down, self.depth = np.ascontiguousarray(up.T, kind), np.ascontiguousarray(down.T, kind), 0
+        self.seen = np.zeros((len(lists.ids), len(up)), kind)
 
     def read_to(self, depth: int) -> None:
         """The next slice of each list, up to ``depth`` entries; nothing else of the vectors is used."""
-        n, order, values = len(self.lists.ids), self.lists.order, self.lists.sorted
+        n, order, values = len(self.seen), self.order, self.values
         for j in range(order.shape[1]):
             for weights, part in ((self.up[j], slice(self.depth, depth)), (self.down[j], slice(n - depth, n - self.depth))):
                 if weights.any():
@@ -79,11 +83,11 @@ class Reading:
 
     def most(self) -> np.ndarray:
         """The highest score that any candidate of the block could have, from the heads of the lists."""
-        return self.lists.sorted[0] @ self.up + self.lists.sorted[-1] @ self.down
+        return self.values[0] @ self.up + self.values[-1] @ self.down
 
     def bounds(self) -> tuple[np.ndarray, np.ndarray]:
         """Lower and upper bounds: an unread entry lies between the far end of its list and the place where reading stopped."""
-        values, ranks, depth = self.lists.sorted, self.lists.ranks, self.depth
+        values, ranks, depth = self.values, self.ranks, self.depth
         above, below = ranks >= depth, ranks < len(ranks) - depth
         upper = self.seen + np.where(above, values[depth - 1], 0) @ self.up + np.where(below, values[-depth], 0) @ self.down
         lower = self.seen + np.where(above, values[-1], 0) @ self.up + np.where(below, values[0], 0) @ self.down
@@ -196,8 +200,9 @@ def _searches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[dict,
 def _floors(asked: DataFrame, lists: DataFrame, k: int) -> DataFrame:
     """Query blocks with each query's k-th best score in the block of the longest vectors, and the vector length that the block's queries ask for at least."""
     first = lists.select("block", "longest").orderBy(F.col("longest").desc(), "block").first()
-    unknown = asked.select(F.lit(first["block"] if first else -1).cast("bigint").alias("block"), F.col("block").alias("asked"), F.col("ids").alias("query_ids"),
-                           F.col("vectors").alias("queries"), F.col("width").alias("query_width"), F.lit(b"").alias("floors"))
+    # One block, BLOCK_ROWS rows at most, goes to every task.
+    longest = F.broadcast(lists.filter(F.col("block") == (first["block"] if first else -1)).withColumn("met", F.lit(0)))
+    unknown = asked.select(F.lit(0).alias("met"), F.col("block").alias("asked"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"), F.col("width").alias("query_width"), F.lit(b"").alias("floors"))
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, _, _, queries, (at, _, scores, _) in _searches(batches, k):
@@ -208,7 +213,7 @@ def _floors(asked: DataFrame, lists: DataFrame, k: int) -> DataFrame:
             reach = np.where(lengths > 0, floors / np.maximum(lengths, 1.0), -np.inf).min(initial=np.inf)
             yield pa.RecordBatch.from_pylist([{**{c: row[c] for c in ("asked", "query_ids", "queries", "query_width")}, "floors": floors.tobytes(), "reach": float(reach)}], schema=_ARROW_ASKED)
 
-    return settled(lists.join(unknown, "block").mapInArrow(seek, _ASKED), "floors")
+    return settled(unknown.join(longest, "met").mapInArrow(seek, _ASKED), "floors")
 
 
 def _met(queries: DataFrame, candidates: DataFrame, k: int, identity: str, vector: str) -> tuple[DataFrame, DataFrame]:
