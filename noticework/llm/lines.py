@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, LongType, StringType, StructField, StructType
 
-from noticework.llm.common import as_bytes, fresh, with_arrow
+from noticework.llm.common import as_bytes, fresh, in_small_batches, with_arrow
 from noticework.session import scratch_path, settled
 
 MIN_CHARS = 10
@@ -235,7 +235,7 @@ def _references(docs: DataFrame, document: Column, text: str, shards: int, filte
                 [pa.array(shard[chosen]), pa.array([keys[i] for i in chosen], pa.binary()), batch.column(0).take(pa.array(np.array(rows, np.int64)[chosen]))],
                 names=["shard", "key", "doc"])
 
-    return docs.select(document.alias("doc"), text).mapInArrow(run, _REFERENCE)
+    return in_small_batches(docs.select(document.alias("doc"), text)).mapInArrow(run, _REFERENCE)
 
 
 # ---------------------------------------------------------------- the store

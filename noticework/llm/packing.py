@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from noticework.llm.common import in_small_batches
 from noticework.session import settled
 
 CAPACITY = 1024
@@ -95,7 +96,7 @@ def pieces(docs: DataFrame, identity: str = "doc_id", text: str = "text", capaci
                 [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(table[:, 0].astype(np.int32)), *(pa.array(table[:, j]) for j in (1, 2, 3))],
                 names=schema.fieldNames())
 
-    return docs.select(identity, text).mapInArrow(run, schema)
+    return in_small_batches(docs.select(identity, text)).mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- the plan

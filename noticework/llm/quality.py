@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, FloatType, LongType, StringType, StructField, StructType
 
-from noticework.llm.common import as_bytes, fresh, with_arrow
+from noticework.llm.common import as_bytes, fresh, in_small_batches, with_arrow
 from noticework.session import settled
 
 ORDER = 5
@@ -137,7 +137,7 @@ def count_ngrams(docs: DataFrame, order: int = ORDER, text: str = "text", lang:
             if parts:
                 yield batch_of(language, parts)
 
-    return docs.select(text, lang).mapInArrow(run, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return in_small_batches(docs.select(text, lang)).mapInArrow(run, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 # ---------------------------------------------------------------- modified Kneser-Ney
