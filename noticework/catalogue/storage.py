@@ -14,6 +14,8 @@ from noticework.streaming.jobs import ingest_pages
 
 # Folders that Spark names after a month, as the months of the files below them.
 MONTH_FOLDER = r"of_month=(\d{4}-\d{2})/"
+# Pages of a gzipped file, about.
+PAGES_PER_FILE = 20_000
 
 
 @query("csv_two_layouts", """
@@ -66,8 +68,10 @@ def parquet_union_by_name(spark, sf_dir):
 
 
 def _write_pages(pages, path):
-    """Gzipped page files, one folder per month."""
-    pages.select("page", F.col("month").alias("of_month")).repartition("of_month").write.mode("append").partitionBy("of_month").option("compression", "gzip").text(path)
+    """Gzipped page files, one folder per month; a month has more files the more pages it has, because one task reads a file."""
+    most = pages.groupBy("month").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    part = F.pmod(F.xxhash64("page"), F.lit(-(-most // PAGES_PER_FILE) or 1))
+    pages.select("page", F.col("month").alias("of_month")).repartition("of_month", part).write.mode("append").option("maxRecordsPerFile", 2 * PAGES_PER_FILE).partitionBy("of_month").option("compression", "gzip").text(path)
 
 
 _PAGES_SQL = """

@@ -1,0 +1,14 @@
+"""Gzipped files of pages are of bounded length, so that a large month is no single task."""
+
+from pyspark.sql import functions as F
+
+from noticework.catalogue import storage
+
+
+def test_a_month_with_many_pages_has_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "PAGES_PER_FILE", 100, raising=False)
+    pages = spark.range(1000).select(F.col("id").cast("string").alias("page"), F.when(F.col("id") < 990, "1997-01").otherwise("1997-02").alias("month"))
+    storage._write_pages(pages, str(tmp_path / "pages"))
+    counted = spark.read.text(str(tmp_path / "pages")).groupBy("of_month", F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in counted) == 1000
+    assert max(r["count"] for r in counted) <= 200
