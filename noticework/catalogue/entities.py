@@ -112,28 +112,33 @@ def monthly_procedures(spark, sf_dir):
     return monthly.withColumn("ratio", F.col("notices").cast("double") / F.col("procedures"))
 
 
-def _page(priority, status):
-    """A page per order: the call, then the award, with the field shapes of real pages."""
+def _notice(priority, status):
+    """What the call and the award of an order have in common, with the field shapes of real pages."""
     day = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("+02:00"))
     text = F.col("o_orderkey").cast("string")
     price = F.col("o_totalprice").cast("string")
     none = F.lit(None).cast("string")
-    def notice(form, number):
-        return F.struct(
-            number.alias("publication-number"), day.alias("publication-date"), F.lit(form).alias("form-type"),
-            F.array(F.concat(F.lit("P"), text)).alias("procedure-identifier"), F.array(F.lit("FRA"), F.lit("DEU")).alias("buyer-country"),
-            F.struct(F.array(F.concat(F.lit("Bâtiment "), text), F.lit("x")).alias("fra"), F.array(F.lit("Bau")).alias("deu")).alias("title-proc"),
-            F.when(status == "F", F.array(F.lit("none"), none)).when(status == "O", F.array(F.lit("none"), F.lit("fa-wo-rc"))).alias("framework-agreement-lot"),
-            F.array(price, F.lit("n/a"), F.lit("10")).alias("estimated-value-lot"), F.col("o_totalprice").alias("total-value"),
-            priority.alias("procedure-type"), F.array(F.concat(F.lit("FR"), F.lpad(text, 6, "0"))).alias("place-of-performance"))
-    page = F.struct(F.array(notice("competition", F.concat(text, F.lit("-C"))), notice("result", F.concat(text, F.lit("-R")))).alias("notices"))
-    return F.to_json(page)
+    return F.to_json(F.struct(
+        day.alias("publication-date"),
+        F.array(F.concat(F.lit("P"), text)).alias("procedure-identifier"), F.array(F.lit("FRA"), F.lit("DEU")).alias("buyer-country"),
+        F.struct(F.array(F.concat(F.lit("Bâtiment "), text), F.lit("x")).alias("fra"), F.array(F.lit("Bau")).alias("deu")).alias("title-proc"),
+        F.when(status == "F", F.array(F.lit("none"), none)).when(status == "O", F.array(F.lit("none"), F.lit("fa-wo-rc"))).alias("framework-agreement-lot"),
+        F.array(price, F.lit("n/a"), F.lit("10")).alias("estimated-value-lot"), F.col("o_totalprice").alias("total-value"),
+        priority.alias("procedure-type"), F.array(F.concat(F.lit("FR"), F.lpad(text, 6, "0"))).alias("place-of-performance")))
 
 
 def order_pages(spark, sf_dir):
-    """Every order as a page with its month."""
-    return dealt_out(table(spark, sf_dir, "orders")).select(
-        _page(F.col("o_orderpriority"), F.col("o_orderstatus")).alias("page"), F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    """Every order as a page with its month: the call, then the award.
+
+    The two notices differ in number and form only, so the rest is written once.
+    """
+    orders = dealt_out(table(spark, sf_dir, "orders")).select(
+        F.col("o_orderkey").cast("string").alias("number"), _notice(F.col("o_orderpriority"), F.col("o_orderstatus")).alias("rest"),
+        F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    number, rest = F.coalesce("number", F.lit("")), F.substring("rest", 2, 2**31 - 1)
+    call = F.concat(F.lit('{"publication-number":"'), number, F.lit('-C","form-type":"competition",'), rest)
+    award = F.concat(F.lit('{"publication-number":"'), number, F.lit('-R","form-type":"result",'), rest)
+    return orders.select(F.concat(F.lit('{"notices":['), call, F.lit(","), award, F.lit("]}")).alias("page"), "month")
 
 
 @query("flatten_json", """

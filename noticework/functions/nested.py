@@ -50,23 +50,19 @@ def in_first_language(texts: Column) -> Column:
     return F.try_element_at(F.map_values(texts), F.lit(1))
 
 
-def any_of(values: Column, test) -> Column:
-    """Whether any element passes: unknown elements are ignored, an empty list is unknown."""
-    return F.array_max(F.transform(values, test))
-
-
 def any_equal(values: Column, wanted: str) -> Column:
-    return any_of(values, lambda x: x == wanted)
+    """Whether any element is the wanted one: unknown elements are ignored, without a known one the answer is unknown."""
+    return F.when(F.array_max(values).isNotNull(), F.coalesce(F.array_contains(values, wanted), F.lit(False)))
 
 
 def any_other_than(values: Column, excluded: str) -> Column:
-    return any_of(values, lambda x: x != excluded)
+    """Whether any element differs, unknown ones ignored: the smallest or the largest does."""
+    return (F.array_min(values) != excluded) | (F.array_max(values) != excluded)
 
 
 def total(values: Column) -> Column:
     """Sum of the numbers in a list of text; NULL when none of them is a number."""
-    numbers = F.filter(F.transform(values, lambda x: x.try_cast("double")), lambda x: x.isNotNull())
-    return F.aggregate(numbers, F.lit(None).cast("double"), lambda acc, x: F.coalesce(acc, F.lit(0.0)) + x)
+    return F.aggregate(values, F.lit(None).cast("double"), lambda acc, x: F.coalesce(F.coalesce(acc, F.lit(0.0)) + x.try_cast("double"), acc))
 
 
 def distinct_known(values: Column) -> Column:
