@@ -135,9 +135,11 @@ def order_pages(spark, sf_dir):
     orders = dealt_out(table(spark, sf_dir, "orders")).select(
         F.col("o_orderkey").cast("string").alias("number"), _notice(F.col("o_orderpriority"), F.col("o_orderstatus")).alias("rest"),
         F.date_format("o_orderdate", "yyyy-MM").alias("month"))
-    number, rest = F.coalesce("number", F.lit("")), F.substring("rest", 2, 2**31 - 1)
-    call = F.concat(F.lit('{"publication-number":"'), number, F.lit('-C","form-type":"competition",'), rest)
-    award = F.concat(F.lit('{"publication-number":"'), number, F.lit('-R","form-type":"result",'), rest)
+    rest = F.substring("rest", 2, 2**31 - 1)
+    def notice(form, mark):
+        number = F.coalesce(F.concat(F.lit('"publication-number":"'), "number", F.lit(f'{mark}",')), F.lit(""))
+        return F.concat(F.lit("{"), number, F.lit(f'"form-type":"{form}",'), rest)
+    call, award = notice("competition", "-C"), notice("result", "-R")
     return orders.select(F.concat(F.lit('{"notices":['), call, F.lit(","), award, F.lit("]}")).alias("page"), "month")
 
 

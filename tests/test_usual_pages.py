@@ -57,3 +57,10 @@ def test_rows_of_one_row_group_are_dealt_evenly(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert sum(counts) == 200_000 and max(counts) <= 200_000 // cores
+
+
+def test_an_order_without_a_key_has_no_number(spark, tmp_path):
+    orders = spark.read.parquet(f"{SF_DIR}/orders.parquet").limit(1)
+    orders.select(*[F.lit(None).cast(t).alias(c) for c, t in orders.dtypes]).write.parquet(str(tmp_path / "orders.parquet"))
+    rows = flatten_pages(order_pages(spark, str(tmp_path))).collect()
+    assert [(r["pub_number"], r["form_type"], r["country"], r["total_value"], r["month"]) for r in rows] == [(None, "competition", "FR", None, None), (None, "result", "FR", None, None)]
