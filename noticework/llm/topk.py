@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from noticework.operators.ordering import best_rows
-from noticework.session import settled, spread_by
+from noticework.session import settled
 
 BLOCK_ROWS = 2048
 QUERY_ROWS = 512
@@ -27,71 +27,60 @@ QUERY_ROWS = 512
 DEPTHS = tuple(i / 8 for i in range(1, 9))
 # A query leaves a block with at most this many times k candidates left to resolve.
 RESOLVE = 16
+# Whole numbers below this add up exactly in half the width.
+EXACT = 1 << 24
 # Relative allowance for the rounding of vector lengths.
 _SLACK = 1e-9
 
-_BLOCK = StructType([StructField("part", IntegerType()), StructField("block", LongType()), StructField("n", IntegerType()), StructField("longest", DoubleType()),
+_BLOCK = StructType([StructField("part", IntegerType()), StructField("number", IntegerType()), StructField("block", LongType()), StructField("n", IntegerType()), StructField("longest", DoubleType()),
                      StructField("ids", BinaryType()), StructField("vectors", BinaryType()), StructField("width", IntegerType())])
-_ASKED = StructType([StructField("asked", LongType()), StructField("query_ids", BinaryType()), StructField("queries", BinaryType()), StructField("query_width", IntegerType()),
+_ASKED = StructType([StructField("query_ids", BinaryType()), StructField("queries", BinaryType()), StructField("query_width", IntegerType()),
                      StructField("floors", BinaryType()), StructField("reach", DoubleType())])
 
+# What the search reads of blocks that met.
+_SEARCHED = ("block", "ids", "vectors", "width", "query_ids", "queries", "query_width", "floors")
+
 
 class SortedLists:
-    """A block's vectors, one list per coordinate in falling order, and the rank of every entry in its list."""
+    """A block's vectors as lists that are read from their first entry on, two per coordinate: for positive weights the values in falling
+    order, for negative weights the negated values in falling order.  ``entries`` has a row per list and a column per candidate, ``ranks``
+    the place of every entry in its list."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
-        self.order = np.argsort(-vectors, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(vectors, self.order, axis=0)
-        self.ranks = np.empty_like(self.order)
-        np.put_along_axis(self.ranks, self.order, np.arange(len(ids))[:, None].repeat(vectors.shape[1], 1), axis=0)
-
-    def bounds(self, up: np.ndarray, down: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds of all scores after ``depth`` entries of each list.
-
-        ``up`` holds the positive weights, which read from the largest value down, ``down`` the negative ones.
-        """
-        reading = Reading(self, up, down)
-        reading.read_to(depth)
-        lower, upper = reading.bounds()
-        return lower.T, upper.T
-
-
-class Reading:
-    """How far some queries have read the lists of a block, and the scores of what they have read (a row per candidate)."""
-
-    def __init__(self, lists: SortedLists, up: np.ndarray, down: np.ndarray):
-        # Whole numbers add up exactly in half the width while no sum can leave the 24 bits of its mantissa.
-        largest = np.abs(lists.vectors).max(initial=0) * (up - down).sum(axis=1).max(initial=0)
-        kind = np.float32 if largest < 1 << 24 else np.float64
-        self.ranks, self.order, self.values = lists.ranks, lists.order, lists.sorted.astype(kind)
-        self.up, self.down, self.depth = np.ascontiguousarray(up.T, kind), np.ascontiguousarray(down.T, kind), 0
-        self.seen = np.zeros((len(lists.ids), len(up)), kind)
-
-    def read_to(self, depth: int) -> None:
-        """The next slice of each list, up to ``depth`` entries; nothing else of the vectors is used."""
-        n, order, values = len(self.seen), self.order, self.values
-        for j in range(order.shape[1]):
-            for weights, part in ((self.up[j], slice(self.depth, depth)), (self.down[j], slice(n - depth, n - self.depth))):
-                if weights.any():
-                    self.seen[order[part, j]] += values[part, j][:, None] * weights
-        self.depth = depth
-
-    def keep(self, queries: np.ndarray) -> None:
-        # Candidates' rows stay contiguous.
-        self.up, self.down, self.seen = (np.compress(queries, x, axis=1) for x in (self.up, self.down, self.seen))
-
-    def most(self) -> np.ndarray:
+        self.ids, self.vectors, self.largest = ids, vectors, np.abs(vectors).max(initial=0)
+        values = vectors.T.astype(np.float32 if self.largest < EXACT else np.float64)
+        order = np.argsort(-values, axis=1, kind="stable")
+        ranks = np.empty_like(order)
+        np.put_along_axis(ranks, order, np.arange(len(ids))[None, :], axis=1)
+        falling = np.take_along_axis(values, order, axis=1)
+        self.entries, self.ranks = np.vstack([values, -values]), np.vstack([ranks, len(ids) - 1 - ranks])
+        self.sorted = np.vstack([falling, -falling[:, ::-1]])
+        self._read: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def weights(self, queries: np.ndarray) -> np.ndarray:
+        """What the lists weigh in each query (a row per query), in half the width if whole numbers add up exactly there."""
+        both = np.hstack([np.maximum(queries, 0), np.maximum(-queries, 0)])
+        return both.astype(np.float32 if self.largest * both.sum(axis=1).max(initial=0) < EXACT else np.float64)
+
+    def most(self, weights: np.ndarray) -> np.ndarray:
         """The highest score that any candidate of the block could have, from the heads of the lists."""
-        return self.values[0] @ self.up + self.values[-1] @ self.down
+        return weights @ self.sorted[:, 0]
 
-    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds: an unread entry lies between the far end of its list and the place where reading stopped."""
-        values, ranks, depth = self.values, self.ranks, self.depth
-        above, below = ranks >= depth, ranks < len(ranks) - depth
-        upper = self.seen + np.where(above, values[depth - 1], 0) @ self.up + np.where(below, values[-depth], 0) @ self.down
-        lower = self.seen + np.where(above, values[-1], 0) @ self.up + np.where(below, values[0], 0) @ self.down
-        return lower, upper
+    def read_to(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first ``depth`` entries of each list, and in place of all others the list's end, or the value where reading stopped.  Made once for all queries."""
+        if depth not in self._read:
+            read = self.ranks < depth
+            self._read[depth] = np.where(read, self.entries, self.sorted[:, -1:]), np.where(read, self.entries, self.sorted[:, depth - 1:depth])
+        return self._read[depth]
+
+    def between(self, weights: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of all scores (a row per query) after ``depth`` entries of each list."""
+        lowest, highest = self.read_to(depth)
+        return weights @ lowest, weights @ highest
+
+    def bounds(self, up: np.ndarray, down: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same for the positive weights ``up`` and the negative ones ``down``."""
+        return self.between(self.weights(up + down), depth)
 
 
 def block_top_k(lists: SortedLists, query_ids: np.ndarray, queries: np.ndarray, k: int,
@@ -101,31 +90,29 @@ def block_top_k(lists: SortedLists, query_ids: np.ndarray, queries: np.ndarray,
     Candidates that score below a query's floor may be missing.
     """
     n = len(lists.ids)
+    rank = min(k, n)
     floors = np.full(len(queries), -np.inf) if floors is None else floors
-    reading = Reading(lists, np.maximum(queries, 0), np.minimum(queries, 0))
-    able = reading.most() >= floors
-    waiting = np.flatnonzero(able)
-    reading.keep(able)
-    weights, read = (queries != 0).sum(axis=1), np.zeros(len(queries), np.int64)
+    weights = lists.weights(queries)
+    waiting = np.flatnonzero(lists.most(weights) >= floors)
+    weights, floors, own = weights[waiting], floors[waiting].astype(weights.dtype), query_ids[waiting, None] == lists.ids
+    used, read = (queries != 0).sum(axis=1), np.zeros(len(queries), np.int64)
     rows, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for share in DEPTHS:
         if not len(waiting):
             break
         depth = max(1, int(np.ceil(n * share)))
-        reading.read_to(depth)
-        read[waiting] = depth * weights[waiting]
-        lower, upper = reading.bounds()
-        own = lists.ids[:, None] == query_ids[waiting][None, :]
+        read[waiting] = depth * used[waiting]
+        lower, upper = lists.between(weights, depth)
         lower[own] = upper[own] = -np.inf
-        rank = min(k, n)
-        threshold = np.maximum(floors[waiting], np.partition(np.ascontiguousarray(lower.T), n - rank, axis=1)[:, n - rank])
-        open_to = (upper >= threshold[None, :]) & ~own
-        done = (open_to.sum(axis=0) <= RESOLVE * k) | (depth >= n)
-        candidate, at = np.nonzero(open_to[:, done])
+        # The k-th best lower bound raises the floor where so many lie above it.
+        raised = np.count_nonzero(lower > floors[:, None], axis=1) >= rank
+        floors[raised] = np.partition(lower[raised], n - rank, axis=1)[:, n - rank]
+        open_to = (upper >= floors[:, None]) & ~own
+        done = (np.count_nonzero(open_to, axis=1) <= RESOLVE * k) | (depth >= n)
+        at, candidate = np.nonzero(open_to[done])
         rows.append(waiting[done][at])
         found.append(candidate)
-        waiting = waiting[~done]
-        reading.keep(~done)
+        waiting, weights, floors, own = waiting[~done], weights[~done], floors[~done], own[~done]
     row, candidate = np.concatenate(rows), np.concatenate(found)
     scores = np.einsum("ij,ij->i", queries[row].astype(np.int64), lists.vectors[candidate].astype(np.int64)) if len(row) else np.empty(0, np.int64)
     order = np.lexsort((lists.ids[candidate], -scores, row))
@@ -144,22 +131,26 @@ def _block(rows: pa.Table, part: int, number: int) -> pa.RecordBatch:
     matrix = np.zeros((len(ids), max(int(lengths.max(initial=0)), 1)))
     matrix[np.repeat(np.arange(len(ids)), lengths), np.concatenate([np.arange(x) for x in lengths])] = lists.flatten().to_numpy(zero_copy_only=False)
     longest = float(np.sqrt((matrix * matrix).sum(axis=1).max(initial=0)))
-    return pa.RecordBatch.from_pylist([{"part": part, "block": (part << 32) + number, "n": len(ids), "longest": longest, "ids": ids.tobytes(), "vectors": matrix.tobytes(),
+    return pa.RecordBatch.from_pylist([{"part": part, "number": number, "block": (part << 32) + number, "n": len(ids), "longest": longest, "ids": ids.tobytes(), "vectors": matrix.tobytes(),
                                         "width": matrix.shape[1]}], schema=_ARROW_BLOCK)
 
 
-_ARROW_BLOCK = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("longest", pa.float64()), ("ids", pa.binary()), ("vectors", pa.binary()), ("width", pa.int32())])
+_ARROW_BLOCK = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("longest", pa.float64()), ("ids", pa.binary()), ("vectors", pa.binary()), ("width", pa.int32())])
 
 
-def _blocks(vectors: DataFrame, rows: int) -> DataFrame:
-    """Rows (id, vector) as blocks of ``rows`` rows: parts of falling vector length, each cut in that order by its task.
+def _placed(vectors: DataFrame) -> DataFrame:
+    """Equal rows are told apart by their place in the scan, so none of them fill a partition of their own."""
+    return vectors.withColumn("place", F.xxhash64("id", F.monotonically_increasing_id()))
+
+
+def _falling(vectors: DataFrame) -> DataFrame:
+    """Rows (id, vector) in parts of falling vector length, each in that order."""
+    keyed = _placed(vectors).withColumn("falling", -F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x))
+    return keyed.repartitionByRange("falling", "id", "place").sortWithinPartitions("falling", "id", "place")
 
-    Equal rows are told apart by their place in the scan, so none of them fill a part of their own.
-    """
-    keyed = vectors.withColumns({"falling": -F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x),
-                                 "place": F.xxhash64("id", F.monotonically_increasing_id())})
-    ordered = keyed.repartitionByRange("falling", "id", "place").sortWithinPartitions("falling", "id", "place").select("id", "vector")
 
+def _blocks(vectors: DataFrame, rows: int) -> DataFrame:
+    """Rows (id, vector) as blocks of ``rows`` rows, cut by the task that holds them, in their order there."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, held = TaskContext.get().partitionId(), 0, None
         for batch in batches:
@@ -171,7 +162,7 @@ def _blocks(vectors: DataFrame, rows: int) -> DataFrame:
         if held is not None and held.num_rows:
             yield _block(held, part, number)
 
-    return settled(ordered.mapInArrow(cut, _BLOCK), "blocks")
+    return vectors.select("id", "vector").mapInArrow(cut, _BLOCK)
 
 
 def _matrix(data: bytes, rows: int, width: int) -> np.ndarray:
@@ -179,7 +170,7 @@ def _matrix(data: bytes, rows: int, width: int) -> np.ndarray:
     return np.pad(held, ((0, 0), (0, width - held.shape[1])))
 
 
-_ARROW_ASKED = pa.schema([("asked", pa.int64()), ("query_ids", pa.binary()), ("queries", pa.binary()), ("query_width", pa.int32()), ("floors", pa.binary()), ("reach", pa.float64())])
+_ARROW_ASKED = pa.schema([("query_ids", pa.binary()), ("queries", pa.binary()), ("query_width", pa.int32()), ("floors", pa.binary()), ("reach", pa.float64())])
 _Met = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
@@ -197,12 +188,11 @@ def _searches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[dict,
             yield row, last[2], asking, queries, block_top_k(last[2], asking, queries, k, floors)
 
 
-def _floors(asked: DataFrame, lists: DataFrame, k: int) -> DataFrame:
-    """Query blocks with each query's k-th best score in the block of the longest vectors, and the vector length that the block's queries ask for at least."""
-    first = lists.select("block", "longest").orderBy(F.col("longest").desc(), "block").first()
+def _floors(asked: DataFrame, longest: DataFrame, k: int) -> DataFrame:
+    """Query blocks with each query's k-th best score in ``longest``, the block of the longest vectors, and the vector length that the block's queries ask for at least."""
     # One block, BLOCK_ROWS rows at most, goes to every task.
-    longest = F.broadcast(lists.filter(F.col("block") == (first["block"] if first else -1)).withColumn("met", F.lit(0)))
-    unknown = asked.select(F.lit(0).alias("met"), F.col("block").alias("asked"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"), F.col("width").alias("query_width"), F.lit(b"").alias("floors"))
+    found = F.broadcast(longest.select(F.lit(0).alias("met"), "block", "ids", "vectors", "width"))
+    unknown = asked.select(F.lit(0).alias("met"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"), F.col("width").alias("query_width"), F.lit(b"").alias("floors"))
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, _, _, queries, (at, _, scores, _) in _searches(batches, k):
@@ -211,23 +201,33 @@ def _floors(asked: DataFrame, lists: DataFrame, k: int) -> DataFrame:
             floors[at[last]] = scores[last]
             lengths = np.sqrt((queries * queries).sum(axis=1))
             reach = np.where(lengths > 0, floors / np.maximum(lengths, 1.0), -np.inf).min(initial=np.inf)
-            yield pa.RecordBatch.from_pylist([{**{c: row[c] for c in ("asked", "query_ids", "queries", "query_width")}, "floors": floors.tobytes(), "reach": float(reach)}], schema=_ARROW_ASKED)
+            yield pa.RecordBatch.from_pylist([{**{c: row[c] for c in ("query_ids", "queries", "query_width")}, "floors": floors.tobytes(), "reach": float(reach)}], schema=_ARROW_ASKED)
 
-    return settled(unknown.join(longest, "met").mapInArrow(seek, _ASKED), "floors")
+    return settled(unknown.join(found, "met").mapInArrow(seek, _ASKED), "floors")
 
 
 def _met(queries: DataFrame, candidates: DataFrame, k: int, identity: str, vector: str) -> tuple[DataFrame, DataFrame]:
-    """Blocks next to the query blocks that may find something there, and the blocks."""
+    """Blocks next to the query blocks that may find something there, and the blocks.
+
+    Blocks are dealt to tasks in turn, from the longest vectors to the shortest: each task gets as many as the others, of all lengths.
+    """
     def usable(df: DataFrame) -> DataFrame:
         return df.select(F.col(identity).cast("bigint").alias("id"), F.col(vector).alias("vector")).filter(F.col("id").isNotNull() & F.col("vector").isNotNull())
 
-    lists = _blocks(usable(candidates), BLOCK_ROWS)
-    asked = _floors(_blocks(usable(queries), QUERY_ROWS), lists, k)
-    parts = lists.groupBy("part").agg(F.max("longest").alias("longest"))
-    last = parts.agg(F.max("part")).first()[0]
-    turns = asked.select("asked", "reach", F.explode(F.sequence(F.lit(0), F.lit(last or 0))).alias("part"))
-    within = turns.join(parts, "part").filter(F.col("longest") * (1 + _SLACK) >= F.col("reach")).select("asked", "part")
-    return spread_by(lists, "part").join(spread_by(within.join(asked, "asked"), "part").hint("shuffle_merge"), "part"), lists
+    lists = settled(_blocks(_falling(usable(candidates)), BLOCK_ROWS), "blocks")
+    cores = lists.sparkSession.sparkContext.defaultParallelism
+    blocks, first = lists.agg(F.count(F.lit(1)), F.coalesce(F.min("block"), F.lit(-1))).first()
+    tasks = max(1, min(blocks, 3 * cores))
+    # Query blocks come from few partitions, as they have few bytes, and cost a search each.
+    asked = _floors(_blocks(_placed(usable(queries)).repartition("place"), QUERY_ROWS).repartition(cores), lists.filter(F.col("block") == first), k)
+    # A row per part.
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = lists.groupBy("part").agg(F.count(F.lit(1)).alias("blocks")).select("part", F.coalesce(F.sum("blocks").over(earlier), F.lit(0)).alias("before"))
+    dealt = lists.join(F.broadcast(parts), "part").withColumn("task", ((F.col("before") + F.col("number")) % tasks).cast("int"))
+    repeated = asked.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    within = F.col("longest") * (1 + _SLACK) >= F.col("reach")
+    met = dealt.repartitionById(tasks, "task").join(repeated.repartitionById(tasks, "task").hint("shuffle_merge"), "task").filter(within)
+    return met.select(*_SEARCHED), lists
 
 
 def floored(vector: Column, factor: float = 256.0) -> Column:
@@ -249,7 +249,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, identity: str = "ve
 
     Ties go to the smaller identity.  Rows with a null identity or vector take no part; shorter vectors end
     in zeros; a query never meets rows of its own identity; repeated rows count one by one.  Blocks and query blocks meet by
-    a join on the block's part; queries are repeated per part, since they are the smaller side.
+    a join on the task that searches the block; queries are repeated per task, since they are the smaller side.
     """
     schema = StructType([StructField("query_id", LongType()), StructField(identity, LongType()), StructField("score", LongType())])
     met, _ = _met(queries, candidates, k, identity, vector)
