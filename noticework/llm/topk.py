@@ -2,9 +2,9 @@
 
 Candidates lie in blocks of like length, longest vectors first.  A block has one list per coordinate, sorted by value; a query reads
 each list from the end that favours it, a slice a round.  What is read and the values where reading stopped bound each candidate's
-score from below and above.  The first block gives every query a floor, its k-th best score there, which all other blocks share:
-blocks whose longest vector cannot reach it are not met, others are left as soon as few candidates can still reach it; those are
-then resolved exactly.  The blocks' best rows are merged by Spark.
+score from below and above.  The first block gives every query a floor, its k-th best score there, which all other blocks share and
+each task raises as it goes on: blocks whose longest vector cannot reach the first floor are not met, others are left as soon as few
+candidates can still reach the floor; those are then resolved exactly.  The blocks' best rows are merged by Spark.
 """
 
 from __future__ import annotations
@@ -34,11 +34,11 @@ _SLACK = 1e-9
 
 _BLOCK = StructType([StructField("part", IntegerType()), StructField("number", IntegerType()), StructField("block", LongType()), StructField("n", IntegerType()), StructField("longest", DoubleType()),
                      StructField("ids", BinaryType()), StructField("vectors", BinaryType()), StructField("width", IntegerType())])
-_ASKED = StructType([StructField("query_ids", BinaryType()), StructField("queries", BinaryType()), StructField("query_width", IntegerType()),
+_ASKED = StructType([StructField("asked", LongType()), StructField("query_ids", BinaryType()), StructField("queries", BinaryType()), StructField("query_width", IntegerType()),
                      StructField("floors", BinaryType()), StructField("reach", DoubleType())])
 
 # What the search reads of blocks that met.
-_SEARCHED = ("block", "ids", "vectors", "width", "query_ids", "queries", "query_width", "floors")
+_SEARCHED = ("block", "ids", "vectors", "width", "asked", "query_ids", "queries", "query_width", "floors")
 
 
 class SortedLists:
@@ -114,7 +114,7 @@ def block_top_k(lists: SortedLists, query_ids: np.ndarray, queries: np.ndarray,
         found.append(candidate)
         waiting, weights, floors, own = waiting[~done], weights[~done], floors[~done], own[~done]
     row, candidate = np.concatenate(rows), np.concatenate(found)
-    scores = np.einsum("ij,ij->i", queries[row].astype(np.int64), lists.vectors[candidate].astype(np.int64)) if len(row) else np.empty(0, np.int64)
+    scores = np.einsum("ij,ij->i", queries.astype(np.int64)[row], lists.vectors.astype(np.int64)[candidate]) if len(row) else np.empty(0, np.int64)
     order = np.lexsort((lists.ids[candidate], -scores, row))
     row, candidate, scores = row[order], candidate[order], scores[order]
     starts = np.searchsorted(row, row)
@@ -170,13 +170,17 @@ def _matrix(data: bytes, rows: int, width: int) -> np.ndarray:
     return np.pad(held, ((0, 0), (0, width - held.shape[1])))
 
 
-_ARROW_ASKED = pa.schema([("query_ids", pa.binary()), ("queries", pa.binary()), ("query_width", pa.int32()), ("floors", pa.binary()), ("reach", pa.float64())])
+_ARROW_ASKED = pa.schema([("asked", pa.int64()), ("query_ids", pa.binary()), ("queries", pa.binary()), ("query_width", pa.int32()), ("floors", pa.binary()), ("reach", pa.float64())])
 _Met = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def _searches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[dict, SortedLists, np.ndarray, np.ndarray, _Met]]:
-    """The rows of block and queries that met, with the lists, the queries' ids and vectors, and what they found.  A block's rows come one after the other."""
+    """The rows of block and queries that met, with the lists, the queries' ids and vectors, and what they found.  A block's rows come one after the other.
+
+    The blocks searched so far raise the floors of the next ones.
+    """
     last: tuple[int, int, SortedLists] | None = None
+    best: dict[int, np.ndarray] = {}
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1).to_pylist()[0]
@@ -184,15 +188,28 @@ def _searches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[dict,
             width = max(row["width"], row["query_width"])
             if last is None or last[:2] != (row["block"], width):
                 last = row["block"], width, SortedLists(ids, _matrix(row["vectors"], len(ids), width))
-            queries, floors = _matrix(row["queries"], len(asking), width), np.frombuffer(row["floors"]) if row["floors"] else None
-            yield row, last[2], asking, queries, block_top_k(last[2], asking, queries, k, floors)
+            queries = _matrix(row["queries"], len(asking), width)
+            so_far = best.get(row["asked"], np.full((len(asking), k), -np.inf))
+            floors = np.maximum(np.frombuffer(row["floors"]) if row["floors"] else -np.inf, so_far.min(axis=1))
+            found = block_top_k(last[2], asking, queries, k, floors)
+            best[row["asked"]] = _best_scores(so_far, found)
+            yield row, last[2], asking, queries, found
+
+
+def _best_scores(so_far: np.ndarray, found: _Met) -> np.ndarray:
+    """Each query's k best scores (a row per query, in any order) after one more block."""
+    k = so_far.shape[1]
+    at, _, scores, _ = found
+    both = np.hstack([so_far, np.full_like(so_far, -np.inf)])
+    both[at, k + np.arange(len(at)) - np.searchsorted(at, at)] = scores
+    return np.partition(both, k, axis=1)[:, k:]
 
 
 def _floors(asked: DataFrame, longest: DataFrame, k: int) -> DataFrame:
     """Query blocks with each query's k-th best score in ``longest``, the block of the longest vectors, and the vector length that the block's queries ask for at least."""
     # One block, BLOCK_ROWS rows at most, goes to every task.
     found = F.broadcast(longest.select(F.lit(0).alias("met"), "block", "ids", "vectors", "width"))
-    unknown = asked.select(F.lit(0).alias("met"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"), F.col("width").alias("query_width"), F.lit(b"").alias("floors"))
+    unknown = asked.select(F.lit(0).alias("met"), F.col("block").alias("asked"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"), F.col("width").alias("query_width"), F.lit(b"").alias("floors"))
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, _, _, queries, (at, _, scores, _) in _searches(batches, k):
@@ -201,7 +218,7 @@ def _floors(asked: DataFrame, longest: DataFrame, k: int) -> DataFrame:
             floors[at[last]] = scores[last]
             lengths = np.sqrt((queries * queries).sum(axis=1))
             reach = np.where(lengths > 0, floors / np.maximum(lengths, 1.0), -np.inf).min(initial=np.inf)
-            yield pa.RecordBatch.from_pylist([{**{c: row[c] for c in ("query_ids", "queries", "query_width")}, "floors": floors.tobytes(), "reach": float(reach)}], schema=_ARROW_ASKED)
+            yield pa.RecordBatch.from_pylist([{**{c: row[c] for c in ("asked", "query_ids", "queries", "query_width")}, "floors": floors.tobytes(), "reach": float(reach)}], schema=_ARROW_ASKED)
 
     return settled(unknown.join(found, "met").mapInArrow(seek, _ASKED), "floors")
 

@@ -1,6 +1,7 @@
 """Blocks of vectors are dealt evenly over the tasks and read once for all queries."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from noticework.llm import topk
@@ -41,3 +42,24 @@ def test_lists_are_read_once_and_nothing_unread_shows():
     lowest, highest = lists.read_to(2)
     assert lowest[0].tolist() == [9, 8, -5, -5, -5, -5] and highest[0].tolist() == [9, 8, 8, 8, 8, 8]
     assert lowest[1].tolist() == [-9, -9, -9, -9, -1, 5] and highest[1].tolist() == [-1, -1, -1, -1, -1, 5]
+
+
+def test_blocks_searched_before_raise_the_floors():
+    def block(first, vectors):
+        rows = pa.table({"id": pa.array(range(first, first + len(vectors)), pa.int64()), "vector": pa.array(vectors, pa.list_(pa.float64()))})
+        return topk._block(rows, 0, first).to_pylist()[0]
+
+    rng = np.random.default_rng(7)
+    near, far = rng.integers(50, 90, (30, 3)).astype(float), rng.integers(1, 9, (30, 3)).astype(float)
+    asked = block(1000, [[3.0, 1.0, 2.0], [1.0, 1.0, 1.0]])
+    asked = {"asked": 1, "query_ids": asked["ids"], "queries": asked["vectors"], "query_width": asked["width"], "floors": np.array([1.0, 1.0]).tobytes()}
+    met = pa.RecordBatch.from_pylist([{**{c: b[c] for c in ("block", "ids", "vectors", "width")}, **asked} for b in (block(0, far.tolist()), block(100, near.tolist()), block(200, far.tolist()))])
+    found = [hits for *_, hits in topk._searches(iter([met]), 5)]
+    assert [bool(hits[3].all()) for hits in found] == [True, True, False] and not found[2][3].any() and not len(found[2][0])
+    assert len(found[0][0]) == len(found[1][0]) == 10
+
+
+def test_best_scores_of_several_blocks():
+    so_far = np.array([[5.0, 1.0, 3.0], [-np.inf, -np.inf, 2.0]])
+    found = np.array([0, 0, 1, 1, 1]), np.arange(5), np.array([4, 2, 9, 8, 1]), np.zeros(2, np.int64)
+    assert np.sort(topk._best_scores(so_far, found), axis=1).tolist() == [[3, 4, 5], [2, 8, 9]]
