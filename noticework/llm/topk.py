@@ -55,7 +55,6 @@ class SortedLists:
         falling = np.take_along_axis(values, order, axis=1)
         self.entries, self.ranks = np.vstack([values, -values]), np.vstack([ranks, len(ids) - 1 - ranks])
         self.sorted = np.vstack([falling, -falling[:, ::-1]])
-        self._read: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def weights(self, queries: np.ndarray) -> np.ndarray:
         """What the lists weigh in each query (a row per query), in half the width if whole numbers add up exactly there."""
@@ -67,11 +66,10 @@ class SortedLists:
         return weights @ self.sorted[:, 0]
 
     def read_to(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """The first ``depth`` entries of each list, and in place of all others the list's end, or the value where reading stopped.  Made once for all queries."""
-        if depth not in self._read:
-            read = self.ranks < depth
-            self._read[depth] = np.where(read, self.entries, self.sorted[:, -1:]), np.where(read, self.entries, self.sorted[:, depth - 1:depth])
-        return self._read[depth]
+        """The first ``depth`` entries of each list, and in place of all others the list's end, or the value where reading stopped."""
+        read = self.ranks < depth
+        # No unread entry lies above that value.  Products of a mask take a third of the time of np.where.
+        return self.entries * read + self.sorted[:, -1:] * ~read, np.maximum(self.entries, self.sorted[:, depth - 1:depth])
 
     def between(self, weights: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """Lower and upper bounds of all scores (a row per query) after ``depth`` entries of each list."""
